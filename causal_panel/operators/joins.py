@@ -85,17 +85,28 @@ def latest_profile(df: DataFrame, key: str, order: Sequence[str], columns: Seque
     return df.groupBy(key).agg(last.alias("_last")).select(key, "_last.*")
 
 
-def profile_before(df: DataFrame, asks: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """For each (key, order) asked, the last profile strictly before it (null when none).
+def profile_before(
+    df: DataFrame, asks: DataFrame, key: str, at: str, columns: Sequence[str], stretch: Column
+) -> DataFrame:
+    """For each (key, at) asked, the last profile strictly before it (null when none).
 
-    Profiles and questions are merged into one timeline per key, so no range join is needed.
+    Profiles and questions are merged into one timeline, so no range join is needed. `stretch` is
+    a coarse, non-decreasing function of `at` (its month, say): each stretch of a key is scanned on
+    its own and the last profile of earlier stretches is carried in, so a busy key is split.
     """
-    facts = df.select(key, *order, F.struct(*columns).alias("_profile"), F.lit(1).alias("_kind"))
-    wanted = asks.select(key, *order, F.lit(None).cast(facts.schema["_profile"].dataType).alias("_profile"), F.lit(0).alias("_kind"))
+    facts = df.select(key, at, F.struct(*columns).alias("_profile"), F.lit(1).alias("_kind"))
+    empty = F.lit(None).cast(facts.schema["_profile"].dataType)
+    wanted = asks.select(key, at, empty.alias("_profile"), F.lit(0).alias("_kind"))
+    merged = facts.unionByName(wanted).withColumn("_stretch", stretch)
+    lasts = facts.withColumn("_stretch", stretch).groupBy(key, "_stretch").agg(F.max_by("_profile", at).alias("_end"))
+    stretches = asks.select(key, stretch.alias("_stretch")).distinct().join(lasts, [key, "_stretch"], "full")
+    earlier = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = stretches.select(key, "_stretch", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
     # questions sort before profiles of the same instant: strictly earlier only
-    w = Window.partitionBy(key).orderBy(*order, "_kind").rowsBetween(Window.unboundedPreceding, -1)
-    merged = facts.unionByName(wanted).withColumn("_seen", F.last("_profile", ignorenulls=True).over(w))
-    return merged.where(F.col("_kind") == 0).select(key, *order, *[F.col("_seen")[c].alias(c) for c in columns])
+    inside = Window.partitionBy(key, "_stretch").orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    seen = merged.withColumn("_seen", F.last("_profile", ignorenulls=True).over(inside)).where(F.col("_kind") == 0)
+    out = seen.join(carried, [key, "_stretch"], "left").withColumn("_last", F.coalesce("_seen", "_carried"))
+    return out.select(key, at, *[F.col("_last")[c].alias(c) for c in columns])
 
 
 def attach_covered(df: DataFrame, source: DataFrame, keys: Sequence[str], single: Column, values: dict[str, str]) -> DataFrame:

@@ -72,7 +72,7 @@ def j6b(spark, sf):
     # one profile per customer and instant: the highest order key of that instant
     profile = orders.groupBy("o_custkey", "o_orderdate").agg(F.max_by("o_orderstatus", "o_orderkey").alias("last_status"))
     asks = orders.select("o_custkey", "o_orderdate").distinct()
-    seen = j.profile_before(profile, asks, "o_custkey", ["o_orderdate"], ["last_status"])
+    seen = j.profile_before(profile, asks, "o_custkey", "o_orderdate", ["last_status"], F.year("o_orderdate"))
     return orders.select("o_orderkey", "o_custkey", "o_orderdate").join(seen, ["o_custkey", "o_orderdate"]).select("o_orderkey", "last_status")
 
 

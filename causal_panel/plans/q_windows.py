@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import lookup
 from ..operators import windows as w
 from ..operators.scale import percentile_rank
-from .bindings import FORECASTS, PANEL, forecasts, panel, table
+from .bindings import FORECASTS, PANEL, USER_DAYS, forecasts, panel, table, user_days
 from .registry import query, r6
 
 KEY = ["entity", "period"]
@@ -65,13 +65,11 @@ def e6(spark, sf):
     return panel(spark, sf).select(*KEY, r6(w.prior_ewm(SEEN, LINE, 0.22)).alias("form"))
 
 
-@query("E7_lag_lead_gap", """SELECT event_id, round(coalesce(least(14e0,greatest(2e0,date_diff('microsecond', lag(ts) OVER u, ts)/86400000000e0)),7e0),6) AS rest_days,
- CAST(floor(lead(value) OVER u) - floor(value) AS BIGINT) AS next_change FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts)""")
+@query("E7_lag_lead_gap", USER_DAYS + """SELECT entity, period, round(coalesce(CASE WHEN lag(first_ts) OVER u IS NOT NULL THEN least(14e0,greatest(2e0,date_diff('microsecond', lag(first_ts) OVER u, first_ts)/86400000000e0)) END,7e0),6) AS rest_days,
+ lead(points) OVER u - points AS next_change FROM ud WINDOW u AS (PARTITION BY entity ORDER BY period)""")
 def e7(spark, sf):
-    line = w.timeline("user_id", "ts")
-    return table(spark, sf, "events").select(
-        "event_id", r6(w.days_since("ts", line)).alias("rest_days"),
-        (F.floor(F.lead("value").over(line)) - F.floor("value")).alias("next_change"),
+    return user_days(spark, sf).select(
+        *KEY, r6(w.days_since("first_ts", LINE)).alias("rest_days"), (F.lead("points").over(LINE) - F.col("points")).alias("next_change")
     )
 
 
