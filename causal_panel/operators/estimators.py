@@ -514,16 +514,22 @@ def selection_bias(
     return joined.withColumn("bias", F.when(observed, F.col("_bias")).otherwise(F.lit(0.0))).drop("_bias")
 
 
+def _mapped(df: DataFrame, group: Sequence[str], entity: str, challenger: str, reference: str) -> DataFrame:
+    """Adds `_value`, the reference value at the challenger's place, and the place `_rn` of `_rn_of`."""
+    group = list(group)
+    placed = ordinal_rank(df, group, challenger, entity, "_rn")
+    thin = df.select(*group, entity, F.col(reference).alias("_value"))
+    ladder = ordinal_rank(thin, group, "_value", entity, "_rn").select(*group, "_rn", "_value")
+    return placed.join(ladder, [*group, "_rn"])
+
+
 def quantile_map(
     df: DataFrame, group: Sequence[str], entity: str, challenger: str, reference: str, out: str, slate: str | None = None,
 ) -> DataFrame:
     """Give the challenger's order the reference's sorted values; zero-slate rows are then zero."""
-    group = list(group)
-    placed = ordinal_rank(df, group, challenger, entity, "_rn").drop("_rn_of")
-    ladder = ordinal_rank(df.select(*group, entity, reference), group, reference, entity, "_rn").select(*group, "_rn", F.col(reference).alias("_value"))
-    joined = placed.join(ladder, [*group, "_rn"]).drop("_rn")
+    joined = _mapped(df, group, entity, challenger, reference)
     value = F.col("_value") if slate is None else F.when(F.col(slate) == 0, F.lit(0.0)).otherwise(F.col("_value"))
-    return joined.withColumn(out, value).drop("_value")
+    return joined.withColumn(out, value).drop("_value", "_rn", "_rn_of")
 
 
 def rank_consensus(
@@ -703,10 +709,9 @@ def tenure_target(tenure, targets: dict[int, str], ends: dict[int, str]) -> tupl
 
 def map_to_reference(df: DataFrame, group: Sequence[str], entity: str, raw: str, reference: str) -> DataFrame:
     """Challenger order on the reference scale, with its place in the group from 0 to 100."""
-    ranked = ordinal_rank(df, group, raw, entity, "_rn")
+    joined = _mapped(df, group, entity, raw, reference)
     place = F.when(F.col("_rn_of") > 1, 100.0 * (F.col("_rn") - 1) / (F.col("_rn_of") - 1)).otherwise(F.lit(0.0))
-    placed = ranked.withColumn("percentile", place).drop("_rn", "_rn_of")
-    return quantile_map(placed, group, entity, raw, reference, "mapped")
+    return joined.withColumn("mapped", F.col("_value")).withColumn("percentile", place).drop("_value", "_rn", "_rn_of")
 
 
 def top_ensemble(scores: DataFrame, name: str, value: str, parameters: DataFrame, seed: str, best: int = 12, penalty: float = 0.25) -> DataFrame:

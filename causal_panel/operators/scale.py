@@ -144,7 +144,7 @@ def exact_quantiles(
         aggs.append(F.max(F.when(mine, at - F.floor(at))).alias(f"_s_{name}"))
     grouped = prefix.groupBy(*keys).agg(*aggs)
     outs = [
-        (F.col(f"_lo_{n}") * (1 - F.col(f"_s_{n}")) + F.col(f"_hi_{n}") * F.col(f"_s_{n}")).alias(n)
+        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_s_{n}")).alias(n)
         for n in wanted
     ]
     return grouped.select(*keys, *outs)

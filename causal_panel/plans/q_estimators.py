@@ -307,12 +307,12 @@ def c27(spark, sf):
 
 
 @query("C28_tenure_target", FORECASTS + f""", fl AS (SELECT *, lines*1e0 AS t, {label_sql(3)}, {label_sql(6)}, {label_sql(10)} FROM fp WINDOW u AS (PARTITION BY epoch, entity ORDER BY period))
-SELECT entity, period, round(CASE WHEN t<3 THEN points+(target3-points)*(t-1)/2 WHEN t<6 THEN target3+(target6-target3)*(t-3)/3 WHEN t<10 THEN target6+(target10-target6)*(t-6)/4 ELSE target10 END,4) AS target, CASE WHEN t>6 THEN end10 WHEN t>3 THEN end6 ELSE end3 END AS matures FROM fl""")
+SELECT entity, period, round(CASE WHEN t<3 THEN (1-(t-1)/2)*points+(t-1)/2*target3 WHEN t<6 THEN (1-(t-3)/3)*target3+(t-3)/3*target6 WHEN t<10 THEN (1-(t-6)/4)*target6+(t-6)/4*target10 ELSE target10 END,6) AS target, CASE WHEN t>6 THEN end10 WHEN t>3 THEN end6 ELSE end3 END AS matures FROM fl""")
 def c28(spark, sf):
     fl = labelled(spark, sf, (3, 6, 10))
     held = F.col("lines").cast("double")
     value, end = c.tenure_target(held, {1: "points", 3: "target3", 6: "target6", 10: "target10"}, {1: "period", 3: "end3", 6: "end6", 10: "end10"})
-    return fl.select(*KEY, F.round(value, 4).alias("target"), end.alias("matures"))
+    return fl.select(*KEY, r6(value).alias("target"), end.alias("matures"))
 
 
 @query("C29_map_to_reference", FORECASTS + """, fc AS (SELECT * FROM fp WHERE epoch=6), a AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY f_price, entity*1000+period) AS i, count(*) OVER (PARTITION BY position) AS k FROM fc), b AS (SELECT position, f_base AS v, row_number() OVER (PARTITION BY position ORDER BY f_base, entity*1000+period) AS i FROM fc)
