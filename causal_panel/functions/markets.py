@@ -21,23 +21,20 @@ def no_vig(odds: Sequence) -> list[Column]:
 
 
 def implied_total(over_probability, low: float = 0.20, high: float = 6.50) -> Column:
-    """The Poisson rate with P(X >= 3) equal to the given probability, by bisection in [low, high]."""
+    """The Poisson rate with P(X >= 3) equal to the given probability, held in [low, high].
+
+    Newton steps from rate 2, where the probability has its only turn in curvature: from there
+    they approach the root from one side. Sixteen steps settle every rate in the range.
+    """
     p = col(over_probability).cast("double")
 
     def over(rate):
         return 1 - F.exp(-rate) * (1 + rate + 0.5 * rate * rate)
 
-    def halve(state, _):
-        middle = (state["lo"] + state["hi"]) / 2
-        below = over(middle) < p
-        return F.struct(
-            F.when(below, middle).otherwise(state["lo"]).alias("lo"),
-            F.when(below, state["hi"]).otherwise(middle).alias("hi"),
-        )
-
-    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
+    bounded = F.least(F.greatest(p, over(F.lit(low))), over(F.lit(high)))
     root = F.aggregate(
-        F.sequence(F.lit(1), F.lit(40)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2
+        F.sequence(F.lit(1), F.lit(16)), F.lit(2.0),
+        lambda x, _: x - (over(x) - bounded) / (0.5 * x * x * F.exp(-x)),
     )
     return F.when(p.isNotNull(), root)
 

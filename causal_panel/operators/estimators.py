@@ -374,14 +374,14 @@ def checkpoint_ridge(
 
 
 def stacked_ranks(
-    df: DataFrame, group: Sequence[str], stratum: str, models: Sequence[str], target: str, train: Column, observed: Column,
-    out: str, alpha: float = 90.0, decay: float = 0.88, least_epochs: int = 3,
+    df: DataFrame, group: Sequence[str], entity: str, stratum: str, models: Sequence[str], target: str, train: Column,
+    observed: Column, out: str, alpha: float = 90.0, decay: float = 0.88, least_epochs: int = 3,
 ) -> DataFrame:
     """Weights per (epoch, stratum) of a non-negative ridge on in-group ranks, and the stacked rank.
 
     Weights are scaled to sum to one (even when all are zero: equal); before `least_epochs` the first model stands.
     """
-    ranked = percentile_ranks(df, group, {m: f"_r_{m}" for m in models} | {target: "_t"})
+    ranked = percentile_ranks(df, group, {m: f"_r_{m}" for m in models} | {target: "_t"}, ids=[entity])
     xs = [F.lit(1.0), *[F.col(f"_r_{m}") for m in models]]
     k = len(xs)
     per_epoch = gram(ranked.where(train), [stratum, "epoch"], xs, {"t": F.col("_t")})
@@ -533,11 +533,11 @@ def quantile_map(
 
 
 def rank_consensus(
-    df: DataFrame, group: Sequence[str], frozen: str, others: Sequence[str], share: float, tie_break: Column, active: Column, out: str,
+    df: DataFrame, group: Sequence[str], entity: str, frozen: str, others: Sequence[str], share: float, tie_break: Column, active: Column, out: str,
 ) -> DataFrame:
     """Frozen rank mixed with the mean rank of others less a small tie-break, where active."""
     names = {frozen: "_rf"} | {o: f"_r{i}" for i, o in enumerate(others)}
-    ranked = percentile_ranks(df, group, names, fill=None)
+    ranked = percentile_ranks(df, group, names, fill=None, ids=[entity])
     mean = sum((F.col(f"_r{i}") for i in range(1, len(others))), F.col("_r0")) / len(others)
     mixed = (1 - share) * F.col("_rf") + share * mean - tie_break
     return ranked.withColumn(out, F.when(active, mixed).otherwise(F.col("_rf"))).drop(*names.values())
@@ -616,7 +616,7 @@ def blend_scores(df: DataFrame, models: Sequence[str], blends: dict[str, Sequenc
     keys = ["blend", "epoch", "period"]
     big = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= least).drop("_rows")
     top = top_k(rows, keys, [F.desc("f"), F.asc(entity)], k, "_r").groupBy(*keys).agg(F.avg("a").alias("_top")).join(big, keys)
-    ranked = percentile_ranks(rows, keys, {"f": "_rf", "a": "_ra"}, fill=None).groupBy(*keys).agg(F.corr("_rf", "_ra").alias("_rho")).join(big, keys)
+    ranked = percentile_ranks(rows, keys, {"f": "_rf", "a": "_ra"}, fill=None, ids=[entity]).groupBy(*keys).agg(F.corr("_rf", "_ra").alias("_rho")).join(big, keys)
     defined = F.col("_rho").isNotNull() & ~F.isnan("_rho")
     per = top.join(ranked, keys).groupBy("blend", "epoch").agg(
         F.sum("_top").alias("top"), F.count("_top").alias("groups"), F.sum(F.when(defined, F.col("_rho"))).alias("rho"), F.count(F.when(defined, 1)).alias("rho_n")

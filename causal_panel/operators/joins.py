@@ -57,14 +57,14 @@ def recover_side(df: DataFrame, fixture: Sequence[str], opponent: str, snapshot:
 
 
 def _calendar(df: DataFrame, epoch: str, period: str) -> DataFrame:
-    """One row per epoch with its sorted periods; an epoch has a bounded number of them."""
+    """One row per epoch with its sorted periods: the size of the calendar, whatever the data."""
     return df.groupBy(epoch).agg(F.array_sort(F.collect_set(period)).alias("_periods"))
 
 
 def dense_spine(df: DataFrame, epoch: str, entity: str, period: str, fills: dict[str, object]) -> DataFrame:
     """Every entity of an epoch in every period observed in that epoch, gaps filled."""
     spine = (
-        df.select(epoch, entity).distinct().join(_calendar(df, epoch, period), epoch)
+        df.select(epoch, entity).distinct().join(F.broadcast(_calendar(df, epoch, period)), epoch)
         .select(epoch, entity, F.explode("_periods").alias(period))
     )
     out = spine.join(df, [epoch, entity, period], "left")
@@ -75,7 +75,7 @@ def life_spine(df: DataFrame, epoch: str, entity: str, period: str) -> DataFrame
     """Every observed period between an entity's first and last; the rest of the row may be null."""
     life = df.groupBy(epoch, entity).agg(F.min(period).alias("_first"), F.max(period).alias("_last"))
     inside = F.filter(F.col("_periods"), lambda p: (p >= F.col("_first")) & (p <= F.col("_last")))
-    spine = life.join(_calendar(df, epoch, period), epoch).select(epoch, entity, F.explode(inside).alias(period))
+    spine = life.join(F.broadcast(_calendar(df, epoch, period)), epoch).select(epoch, entity, F.explode(inside).alias(period))
     return spine.join(df, [epoch, entity, period], "left")
 
 
@@ -129,20 +129,22 @@ def newcomers(df: DataFrame, epoch: str, side: str) -> DataFrame:
 
 
 def near_price_pairs(
-    df: DataFrame, keys: Sequence[str], price: str, forecast: str, outcome: str, band: int = 15, bits: int = 10
+    df: DataFrame, keys: Sequence[str], price: str, forecast: str, outcome: str, band: int = 15, bits: int = 8
 ) -> DataFrame:
     """Per group: pairs with prices within the band and different outcomes, and how many the forecast orders.
 
-    `price` is in whole tenths and `outcome` in whole points (0 <= outcome + 512 < 2^bits).
-    No pair is formed. A pair with outcomes a < b has one highest bit where they part, so each
-    row asks, per nearby price and per such bit, how many rows with the lower outcome also have a
-    lower forecast; the answers are running counts over the forecast.
+    `price` is in whole tenths and `outcome` in whole points from -2^(bits-1) up to 2^(bits-1) - 1;
+    an outcome outside fails the job. No pair is formed. A pair with outcomes a < b has one highest
+    bit where they part, so each row asks, per nearby price and per such bit, how many rows with the
+    lower outcome also have a lower forecast; the answers are running counts over the forecast.
     """
     keys = list(keys)
-    code = (F.col(outcome) + 512).cast("int")
-    rows = df.groupBy(*keys, F.col(price).cast("int").alias("_p"), code.alias("_a"), F.col(forecast).cast("double").alias("_f")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+    shifted = (F.col(outcome) + (1 << (bits - 1))).cast("int")
+    wrong = F.raise_error(F.lit("outcome outside the range of `bits`")).cast("int")
+    code = F.when((shifted >= 0) & (shifted < (1 << bits)), shifted).otherwise(wrong)
+    rows = df.where(F.col(outcome).isNotNull() & F.col(forecast).isNotNull() & F.col(price).isNotNull()).groupBy(
+        *keys, F.col(price).cast("int").alias("_p"), code.alias("_a"), F.col(forecast).cast("double").alias("_f")
+    ).agg(F.count(F.lit(1)).alias("_n"))
     levels = F.sequence(F.lit(0), F.lit(bits - 1))
     halves = rows.select(*keys, "_p", "_f", "_a", "_n", F.explode(levels).alias("_b")).withColumn(
         "_h", F.expr("shiftright(_a, _b)")
@@ -245,7 +247,7 @@ def forward_slate(
     slots = next_periods(schedule, "epoch", "period")
     games = schedule.select("epoch", F.col("period").alias("target"), "side", "opponent", "is_home")
     known = base.join(fallback, ["epoch", "period", "position"], "left").withColumn("neutral", F.coalesce("neutral", F.lit(2.5)))
-    slotted = known.join(slots, ["epoch", "period"])
+    slotted = known.join(F.broadcast(slots), ["epoch", "period"])
     timed = slotted.join(games, ["epoch", "target", "side"], "left")
     valued = timed.join(strength, ["epoch", "period", "position", "opponent"], "left")
     value = F.coalesce(F.col("strength"), F.col("neutral")) + F.when(F.col("is_home"), home_bonus).otherwise(0.0)
@@ -375,7 +377,9 @@ def distinct_suggestions(best: DataFrame, decision: str, at_most: int = 3, least
 def fit_odds(matches: DataFrame, home: str, draw: str, away: str, over: str | None = None, **grid) -> DataFrame:
     """Poisson rate pair of each distinct set of probabilities, joined back to the matches."""
     keys = [home, draw, away, *([over] if over else [])]
-    fitted = matches.select(*keys).distinct().withColumn("_fit", fit_goal_rates(home, draw, away, over, **grid))
+    # a fit is heavy and its rows are narrow: keep them spread over the tasks
+    parts = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fitted = matches.select(*keys).distinct().repartition(parts, *keys).withColumn("_fit", fit_goal_rates(home, draw, away, over, **grid))
     rates = fitted.select(*keys, "_fit.home_rate", "_fit.away_rate")
     on = None
     renamed = rates.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "home_rate", "away_rate")
@@ -418,7 +422,7 @@ def forward_rates(schedule: DataFrame, rates: DataFrame, now: DataFrame, default
     names = list(defaults)
     slots = next_periods(schedule, "epoch", "period")
     games = schedule.select("epoch", F.col("period").alias("target"), "side", "opponent", "is_home")
-    asked = schedule.select("epoch", "period", "side").distinct().join(slots, ["epoch", "period"])
+    asked = schedule.select("epoch", "period", "side").distinct().join(F.broadcast(slots), ["epoch", "period"])
     timed = asked.join(games, ["epoch", "target", "side"])
     current = now.select("epoch", "period", "side", *[F.col(n).alias(f"_now_{n}") for n in names])
     valued = timed.join(rates, ["epoch", "period", "side", "opponent", "is_home"], "left").join(current, ["epoch", "period", "side"], "left")

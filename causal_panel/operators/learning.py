@@ -1,6 +1,7 @@
 """Walk-forward fits with MLlib: one distributed fit per epoch (and stratum), earlier epochs only.
 
-The driver loops over epochs, of which there are few; rows never leave the executors.
+The driver loops over epochs, of which there are few; rows never leave the executors. Training rows
+are written once and read by every fit.
 """
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
+from ..sources.scratch import settle
 from .estimators import season_ahead_ridge
 from .scale import exact_quantiles
 
@@ -37,7 +39,8 @@ def walk_forward_isotonic(df: DataFrame, stratum: str, forecast: str, target: st
     """
     points = df.where(observed).groupBy(stratum, "epoch", F.col(forecast).alias("_f")).agg(
         F.sum(F.greatest(F.col(target).cast("double"), F.lit(0.0))).alias("_s"), F.count(F.lit(1)).cast("double").alias("_w")
-    ).persist()
+    )
+    points = settle(points, "points")
     counts = points.groupBy("epoch", stratum).agg(F.sum("_w").alias("n")).collect()  # epochs x strata rows
     parts = []
     for e in epochs_of(df):
@@ -58,7 +61,6 @@ def walk_forward_isotonic(df: DataFrame, stratum: str, forecast: str, target: st
                 train.withColumnRenamed("_f", "features")
             )
             parts.append(model.transform(rows.withColumn("features", F.col(forecast))).drop("features"))
-    points.unpersist()
     return _union(parts).withColumn(out, F.when(observed, F.col(out)).otherwise(F.lit(0.0)))
 
 
@@ -71,7 +73,7 @@ def walk_forward_trees(
     The first epoch keeps the baseline; unobserved rows are zero.
     """
     build = VectorAssembler(inputCols=list(xs), outputCol="_x", handleInvalid="error")
-    ready = build.transform(df)
+    ready = settle(build.transform(df), "features")
     parts = []
     values = [None] if strata is None else [r[0] for r in df.select(strata).distinct().orderBy(strata).collect()]
     for i, e in enumerate(epochs_of(df)):
@@ -105,7 +107,7 @@ def market_model(
     def assemble(frame):
         return VectorAssembler(inputCols=list(xs), outputCol="_raw").transform(frame)
 
-    own = assemble(sides.withColumn("_clean", clean.cast("double")).withColumn("_scored", F.col(scored).cast("double")))
+    own = settle(assemble(sides.withColumn("_clean", clean.cast("double")).withColumn("_scored", F.col(scored).cast("double"))), "sides")
     parts = []
     for e in epochs_of(sides):
         if e < first:
@@ -137,6 +139,7 @@ def action_fits(df: DataFrame, xs: Sequence[str], gain: str, epoch: str = "epoch
     `quantile` on the training rows. Adds value, win, gap, limit and accepted.
     """
     ready = VectorAssembler(inputCols=list(xs), outputCol="_x").transform(df.withColumn("_win", (F.col(gain) > 0).cast("double")).withColumn("_gain", F.col(gain).cast("double")))
+    ready = settle(ready, "actions")
     parts = []
     for e in epochs_of(df, epoch)[1:]:
         train = ready.where(F.col(epoch) < e)
@@ -174,6 +177,7 @@ def opportunity_value(
     whole = df.withColumn("_one", F.lit(1))
     linear = season_ahead_ridge(whole, "_one", xs, [target], F.lit(True), F.lit(True), ["_ridge"], [baseline], alpha=alpha, low=-1e9, high=1e9)
     tree = walk_forward_trees(linear, xs, target, F.lit(True), baseline, "_tree", target, low=-1e9, high=1e9, trees=trees, depth=3)
+    tree = settle(tree, "trees")
     first = tree.groupBy().agg(F.min("epoch").alias("_first")).withColumn("_one", F.lit(1))
     mixed = tree.join(F.broadcast(first), "_one").withColumn(
         out, F.when(F.col("epoch") == F.col("_first"), F.col(baseline)).otherwise(clip(share * F.col("_ridge") + (1 - share) * F.col("_tree"), low, high))

@@ -94,12 +94,14 @@ def percentile_ranks(
     outs: dict[str, str],
     fill: float | None = 0.5,
     min_values: int = 2,
+    ids: Sequence[str] = (),
 ) -> DataFrame:
     """For each column: average-tie rank over the number of non-null values in the group.
 
     `outs` maps a column to the name of its rank. Null values get `fill`; so does every
     row of a group with fewer than `min_values` values. `fill=None` keeps nulls. All
-    columns are ranked in one pass; keys and values of `df` must not be null-keyed.
+    columns are ranked in one pass; keys must not be null. Where (keys, ids) names a row,
+    the ranks come back in one narrow join instead of one wide join per column.
     """
     prefix = ordered_prefix(_long(df, keys, list(outs)), [*keys, "_name"], "_value")
     rank = (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)) / F.col("n_total")
@@ -107,16 +109,23 @@ def percentile_ranks(
         rank = F.when(F.col("n_total") >= min_values, rank).otherwise(F.lit(fill))
     ranked = prefix.select(*keys, "_name", "_value", rank.alias("_rank"))
     out = df
-    for column, name in outs.items():
-        part = ranked.where(F.col("_name") == column).select(
-            *keys, F.col("_value").alias("_match"), F.col("_rank").alias(name)
-        )
-        out = (
-            out.withColumn("_match", F.col(column).cast("double"))
-            .join(part, [*keys, "_match"], "left")
-            .drop("_match")
-        )
-        if fill is not None:
+    if ids:
+        row = [*keys, *ids]
+        placed = _long(df, row, list(outs)).join(ranked, [*keys, "_name", "_value"])
+        wide = placed.groupBy(*row).agg(*[F.max(F.when(F.col("_name") == c, F.col("_rank"))).alias(n) for c, n in outs.items()])
+        out = df.join(wide, row, "left")
+    else:
+        for column, name in outs.items():
+            part = ranked.where(F.col("_name") == column).select(
+                *keys, F.col("_value").alias("_match"), F.col("_rank").alias(name)
+            )
+            out = (
+                out.withColumn("_match", F.col(column).cast("double"))
+                .join(part, [*keys, "_match"], "left")
+                .drop("_match")
+            )
+    if fill is not None:
+        for name in outs.values():
             out = out.withColumn(name, F.coalesce(name, F.lit(fill)))
     return out
 

@@ -128,7 +128,7 @@ def event_numbers(df: DataFrame, epoch: str, period: str) -> DataFrame:
         epoch, period, F.row_number().over(w).alias("event_number"),
         F.count(F.lit(1)).over(whole).alias("_events"),
     ).withColumn("remaining", F.col("_events") - F.col("event_number") + 1).drop("_events")
-    return df.join(numbered, [epoch, period])
+    return df.join(F.broadcast(numbered), [epoch, period])  # one row per observed period
 
 
 def table_position(df: DataFrame, epoch: str, period: str, side: str, points: str, scored: str, lost: str) -> DataFrame:
@@ -305,7 +305,7 @@ def side_ratings(side: DataFrame) -> DataFrame:
         "epoch", "period", "side", "games", observed("scored", "x_scored").alias("_attack"),
         observed("lost", "x_lost").alias("_defence"), (F.col("results") / games).alias("_form"),
         (F.col("cleans") / games).alias("_clean"),
-    ).join(league, ["epoch", "period"]).join(fresh, ["epoch", "side"], "left")
+    ).join(F.broadcast(league), ["epoch", "period"]).join(fresh, ["epoch", "side"], "left")
     first_period = Window.partitionBy("epoch")
     base = base.withColumn("_gw", F.col("period") - F.min("period").over(first_period) + 1)
     w = timeline("side", ["epoch", "period"])
@@ -359,10 +359,10 @@ def matchup_rates(league, attack, defence, their_attack, their_defence, home) ->
     return {"expected_for": scored, "expected_against": lost, "clean_chance": clip(F.exp(-lost), 0.03, 0.74)}
 
 
-def utility_mix(df: DataFrame, deadline: Sequence[str], mixes: dict[str, dict[str, float]], offsets=None) -> DataFrame:
+def utility_mix(df: DataFrame, deadline: Sequence[str], entity: str, mixes: dict[str, dict[str, float]]) -> DataFrame:
     """Weighted sums of whole-pool percentiles at each deadline, one output per mix."""
     columns = sorted({c for mix in mixes.values() for c in mix})
-    ranked = percentile_ranks(df, deadline, {c: f"_p_{c}" for c in columns}, fill=None)
+    ranked = percentile_ranks(df, deadline, {c: f"_p_{c}" for c in columns}, fill=None, ids=[entity])
     for name, mix in mixes.items():
         total = F.lit(0.0)
         for column, weight in mix.items():

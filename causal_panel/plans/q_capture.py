@@ -31,8 +31,8 @@ def deadlines(spark, sf):
     return days.select(F.dayofmonth("d").alias("day"), (F.col("d").cast("timestamp_ntz") + F.expr("interval 18 hours")).alias("deadline"))
 
 
-GATE = """WITH c AS (SELECT event_id, CASE WHEN event_id%50<>0 THEN ts END AS at, date_trunc('day', ts)+INTERVAL 18 HOUR AS dl, event_type='error' AS bad, event_type<>'signup' AS exact, CASE WHEN value>30 THEN 'locked' WHEN value>5 THEN 'provisional' ELSE 'draft' END AS st FROM events),
-g AS (SELECT *, coalesce(at<=dl,false) AS bf FROM c), o AS (SELECT event_id, concat_ws('|', CASE WHEN bad THEN 'forbidden-field' END, CASE WHEN exact AND NOT bf THEN 'captured-after-deadline' END) AS errors, exact AND bf AND NOT bad AND st IN ('provisional','locked') AS shadow_eligible, exact AND bf AND NOT bad AND st='locked' AS promotion_eligible FROM g)
+GATE = """WITH c AS (SELECT event_id, CASE WHEN event_id%50<>0 THEN ts END AS cap, date_trunc('day', ts)+INTERVAL 18 HOUR AS dl, event_type='error' AS bad, event_type<>'signup' AS exact, CASE WHEN value>30 THEN 'locked' WHEN value>5 THEN 'provisional' ELSE 'draft' END AS st FROM events),
+g AS (SELECT *, coalesce(cap<=dl,false) AS bf FROM c), o AS (SELECT event_id, concat_ws('|', CASE WHEN bad THEN 'forbidden-field' END, CASE WHEN exact AND NOT bf THEN 'captured-after-deadline' END) AS errors, exact AND bf AND NOT bad AND st IN ('provisional','locked') AS shadow_eligible, exact AND bf AND NOT bad AND st='locked' AS promotion_eligible FROM g)
 """
 
 

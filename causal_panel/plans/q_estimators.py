@@ -10,9 +10,17 @@ from .q_windows import label_sql, pct_sql
 from .registry import query, r6
 
 KEY = ["entity", "period"]
-HIT = F.when(F.col("points") >= 5, 1.0).otherwise(0.0)
+
+
+def hit():
+    return F.when(F.col("points") >= 5, 1.0).otherwise(0.0)
+
+
+def seen():
+    return F.col("slate") > 0
+
+
 HIT_SQL = "CASE WHEN points>=5 THEN 1e0 ELSE 0e0 END"
-SEEN = F.col("slate") > 0
 
 
 def iso_sql(sums: str, keys: str) -> str:
@@ -35,7 +43,7 @@ dl AS (SELECT DISTINCT position, period FROM fp), pr AS (SELECT dl.position, dl.
 
 @query("C1_expanding_calibration", CAL + "SELECT entity, fp.period, round(CASE WHEN slate>0 THEN m ELSE prob END,6) AS calibrated FROM fp JOIN iso ON iso.position=fp.position AND iso.period=fp.period AND iso.b=CAST(least(floor(prob*10),9) AS INTEGER)")
 def c1(spark, sf):
-    out = c.expanding_calibration(forecasts(spark, sf), "position", "prob", HIT, 0.12, SEEN, "calibrated")
+    out = c.expanding_calibration(forecasts(spark, sf), "position", "prob", hit(), 0.12, seen(), "calibrated")
     return out.select(*KEY, r6("calibrated").alias("calibrated"))
 
 
@@ -43,7 +51,7 @@ def c1(spark, sf):
 """ + iso_sql("pr", "position") + "SELECT entity, period, round(m,6) AS calibrated FROM fp JOIN iso ON iso.position=fp.position AND iso.b=CAST(least(floor(prob*10),9) AS INTEGER) WHERE epoch=6")
 def c2(spark, sf):
     fp = forecasts(spark, sf)
-    out = c.terminal_calibration(fp.where("epoch < 6"), fp.where("epoch = 6"), "position", "prob", HIT, 0.12, SEEN, "calibrated")
+    out = c.terminal_calibration(fp.where("epoch < 6"), fp.where("epoch = 6"), "position", "prob", hit(), 0.12, seen(), "calibrated")
     return out.select(*KEY, r6("calibrated").alias("calibrated"))
 
 
@@ -53,13 +61,19 @@ rt AS (SELECT position, period, CASE WHEN max(a)>=250 THEN least(2.5e0,greatest(
 SELECT entity, fp.period, round(least(9e0,greatest(0.4e0,CASE WHEN slate>0 THEN unc*coalesce(ratio,0.7e0) ELSE 0 END)),6) AS half_width FROM fp LEFT JOIN rt ON rt.position=fp.position AND rt.period=fp.period""")
 def c3(spark, sf):
     fp = forecasts(spark, sf)
-    out = c.expanding_half_width(fp, "position", F.col("points") - F.col("f_base"), "unc", SEEN)
+    out = c.expanding_half_width(fp, "position", F.col("points") - F.col("f_base"), "unc", seen())
     return out.select(*KEY, r6("half_width").alias("half_width"))
 
 
-X1 = [F.lit(1.0), F.col("f_base") / 5.0]
+def x1():
+    return [F.lit(1.0), F.col("f_base") / 5.0]
+
+
+def y():
+    return F.least(F.greatest(F.col("points"), F.lit(-2)), F.lit(20))
+
+
 PEN = [0.20, 8.0]
-Y = F.least(F.greatest(F.col("points"), F.lit(-2)), F.lit(20))
 Y_SQL = "least(20,greatest(-2,points))"
 MOM = "count(*) AS n, sum({w}1e0) AS g00, sum({w}(f_base/5e0)) AS g01, sum({w}(f_base/5e0)*(f_base/5e0)) AS g11, sum({w}{y}) AS h0, sum({w}{y}*(f_base/5e0)) AS h1"
 SUMS = "sum(n) AS n, sum({w}g00) AS g00, sum({w}g01) AS g01, sum({w}g11) AS g11, sum({w}h0) AS h0, sum({w}h1) AS h1"
@@ -73,7 +87,7 @@ def cramer(p0: float, p1: float, t: str = "") -> str:
 @query("C4_online_ridge", FORECASTS + f""", ms AS (SELECT position, period, {MOM.format(w='', y=Y_SQL)} FROM fp GROUP BY ALL), dl AS (SELECT DISTINCT position, period FROM fp), pr AS (SELECT dl.position, dl.period, {SUMS.format(w='')} FROM dl JOIN ms ON ms.position=dl.position AND ms.period<dl.period GROUP BY ALL)
 SELECT entity, fp.period, round(CASE WHEN slate>0 AND n>=120 THEN least(14e0,greatest(0.15e0,{cramer(0.2, 8.0)})) ELSE f_exp END,6) AS ridge FROM fp LEFT JOIN pr ON pr.position=fp.position AND pr.period=fp.period""")
 def c4(spark, sf):
-    out = c.online_ridge(forecasts(spark, sf), "position", X1, Y, "f_exp", SEEN, "ridge", PEN)
+    out = c.online_ridge(forecasts(spark, sf), "position", x1(), y(), "f_exp", seen(), "ridge", PEN)
     return out.select(*KEY, r6("ridge").alias("ridge"))
 
 
@@ -81,7 +95,7 @@ def c4(spark, sf):
 SELECT entity, period, round(CASE WHEN n>=120 THEN least(14e0,greatest(0.15e0,{cramer(0.2, 8.0)})) ELSE f_exp END,6) AS ridge FROM fp LEFT JOIN pr USING (position) WHERE epoch=6""")
 def c5(spark, sf):
     fp = forecasts(spark, sf)
-    out = c.terminal_ridge(fp.where("epoch < 6"), fp.where("epoch = 6"), "position", X1, Y, "f_exp", SEEN, "ridge", PEN)
+    out = c.terminal_ridge(fp.where("epoch < 6"), fp.where("epoch = 6"), "position", x1(), y(), "f_exp", seen(), "ridge", PEN)
     return out.select(*KEY, r6("ridge").alias("ridge"))
 
 
@@ -107,7 +121,7 @@ SELECT entity, fl.period, round(least(52e0,greatest(0.25e0,CASE WHEN coalesce(pa
 def c6(spark, sf):
     fl = labelled(spark, sf).withColumn("base3", F.col("f_exp") * 2.5)
     y = F.least(F.greatest(F.col("target3"), F.lit(-3)), F.lit(55))
-    out = c.matured_ridge(fl, "position", X1, y, "end3", "base3", "outlook", [0.25, 12.0])
+    out = c.matured_ridge(fl, "position", x1(), y, "end3", "base3", "outlook", [0.25, 12.0])
     return out.select(*KEY, r6("outlook").alias("outlook"))
 
 
@@ -115,7 +129,7 @@ def c6(spark, sf):
 i AS (SELECT position, period, 1/pow(least(6e0,greatest(1.4e0,coalesce(avg(a) OVER q,2.85e0))),2) AS a, 1/pow(least(6e0,greatest(1.4e0,coalesce(avg(b) OVER q,3.05e0))),2) AS b, 1/pow(least(6e0,greatest(1.4e0,coalesce(avg(c) OVER q,3.25e0))),2) AS c FROM e WINDOW q AS (PARTITION BY position ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT entity, fp.period, round(a/(a+b+c),6) AS w_base, round((a*f_base+b*f_exp+c*f_price)/(a+b+c),6) AS ensemble FROM fp JOIN i ON i.position=fp.position AND i.period=fp.period""")
 def c7(spark, sf):
-    out = c.inverse_error_weights(forecasts(spark, sf), "position", {"f_base": 2.85, "f_exp": 3.05, "f_price": 3.25}, "points", SEEN)
+    out = c.inverse_error_weights(forecasts(spark, sf), "position", {"f_base": 2.85, "f_exp": 3.05, "f_price": 3.25}, "points", seen())
     mixed = F.col("w_f_base") * F.col("f_base") + F.col("w_f_exp") * F.col("f_exp") + F.col("w_f_price") * F.col("f_price")
     return out.select(*KEY, r6("w_f_base").alias("w_base"), r6(mixed).alias("ensemble"))
 
@@ -128,14 +142,14 @@ RIDGE1 = """(wy/wn + (f_base-wx/wn)/sqrt(uxx/n-pow(ux/n,2)) * ((wxy-wx*wy/wn)/sq
 @query("C8_season_ahead_ridge", LABELLED + f""", ms AS (SELECT position, epoch, {ONE} FROM fl WHERE slate>0 GROUP BY ALL), {AGED}
 SELECT entity, fl.period, round(CASE WHEN slate=0 THEN 0 WHEN n IS NULL THEN f_exp ELSE least(70e0,greatest(0,{RIDGE1})) END,6) AS h3 FROM fl LEFT JOIN ag ON ag.position=fl.position AND ag.epoch=fl.epoch""")
 def c8(spark, sf):
-    out = c.season_ahead_ridge(labelled(spark, sf), "position", ["f_base"], ["target3"], SEEN, SEEN, ["h3"], ["f_exp"])
+    out = c.season_ahead_ridge(labelled(spark, sf), "position", ["f_base"], ["target3"], seen(), seen(), ["h3"], ["f_exp"])
     return out.select(*KEY, r6("h3").alias("h3"))
 
 
 @query("C8_season_ahead_ridge_imputed")
 def c8b(spark, sf):
     fl = labelled(spark, sf, (3, 6)).withColumn("late", F.when(F.col("n_prior") > 3, F.col("f_base")))
-    out = c.season_ahead_ridge(fl, "position", ["late", "f_exp", "f_price"], ["target3", "target6"], SEEN, SEEN, ["h3", "h6"], ["f_exp", "f_exp"], impute=True)
+    out = c.season_ahead_ridge(fl, "position", ["late", "f_exp", "f_price"], ["target3", "target6"], seen(), seen(), ["h3", "h6"], ["f_exp", "f_exp"], impute=True)
     return out.select(*KEY, r6("h3").alias("h3"), r6("h6").alias("h6"))
 
 
@@ -146,11 +160,10 @@ al AS (SELECT s.position, s.epoch, s.c, coalesce(ag.n,0)+coalesce(ck.n,0) AS n,
 SELECT entity, fl.period, round(CASE WHEN slate=0 THEN 0 WHEN n IS NULL THEN f_exp ELSE least(70e0,greatest(0,{RIDGE1})) END,6) AS h3 FROM fl LEFT JOIN al ON al.position=fl.position AND al.epoch=fl.epoch AND al.c=CASE WHEN fl.period-fl.epoch*12>=8 THEN 8 WHEN fl.period-fl.epoch*12>=4 THEN 4 ELSE 0 END""")
 def c9(spark, sf):
     fl = labelled(spark, sf).withColumn("step", F.col("period") - F.col("epoch") * 12).withColumn("label_step", F.col("end3") - F.col("epoch") * 12)
-    out = c.checkpoint_ridge(fl, "position", ["f_base"], "target3", "label_step", "step", [0, 4, 8], SEEN, SEEN, "h3", "f_exp")
+    out = c.checkpoint_ridge(fl, "position", ["f_base"], "target3", "label_step", "step", [0, 4, 8], seen(), seen(), "h3", "f_exp")
     return out.select(*KEY, r6("h3").alias("h3"))
 
 
-
 @query("C11_blend_search", FORECASTS + """, ls AS (SELECT epoch, i, count(*) AS n, sum(2*(CASE WHEN points>0 THEN points*ln(points/p) ELSE 0 END-(points-p))) AS l FROM (SELECT epoch, points, i, greatest(0.02e0,exp((1-i/20e0)*ln(least(6e0,greatest(0.05e0,f_base)))+(i/20e0)*ln(least(6e0,greatest(0.05e0,f_price))))) AS p FROM fp, range(0,21) t(i)) GROUP BY ALL),
 pr AS (SELECT e.epoch, i, sum(n) AS n, round(sum(l),6) AS l FROM (SELECT DISTINCT epoch FROM fp) e JOIN ls ON ls.epoch<e.epoch GROUP BY ALL), bs AS (SELECT epoch, max(n) AS n, arg_min(i, l*1000000+i/1000e0)/20e0 AS wt FROM pr GROUP BY epoch)
 SELECT epoch, CAST(coalesce(n,0) AS BIGINT) AS prior_rows, round(CASE WHEN n IS NULL THEN 0.5e0 ELSE n/(n+380e0)*wt+(1-n/(n+380e0))*0.5e0 END,6) AS weight FROM (SELECT DISTINCT epoch FROM fp) LEFT JOIN bs USING (epoch)""")
@@ -169,13 +182,13 @@ SELECT position, period, round(coalesce(state,0),6) AS advantage, round(least(0.
 
 @query("C12_expert_weights", LABELLED + expert_sql("a.period<d.period", "period"))
 def c12(spark, sf):
-    out = c.expert_weights(labelled(spark, sf), "position", "f_base", "f_price", "target3", "entity", SEEN, 0.9, 2.0, 3)
+    out = c.expert_weights(labelled(spark, sf), "position", "f_base", "f_price", "target3", "entity", seen(), 0.9, 2.0, 3)
     return out.select("position", "period", r6("advantage").alias("advantage"), r6("weight").alias("weight"))
 
 
 @query("C12_expert_weights_delayed", LABELLED + expert_sql("(a.epoch<d.epoch OR (a.epoch=d.epoch AND a.fin<d.period))", "end3"))
 def c12b(spark, sf):
-    out = c.expert_weights(labelled(spark, sf), "position", "f_base", "f_price", "target3", "entity", SEEN, 0.9, 2.0, 3, end="end3")
+    out = c.expert_weights(labelled(spark, sf), "position", "f_base", "f_price", "target3", "entity", seen(), 0.9, 2.0, 3, end="end3")
     return out.select("position", "period", r6("advantage").alias("advantage"), r6("weight").alias("weight"))
 
 
@@ -187,13 +200,13 @@ ga AS (SELECT d.period, bucket, sum(s) AS s, sum(n) AS n FROM da d JOIN mt m ON
 pm AS (SELECT position, period, sum(s)/sum(n) AS m FROM po GROUP BY ALL), gm AS (SELECT period, sum(s)/sum(n) AS m FROM ga GROUP BY ALL)
 SELECT entity, bk.period, bk.bucket, round(CASE WHEN slate=0 THEN 0 ELSE (coalesce(po.s,0)+80*coalesce(ga.s/ga.n,gm.m,0))/(coalesce(po.n,0)+80)-coalesce(pm.m,gm.m,0) END,6) AS bias FROM bk LEFT JOIN po ON po.position=bk.position AND po.period=bk.period AND po.bucket=bk.bucket LEFT JOIN ga ON ga.period=bk.period AND ga.bucket=bk.bucket LEFT JOIN pm ON pm.position=bk.position AND pm.period=bk.period LEFT JOIN gm ON gm.period=bk.period""")
 def c13(spark, sf):
-    out = c.selection_bias(labelled(spark, sf), "position", "f_base", "target3", "end3", "entity", SEEN)
+    out = c.selection_bias(labelled(spark, sf), "position", "f_base", "target3", "end3", "entity", seen())
     return out.select(*KEY, "bucket", r6("bias").alias("bias"))
 
 
 @query("C14_stacked_ranks")
 def c14(spark, sf):
-    out = c.stacked_ranks(forecasts(spark, sf), ["period", "position"], "position", ["f_base", "f_exp", "f_price", "prob"], "points", SEEN, SEEN, "stack")
+    out = c.stacked_ranks(forecasts(spark, sf), ["period", "position"], "entity", "position", ["f_base", "f_exp", "f_price", "prob"], "points", seen(), seen(), "stack")
     return out.select(*KEY, r6("stack").alias("stack"), F.array_join(F.transform("weights", lambda x: F.round(x, 4).cast("string")), ",").alias("weights"))
 
 
@@ -211,7 +224,7 @@ def c15(spark, sf):
 SELECT entity, period, round(CASE WHEN epoch>=2 THEN 0.7e0*a+0.3e0*(b+c)/2-CASE position WHEN 2 THEN 0.02e0 WHEN 1 THEN 0.002e0 ELSE 0 END ELSE a END,6) AS metric FROM r""")
 def c16(spark, sf):
     tie = F.when(F.col("position") == 2, 0.02).when(F.col("position") == 1, 0.002).otherwise(0.0)
-    out = c.rank_consensus(forecasts(spark, sf), ["period"], "f_base", ["f_exp", "f_price"], 0.3, tie, F.col("epoch") >= 2, "metric")
+    out = c.rank_consensus(forecasts(spark, sf), ["period"], "entity", "f_base", ["f_exp", "f_price"], 0.3, tie, F.col("epoch") >= 2, "metric")
     return out.select(*KEY, r6("metric").alias("metric"))
 
 
@@ -243,7 +256,7 @@ bd AS (SELECT target, position, bin, quantile_cont(r,0.1) AS lo, quantile_cont(r
 SELECT entity, period, round(coalesce(lo,-0.8e0*unc),6) AS lower, round(coalesce(hi,0.8e0*unc),6) AS upper FROM ak LEFT JOIN bd ON bd.target=ak.epoch AND bd.position=ak.position AND bd.bin=ak.bin""")
 def c22(spark, sf):
     fp = forecasts(spark, sf)
-    out = c.residual_band(fp, "position", "unc", F.col("points") - F.col("f_base"), SEEN)
+    out = c.residual_band(fp, "position", "unc", F.col("points") - F.col("f_base"), seen())
     return out.select(*KEY, r6("lower").alias("lower"), r6("upper").alias("upper"))
 
 
@@ -258,7 +271,7 @@ pr AS (SELECT e.epoch, er.blend, sum(er) AS er, sum(n) AS n, sum(he) AS he, sum(
 sc AS (SELECT epoch, blend, er/n+0.35e0*he/hn-1.2e0*rho/rn-0.08e0*tp/g AS score FROM pr)
 SELECT epoch, arg_min(blend, score) AS blend, round(min(score),6) AS score FROM sc GROUP BY epoch""")
 def c23(spark, sf):
-    parts = c.blend_scores(forecasts(spark, sf), ["f_base", "f_exp", "f_price"], BLENDS, "points", "entity", SEEN)
+    parts = c.blend_scores(forecasts(spark, sf), ["f_base", "f_exp", "f_price"], BLENDS, "points", "entity", seen())
     return c.select_blend(parts).select("epoch", "blend", r6("score").alias("score"))
 
 

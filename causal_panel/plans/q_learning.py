@@ -6,36 +6,35 @@ from pyspark.sql import functions as F
 from ..functions.markets import no_vig
 from ..operators import learning as m
 from ..operators.estimators import quantile_map, relevance
+from ..sources.scratch import settle
 from .bindings import forecasts
 from .q_decisions import opportunities
 from .registry import query, r6
 
 KEY = ["entity", "period"]
-SEEN = F.col("slate") > 0
 
 
-def reused(df):
-    """Several fits read these rows: compute them once."""
-    return df.persist()
+def seen():
+    return F.col("slate") > 0
 
 
 @query("C10_walk_forward_isotonic")
 def c10(spark, sf):
-    fp = reused(forecasts(spark, sf).select(*KEY, "epoch", "position", "slate", "points", "f_base"))
-    return m.walk_forward_isotonic(fp, "position", "f_base", "points", SEEN, "calibrated").select(*KEY, r6("calibrated").alias("calibrated"))
+    fp = settle(forecasts(spark, sf).select(*KEY, "epoch", "position", "slate", "points", "f_base"))
+    return m.walk_forward_isotonic(fp, "position", "f_base", "points", seen(), "calibrated").select(*KEY, r6("calibrated").alias("calibrated"))
 
 
 @query("C19_walk_forward_trees")
 def c19(spark, sf):
-    fp = reused(forecasts(spark, sf).select(*KEY, "epoch", "position", "slate", "points", "f_base", "f_exp", "f_price", F.col("n_prior").cast("double").alias("n_prior")))
-    out = m.walk_forward_trees(fp, ["f_base", "f_exp", "f_price", "n_prior"], "points", SEEN, "f_base", "tree", "points", trees=8)
+    fp = settle(forecasts(spark, sf).select(*KEY, "epoch", "position", "slate", "points", "f_base", "f_exp", "f_price", F.col("n_prior").cast("double").alias("n_prior")))
+    out = m.walk_forward_trees(fp, ["f_base", "f_exp", "f_price", "n_prior"], "points", seen(), "f_base", "tree", "points", trees=8)
     return out.select(*KEY, r6("tree").alias("tree"))
 
 
 @query("C20_market_model")
 def c20(spark, sf):
     win, draw, loss = no_vig([1 + F.col("goals") / 2.0, 1 + F.col("assists") / 2.0, 1 + F.col("clean") / 4.0])
-    fp = reused(forecasts(spark, sf).select(*KEY, "epoch", win.alias("win"), loss.alias("loss"), F.col("is_home").cast("double").alias("home"), F.col("bonus").alias("scored"), (F.col("conceded") == 0).alias("clean")))
+    fp = settle(forecasts(spark, sf).select(*KEY, "epoch", win.alias("win"), loss.alias("loss"), F.col("is_home").cast("double").alias("home"), F.col("bonus").alias("scored"), (F.col("conceded") == 0).alias("clean")))
     swapped = {"win": F.col("loss"), "loss": F.col("win"), "home": 1 - F.col("home")}
     out = m.market_model(fp, ["win", "loss", "home"], swapped, "scored", F.col("clean"), 4)
     return out.select(*KEY, r6("expected_for").alias("expected_for"), r6("clean_chance").alias("clean_chance"))
@@ -45,13 +44,13 @@ def c20(spark, sf):
 def c21(spark, sf):
     """Trees on the relevance label, given the reference's scale within each deadline and stratum."""
     fp = forecasts(spark, sf).select(*KEY, "epoch", "position", "slate", "points", "f_base", "f_exp", "f_price").withColumn("label", relevance(F.col("points")))
-    ranked = m.walk_forward_trees(reused(fp), ["f_base", "f_exp", "f_price"], "label", SEEN, "f_base", "rank_score", "points", trees=5, depth=3)
-    out = quantile_map(ranked.persist(), ["period", "position"], "entity", "rank_score", "f_base", "mapped", "slate")
+    ranked = m.walk_forward_trees(settle(fp), ["f_base", "f_exp", "f_price"], "label", seen(), "f_base", "rank_score", "points", trees=5, depth=3)
+    out = quantile_map(settle(ranked), ["period", "position"], "entity", "rank_score", "f_base", "mapped", "slate")
     return out.select(*KEY, r6("mapped").alias("mapped"))
 
 
 def fitted_actions(spark, sf):
-    fp = reused(forecasts(spark, sf).where(SEEN).select(
+    fp = settle(forecasts(spark, sf).where(seen()).select(
         *KEY, "epoch", "f_base", "f_exp", "f_price", (F.col("points") - F.col("f_exp")).alias("gain")
     ))
     return m.action_fits(fp, ["f_base", "f_exp", "f_price"], "gain")
@@ -70,6 +69,6 @@ def c26b(spark, sf):
 
 @query("C30_opportunity_value")
 def c30(spark, sf):
-    op = reused(opportunities(spark, sf).select("epoch", "period", "sig_a", "sig_b", F.col("deep").cast("double").alias("deep"), F.col("gain_a").cast("double").alias("gain_a")))
+    op = settle(opportunities(spark, sf).select("epoch", "period", "sig_a", "sig_b", F.col("deep").cast("double").alias("deep"), F.col("gain_a").cast("double").alias("gain_a")))
     out = m.opportunity_value(op, ["sig_a", "sig_b", "deep"], "gain_a", "sig_a", "value")
     return out.select("epoch", "period", r6("value").alias("value"), r6("scale").alias("scale"))

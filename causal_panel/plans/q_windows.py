@@ -11,8 +11,17 @@ from .bindings import FORECASTS, PANEL, USER_DAYS, forecasts, panel, table, user
 from .registry import query, r6
 
 KEY = ["entity", "period"]
-LINE = w.timeline("entity", "period")
-SEEN = F.when(F.col("slate") > 0, F.col("points"))
+
+
+def line():
+    return w.timeline("entity", "period")
+
+
+def seen():
+    """Points of rows with a slate; null otherwise."""
+    return F.when(F.col("slate") > 0, F.col("points"))
+
+
 SEEN_SQL = "CASE WHEN slate>0 THEN points END"
 
 
@@ -23,31 +32,31 @@ def over(rows: int | None, part: str = "entity", order: str = "period") -> str:
 
 @query("E1_prior_sum", PANEL + f"SELECT entity, period, CAST(coalesce(sum(points) {over(None)},0) AS BIGINT) AS total FROM panel")
 def e1(spark, sf):
-    return panel(spark, sf).select(*KEY, w.prior_sum("points", LINE).alias("total"))
+    return panel(spark, sf).select(*KEY, w.prior_sum("points", line()).alias("total"))
 
 
 @query("E2_prior_expanding_mean", PANEL + f"SELECT entity, period, round(avg({SEEN_SQL}) {over(None)},6) AS long_form FROM panel")
 def e2(spark, sf):
-    return panel(spark, sf).select(*KEY, r6(w.prior_mean(SEEN, LINE)).alias("long_form"))
+    return panel(spark, sf).select(*KEY, r6(w.prior_mean(seen(), line())).alias("long_form"))
 
 
 @query("E3_prior_rolling_mean", PANEL + f"""SELECT entity, period, round(CASE WHEN count({SEEN_SQL}) {over(4)}>=2 THEN avg({SEEN_SQL}) {over(4)} END,6) AS recent4,
  round(avg({SEEN_SQL}) {over(2)},6) AS recent2, round(avg({SEEN_SQL}) {over(2)}-avg({SEEN_SQL}) {over(6)},6) AS change_2v6 FROM panel""")
 def e3(spark, sf):
-    two, six = w.prior_mean(SEEN, LINE, 2), w.prior_mean(SEEN, LINE, 6)
+    two, six = w.prior_mean(seen(), line(), 2), w.prior_mean(seen(), line(), 6)
     return panel(spark, sf).select(
-        *KEY, r6(w.prior_mean(SEEN, LINE, 4, 2)).alias("recent4"), r6(two).alias("recent2"), r6(two - six).alias("change_2v6")
+        *KEY, r6(w.prior_mean(seen(), line(), 4, 2)).alias("recent4"), r6(two).alias("recent2"), r6(two - six).alias("change_2v6")
     )
 
 
 @query("E4_prior_rolling_sum", PANEL + f"SELECT entity, period, CAST(coalesce(sum(slate) {over(10)},0) AS BIGINT) AS games10, CAST(coalesce(sum(goals) {over(18)},0) AS BIGINT) AS goals18 FROM panel")
 def e4(spark, sf):
-    return panel(spark, sf).select(*KEY, w.prior_sum("slate", LINE, 10).alias("games10"), w.prior_sum("goals", LINE, 18).alias("goals18"))
+    return panel(spark, sf).select(*KEY, w.prior_sum("slate", line(), 10).alias("games10"), w.prior_sum("goals", line(), 18).alias("goals18"))
 
 
 @query("E5_prior_rolling_std", PANEL + f"SELECT entity, period, round(CASE WHEN count({SEEN_SQL}) {over(8)}>=2 THEN stddev_samp({SEEN_SQL}) {over(8)} END,6) AS volatility FROM panel")
 def e5(spark, sf):
-    return panel(spark, sf).select(*KEY, r6(w.prior_std(SEEN, LINE, 8)).alias("volatility"))
+    return panel(spark, sf).select(*KEY, r6(w.prior_std(seen(), line(), 8)).alias("volatility"))
 
 
 def ewm_sql(name: str, source: str, part: str, order: str, x: str, alpha: float) -> str:
@@ -62,14 +71,14 @@ def ewm_sql(name: str, source: str, part: str, order: str, x: str, alpha: float)
 
 @query("E6_prior_ewm", "WITH RECURSIVE " + PANEL[5:] + ewm_sql("e", "panel", "entity", "period", SEEN_SQL, 0.22) + " SELECT entity, period, round(y,6) AS form FROM e")
 def e6(spark, sf):
-    return panel(spark, sf).select(*KEY, r6(w.prior_ewm(SEEN, LINE, 0.22)).alias("form"))
+    return panel(spark, sf).select(*KEY, r6(w.prior_ewm(seen(), line(), 0.22)).alias("form"))
 
 
 @query("E7_lag_lead_gap", USER_DAYS + """SELECT entity, period, round(coalesce(CASE WHEN lag(first_ts) OVER u IS NOT NULL THEN least(14e0,greatest(2e0,date_diff('microsecond', lag(first_ts) OVER u, first_ts)/86400000000e0)) END,7e0),6) AS rest_days,
  lead(points) OVER u - points AS next_change FROM ud WINDOW u AS (PARTITION BY entity ORDER BY period)""")
 def e7(spark, sf):
     return user_days(spark, sf).select(
-        *KEY, r6(w.days_since("first_ts", LINE)).alias("rest_days"), (F.lead("points").over(LINE) - F.col("points")).alias("next_change")
+        *KEY, r6(w.days_since("first_ts", line())).alias("rest_days"), (F.lead("points").over(line()) - F.col("points")).alias("next_change")
     )
 
 
@@ -81,7 +90,7 @@ def pct_sql(x: str, part: str) -> str:
 @query("E8_percentile_rank", PANEL + f"""SELECT entity, period, round(CASE WHEN points IS NULL OR slate=0 OR count({SEEN_SQL}) OVER (PARTITION BY period, position)<2 THEN 0.5e0 ELSE {pct_sql('(' + SEEN_SQL + ')', 'period, position')} END,6) AS standing,
  round({pct_sql('price', 'period, position')},6) AS price_standing FROM panel""")
 def e8(spark, sf):
-    base = panel(spark, sf).withColumn("seen", SEEN)
+    base = panel(spark, sf).withColumn("seen", seen())
     filled = percentile_rank(base, ["period", "position"], "seen", "standing")
     both = percentile_rank(filled, ["period", "position"], "price", "price_standing", fill=None)
     return both.select(*KEY, r6("standing").alias("standing"), r6("price_standing").alias("price_standing"))
@@ -108,8 +117,8 @@ def e10(spark, sf):
  coalesce(last_value(CASE WHEN slate>2 THEN price END IGNORE NULLS) OVER (PARTITION BY entity ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(CASE WHEN slate>2 THEN price END IGNORE NULLS) OVER (PARTITION BY entity ORDER BY period ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled_price FROM panel""")
 def e11(spark, sf):
     known = F.when(F.col("slate") > 2, F.col("price"))
-    held = w.forward_fill(known, LINE)
-    return panel(spark, sf).select(*KEY, held.alias("held_price"), F.coalesce(held, w.back_fill(known, LINE)).alias("filled_price"))
+    held = w.forward_fill(known, line())
+    return panel(spark, sf).select(*KEY, held.alias("held_price"), F.coalesce(held, w.back_fill(known, line())).alias("filled_price"))
 
 
 SIDES = """, side_panel AS (SELECT epoch, period, side, CAST(count(*) AS INTEGER) AS games, CAST(sum(goals) AS BIGINT) AS scored, CAST(sum(assists) AS BIGINT) AS x_scored,
@@ -190,7 +199,7 @@ def e15(spark, sf):
 @query("E16_first_negative_period", PANEL + """, c AS (SELECT entity, period, sum(goals-assists) OVER (PARTITION BY entity ORDER BY period) AS t FROM panel)
 SELECT entity, min(CASE WHEN t<0 THEN period END) AS first_negative FROM c GROUP BY entity""")
 def e16(spark, sf):
-    running = F.sum(F.col("goals") - F.col("assists")).over(LINE.rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum(F.col("goals") - F.col("assists")).over(line().rowsBetween(Window.unboundedPreceding, 0))
     return panel(spark, sf).select("entity", "period", running.alias("t")).groupBy("entity").agg(
         F.min(F.when(F.col("t") < 0, F.col("period"))).alias("first_negative")
     )
@@ -204,7 +213,7 @@ def e17(spark, sf):
         *KEY, "slate", (F.col("lines") % 5 != 0).alias("tr"), (F.col("goals") - 1).alias("xp"),
         F.when(F.col("slate") < 2, 0).otherwise(F.col("minutes")).alias("m"), (F.col("transfers") / 300.0).alias("pr"),
     )
-    flags = w.availability_flags(F.col("tr"), F.col("xp"), F.col("m"), F.col("slate"), F.col("pr"), LINE)
+    flags = w.availability_flags(F.col("tr"), F.col("xp"), F.col("m"), F.col("slate"), F.col("pr"), line())
     return p.select(*KEY, *[c.alias(n) for n, c in flags.items()])
 
 
@@ -222,7 +231,7 @@ START_PRIOR = {1: 0.68, 2: 0.58, 3: 0.56, 4: 0.54}
 
 @query("E19_shrunk_rate", PANEL + f"""SELECT entity, period, round(least(0.98e0,greatest(0.03e0,(coalesce(sum(goals) {over(10)},0)+4*CASE position WHEN 1 THEN 0.68e0 WHEN 2 THEN 0.58e0 WHEN 3 THEN 0.56e0 ELSE 0.54e0 END)/(coalesce(sum(lines) {over(10)},0)+4))),6) AS rate FROM panel""")
 def e19(spark, sf):
-    rate = w.shrunk_prior_rate("goals", "lines", lookup(F.col("position"), START_PRIOR), 4.0, LINE, 10, 0.03, 0.98)
+    rate = w.shrunk_prior_rate("goals", "lines", lookup(F.col("position"), START_PRIOR), 4.0, line(), 10, 0.03, 0.98)
     return panel(spark, sf).select(*KEY, r6(rate).alias("rate"))
 
 
@@ -324,7 +333,7 @@ def mix_sql(mix: dict) -> str:
 @query("E26_utility_mix", FORECASTS + f"""SELECT entity, period, round({mix_sql(MIXES['protect'])},6) AS protect, round({mix_sql(MIXES['chase'])},6) AS chase, rank() OVER (PARTITION BY period, position ORDER BY f_base DESC) AS position_rank FROM fp""")
 def e26(spark, sf):
     fp = forecasts(spark, sf)
-    mixed = w.utility_mix(fp, ["period"], MIXES)
+    mixed = w.utility_mix(fp, ["period"], "entity", MIXES)
     from ..operators.scale import ordered_prefix
     order = ordered_prefix(fp.withColumn("_v", -F.col("f_base")), ["period", "position"], "_v")
     ranked = mixed.withColumn("_v", -F.col("f_base")).join(

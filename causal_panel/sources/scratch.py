@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -13,3 +13,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Write a frame that many jobs will read, and read it back: the plan is cut at the table.
+
+    Unlike a cached frame it outlives a lost executor and takes no memory.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
