@@ -32,7 +32,7 @@ def lineup_sql(score: str, name: str = "lu") -> str:
     return f""", {name}_r AS (SELECT *, row_number() OVER (PARTITION BY period, position ORDER BY {score} DESC, entity) AS pr FROM sq), {name}_f AS (SELECT * FROM (VALUES {shapes}) t(i,d,m,f)),
 {name}_v AS (SELECT period, i, round(sum(CASE WHEN {inside} THEN {score} ELSE 0 END),6) AS t, count(*) FILTER ({inside}) AS n FROM {name}_r, {name}_f GROUP BY ALL),
 {name}_b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period ORDER BY t DESC, i) AS k FROM {name}_v WHERE n=11) WHERE k=1),
-{name}_x AS (SELECT r.*, coalesce({inside}, false) AS in_xi, t AS xi_score FROM {name}_r r LEFT JOIN {name}_b b ON b.period=r.period LEFT JOIN {name}_f fo ON fo.i=b.i),
+{name}_x AS (SELECT r.*, coalesce(b.i IS NOT NULL AND ({inside}), false) AS in_xi, t AS xi_score FROM {name}_r r LEFT JOIN {name}_b b ON b.period=r.period LEFT JOIN {name}_f fo ON fo.i=b.i),
 {name} AS (SELECT *, in_xi AND row_number() OVER (PARTITION BY period, in_xi ORDER BY {score} DESC, entity)=1 AS captain, in_xi AND row_number() OVER (PARTITION BY period, in_xi ORDER BY {score} DESC, entity)=2 AS vice,
  CASE WHEN NOT in_xi THEN row_number() OVER (PARTITION BY period, in_xi ORDER BY position=1 DESC, {score} DESC, entity) END AS bench_order FROM {name}_x)
 """

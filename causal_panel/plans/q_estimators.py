@@ -267,8 +267,8 @@ BLENDS = {"a": (1.0, 0.0, 0.0), "b": (0.5, 0.5, 0.0), "c": (0.4, 0.3, 0.3), "d":
 rw AS (SELECT blend, epoch, period, entity, points AS a, w1*f_base+w2*f_exp+w3*f_price AS f FROM fp, bl WHERE slate>0), er AS (SELECT blend, epoch, sum(abs(f-a)) AS er, count(*) AS n, sum(CASE WHEN a>2 THEN abs(f-a) END) AS he, count(*) FILTER (a>2) AS hn FROM rw GROUP BY ALL),
 rr AS (SELECT *, row_number() OVER (PARTITION BY blend, period ORDER BY f DESC, entity) AS k, rank() OVER (PARTITION BY blend, period ORDER BY f)+(count(*) OVER (PARTITION BY blend, period, f)-1)/2e0 AS rf, rank() OVER (PARTITION BY blend, period ORDER BY a)+(count(*) OVER (PARTITION BY blend, period, a)-1)/2e0 AS ra FROM rw),
 gp AS (SELECT blend, epoch, period, avg(CASE WHEN k<=15 THEN a END) AS top, corr(rf,ra) AS rho FROM rr GROUP BY ALL HAVING count(*)>=20), gs AS (SELECT blend, epoch, sum(top) AS tp, count(*) AS g, sum(CASE WHEN NOT isnan(rho) THEN rho END) AS rho, count(CASE WHEN NOT isnan(rho) THEN rho END) AS rn FROM gp GROUP BY ALL),
-pr AS (SELECT e.epoch, er.blend, sum(er) AS er, sum(n) AS n, sum(he) AS he, sum(hn) AS hn, sum(tp) AS tp, sum(g) AS g, sum(rho) AS rho, sum(rn) AS rn FROM (SELECT DISTINCT epoch FROM fp) e JOIN er ON er.epoch<e.epoch AND er.epoch>=1 JOIN gs ON gs.blend=er.blend AND gs.epoch=er.epoch GROUP BY ALL),
-sc AS (SELECT epoch, blend, er/n+0.35e0*he/hn-1.2e0*rho/rn-0.08e0*tp/g AS score FROM pr)
+pr AS (SELECT e.epoch, er.blend, sum(er) AS er, sum(n) AS n, sum(he) AS he, sum(hn) AS hn, sum(tp) AS tp, sum(g) AS g, sum(rho) AS rho, sum(rn) AS rn FROM (SELECT DISTINCT epoch FROM fp) e JOIN er ON er.epoch<e.epoch AND er.epoch>=1 LEFT JOIN gs ON gs.blend=er.blend AND gs.epoch=er.epoch GROUP BY ALL),
+sc AS (SELECT epoch, blend, er/n+0.35e0*coalesce(he/nullif(hn,0),0)-1.2e0*coalesce(rho/nullif(rn,0),0)-0.08e0*coalesce(tp/nullif(g,0),0) AS score FROM pr)
 SELECT epoch, arg_min(blend, score) AS blend, round(min(score),6) AS score FROM sc GROUP BY epoch""")
 def c23(spark, sf):
     parts = c.blend_scores(forecasts(spark, sf), ["f_base", "f_exp", "f_price"], BLENDS, "points", "entity", seen())
