@@ -372,7 +372,7 @@ def hurdle(value, risk, penalty: float) -> Column:
     return col(value) - penalty * col(risk)
 
 
-def availability_summary(starters: DataFrame, values: DataFrame, keys: Sequence[str], decision: Sequence[str]) -> DataFrame:
+def availability_summary(starters: DataFrame, values: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Starters below the floors and absent, and substitutions made and missed.
 
     starters: one row per fielded entity (start, play, minutes); values: from `realised_value`.

@@ -56,9 +56,19 @@ def recover_side(df: DataFrame, fixture: Sequence[str], opponent: str, snapshot:
     )
 
 
+# More periods than this in one epoch means the column is not an ordinal period.
+MOST_PERIODS = 100_000
+
+
 def _calendar(df: DataFrame, epoch: str, period: str) -> DataFrame:
-    """One row per epoch with its sorted periods: the size of the calendar, whatever the data."""
-    return df.groupBy(epoch).agg(F.array_sort(F.collect_set(period)).alias("_periods"))
+    """One row per epoch with its sorted periods: the size of the calendar, whatever the data.
+
+    It is broadcast, so its size is checked: an epoch of too many periods fails the job.
+    """
+    listed = df.select(epoch, period).distinct().groupBy(epoch).agg(F.array_sort(F.collect_list(period)).alias("_periods"))
+    kind = listed.schema["_periods"].dataType
+    too_long = F.raise_error(F.lit("too many periods in an epoch to lay out")).cast(kind)
+    return listed.withColumn("_periods", F.when(F.size("_periods") <= MOST_PERIODS, F.col("_periods")).otherwise(too_long))
 
 
 def dense_spine(df: DataFrame, epoch: str, entity: str, period: str, fills: dict[str, object]) -> DataFrame:

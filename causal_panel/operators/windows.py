@@ -69,7 +69,7 @@ def prior_ewm(value, window, alpha: float) -> Column:
 
 
 def days_since(instant, window, low=2.0, high=14.0, default=7.0) -> Column:
-    gap = F.unix_micros(F.to_timestamp(col(instant))) - F.unix_micros(F.to_timestamp(F.lag(col(instant)).over(window)))
+    gap = F.timestamp_diff("MICROSECOND", F.lag(col(instant)).over(window), col(instant))
     return F.coalesce(clip(gap / F.lit(86_400_000_000.0), low, high), F.lit(default))
 
 
@@ -376,6 +376,7 @@ def congestion(fixtures: DataFrame, home: str, away: str, kickoff: str, default:
     sides = fixtures.select(F.explode(F.array(home, away)).alias("side"), F.col(kickoff).alias("_at"))
     # kick-offs are collapsed first, so a side has one row per instant
     at = sides.groupBy("side", "_at").agg(F.count(F.lit(1)).alias("_n"))
-    gap = (F.unix_micros(F.to_timestamp("_at")) - F.unix_micros(F.to_timestamp(F.lag("_at").over(timeline("side", "_at"))))) / F.lit(86_400_000_000.0)
+    last = F.lag("_at").over(timeline("side", "_at"))
+    gap = F.timestamp_diff("MICROSECOND", last, F.col("_at")) / F.lit(86_400_000_000.0)
     gaps = at.select("side", F.when(F.col("_n") > 1, F.lit(0.0)).otherwise(gap).alias("_gap"))
     return gaps.groupBy("side").agg(F.coalesce(F.min("_gap"), F.lit(default)).alias("minimum_gap"))

@@ -109,7 +109,7 @@ def k4(spark, sf):
         "event_id", F.col("value").alias("minutes"), ((F.col("event_id") % 12) / 10.0).alias("start"), F.when(F.col("event_id") % 5 != 0, 0.6).alias("confidence"),
         F.when(F.col("event_id") % 4 != 0, F.concat(text, F.lit("Z"))).otherwise(text).alias("updated_at"),
     )
-    admitted = k.admit_overrides(given, F.lit("2024-01-25 00:00:00").cast("timestamp"))
+    admitted = k.admit_overrides(given, F.lit("2024-01-25 00:00:00+00:00").cast("timestamp"))
     model = events.select(
         "event_id", F.lit(70.0).alias("model_minutes"), F.lit(0.8).alias("model_start"), F.when(F.col("event_id") % 3 == 0, 50.0).alias("chance"),
         F.when(F.col("event_id") % 9 == 0, "d").otherwise("a").alias("status"),

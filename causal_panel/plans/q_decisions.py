@@ -85,11 +85,31 @@ def d3(spark, sf):
     return lineups(spark, sf).select("period", "entity", "in_xi", "captain", "vice", "bench_order", r6("xi_score").alias("xi_score"))
 
 
+def realised_sql(lu: str, score: str, name: str, carry: str = "") -> str:
+    """CTEs that walk the bench of each line-up in order; `name` has normal, no_shows and filled."""
+    on = "minutes>0"
+    fits = "q=b.p OR (q<>1 AND b.p<>1 AND CASE q WHEN 2 THEN n2-1>=3 WHEN 3 THEN n3-1>=2 ELSE n4-1>=1 END)"
+    ok = "(played AND spot>0)"
+    counts = ", ".join(f"n{k}+CASE WHEN {ok} AND p={k} THEN 1 ELSE 0 END-CASE WHEN {ok} AND ab[spot]={k} THEN 1 ELSE 0 END" for k in (2, 3, 4))
+    return f""", {name}_b AS (SELECT period, bench_order AS k, position AS p, {on} AS played, points AS v FROM {lu} WHERE NOT in_xi),
+{name}_s AS (SELECT period, coalesce(list(position ORDER BY position, {score} DESC, entity) FILTER (in_xi AND NOT ({on})), []) AS ab, CAST(count(*) FILTER (in_xi AND position=2) AS BIGINT) AS n2, CAST(count(*) FILTER (in_xi AND position=3) AS BIGINT) AS n3, CAST(count(*) FILTER (in_xi AND position=4) AS BIGINT) AS n4,
+ sum(CASE WHEN in_xi AND {on} THEN points ELSE 0 END) AS xp, sum(CASE WHEN {on} THEN points ELSE 0 END) AS ap, coalesce(max(CASE WHEN captain AND {on} THEN points END), max(CASE WHEN vice AND {on} THEN points END), 0) AS bonus, count(*) FILTER (in_xi AND NOT ({on})) AS no_shows FROM {lu} GROUP BY period),
+{name}_r AS (SELECT period, CAST(0 AS BIGINT) AS k, ab, n2, n3, n4, CAST(0 AS BIGINT) AS gain, CAST(0 AS BIGINT) AS filled FROM {name}_s UNION ALL
+ SELECT period, k+1, CASE WHEN {ok} THEN list_concat(ab[1:spot-1], ab[spot+1:]) ELSE ab END, {counts}, gain+CASE WHEN {ok} THEN v ELSE 0 END, filled+CASE WHEN {ok} THEN 1 ELSE 0 END
+ FROM (SELECT r.*, b.p, b.played, b.v, coalesce(list_position(list_transform(ab, lambda q: {fits}), true), 0) AS spot FROM {name}_r r JOIN {name}_b b ON b.period=r.period AND b.k=r.k+1) q),
+{name}_l AS (SELECT period, max(gain) AS gain, max(filled) AS filled FROM {name}_r GROUP BY period),
+{name} AS (SELECT s.period, CAST(xp+gain+bonus AS DOUBLE) AS normal, CAST(ap+bonus AS DOUBLE) AS all_squad, CAST(xp+gain+2*bonus AS DOUBLE) AS triple, CAST(bonus AS DOUBLE) AS captain_bonus, CAST(no_shows AS INTEGER) AS no_shows, CAST(filled AS INTEGER) AS recovered, CAST(no_shows-filled AS INTEGER) AS unfilled FROM {name}_s s JOIN {name}_l l ON l.period=s.period)
+"""
+
+
+RECURSIVE = "WITH RECURSIVE " + LINEUP[5:]
+
+
 def realised(spark, sf):
     return d.realised_value(lineups(spark, sf), ["period"], "entity", "position", "f_base", "points", "minutes")
 
 
-@query("D4_realised_value")
+@query("D4_realised_value", RECURSIVE + realised_sql("lu", "f_base", "rv") + "SELECT * FROM rv")
 def d4(spark, sf):
     return realised(spark, sf)
 
@@ -116,7 +136,8 @@ def d5b(spark, sf):
     return out.select("metric", r6("bonus").alias("bonus"), r6("regret").alias("regret"), "change", "changed", "positive", "negative")
 
 
-@query("D6_path_regret")
+@query("D6_path_regret", RECURSIVE + realised_sql("lu", "f_base", "rv") + lineup_sql("points", "lb") + realised_sql("lb", "points", "rb")
+       + "SELECT rv.period, rv.normal AS taken, rb.normal AS best, rb.normal-rv.normal AS regret FROM rv JOIN rb USING (period)")
 def d6(spark, sf):
     return d.path_regret(squads(spark, sf), ["period"], "entity", "position", "f_base", "points", "minutes")
 
@@ -178,10 +199,15 @@ def d10(spark, sf):
     return out.select("epoch", "start", "period", r6("sig_a").alias("sig_a"), "gain_a", "crossed")
 
 
-@query("D11_resource_schedule")
+@query("D11_resource_schedule", "WITH RECURSIVE " + CROSS[5:] + """, w AS (SELECT epoch, "start", period, sig_a, sig_b, deep, CAST(gain_a AS DOUBLE) AS ga, CAST(gain_b AS DOUBLE) AS gb, row_number() OVER (PARTITION BY epoch, "start" ORDER BY period) AS i FROM j),
+o AS (SELECT epoch, "start", period, i, [{'x': sig_b-4.2e0, 's': sig_b, 'n': 'bench', 'g': gb}, {'x': sig_a-9e0, 's': sig_a, 'n': 'captain', 'g': ga}, {'x': deep-15e0, 's': deep*1e0, 'n': 'free', 'g': gb}] AS offers FROM w),
+r AS (SELECT epoch, "start", CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, NULL::INTEGER AS period, NULL::STRUCT(x DOUBLE, s DOUBLE, n VARCHAR, g DOUBLE) AS pick FROM (SELECT DISTINCT epoch, "start" FROM o) UNION ALL
+ SELECT epoch, "start", i, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.n) END, period, best FROM (SELECT o.epoch, o."start", o.i, used, o.period, list_sort(list_filter(offers, lambda f: f.x>=0 AND NOT list_contains(used, f.n)), 'DESC')[1] AS best FROM r JOIN o ON o.epoch=r.epoch AND o."start"=r."start" AND o.i=r.i+1) q)
+SELECT epoch, "start", period, pick.n AS resource, round(pick.s,6) AS signal, pick.g AS gain FROM r WHERE pick IS NOT NULL""")
 def d11(spark, sf):
     rows = windowed(spark, sf)
-    return d.resource_schedule(rows, ["epoch", "start"], "period", {"bench": "sig_b", "captain": "sig_a", "free": "deep"}, {"bench": "gain_b", "captain": "gain_a", "free": "gain_b"}, {"bench": 4.2, "captain": 9.0, "free": 15.0})
+    out = d.resource_schedule(rows, ["epoch", "start"], "period", {"bench": "sig_b", "captain": "sig_a", "free": "deep"}, {"bench": "gain_b", "captain": "gain_a", "free": "gain_b"}, {"bench": 4.2, "captain": 9.0, "free": 15.0})
+    return out.withColumn("signal", r6("signal"))
 
 
 @query("D12_expanding_threshold", OPPORTUNITY + """SELECT e.epoch, round(coalesce(quantile_cont(sig_a,0.8),15e0),6) AS threshold FROM (SELECT DISTINCT epoch FROM op) e LEFT JOIN op ON op.epoch<e.epoch AND deep>=8 GROUP BY e.epoch""")
@@ -190,11 +216,20 @@ def d12(spark, sf):
     return out.select("epoch", r6("threshold").alias("threshold"))
 
 
-@query("D13_reservation_schedule")
+@query("D13_reservation_schedule", "WITH RECURSIVE " + CROSS[5:] + """, w AS (SELECT epoch, "start", period, sig_a-0.5e0*(u*(1.15e0-0.35e0*0.8e0)) AS sa, sig_b-0.5e0*(u+1.5e0*1) AS sb, CAST(gain_a AS DOUBLE) AS ga, CAST(gain_b AS DOUBLE) AS gb, row_number() OVER (PARTITION BY epoch, "start" ORDER BY period) AS i, count(*) OVER (PARTITION BY epoch, "start") AS n FROM j),
+p AS (SELECT e.epoch, list_sort(list(sa)) AS pa, list_sort(list(sb)) AS pb, stddev_pop(sa) AS da, stddev_pop(sb) AS db FROM (SELECT DISTINCT epoch FROM w) e JOIN w ON w.epoch<e.epoch GROUP BY e.epoch),
+f AS (SELECT w.*, m, 0.8e0*greatest(0e0,(n-i+1-m)/n::DOUBLE) AS q, pa, pb, da, db FROM w CROSS JOIN (SELECT unnest([1,2]) AS m) LEFT JOIN p ON p.epoch=w.epoch),
+t AS (SELECT *, CASE WHEN pa IS NULL THEN 6e0 ELSE pa[CAST(floor((len(pa)-1)*q) AS BIGINT)+1]+(pa[CAST(ceil((len(pa)-1)*q) AS BIGINT)+1]-pa[CAST(floor((len(pa)-1)*q) AS BIGINT)+1])*((len(pa)-1)*q-floor((len(pa)-1)*q)) END AS ba,
+ CASE WHEN pb IS NULL THEN 8e0 ELSE pb[CAST(floor((len(pb)-1)*q) AS BIGINT)+1]+(pb[CAST(ceil((len(pb)-1)*q) AS BIGINT)+1]-pb[CAST(floor((len(pb)-1)*q) AS BIGINT)+1])*((len(pb)-1)*q-floor((len(pb)-1)*q)) END AS bb, CASE WHEN pa IS NULL THEN 4e0 ELSE greatest(1e0,da) END AS ca, CASE WHEN pb IS NULL THEN 4e0 ELSE greatest(1e0,db) END AS cb FROM f),
+o AS (SELECT epoch, "start", period, i, m, n-i+1<=m AS must, [{'u': (sb-bb)/cb, 'i': 0, 'n': 'bench', 's': sb, 'b': bb, 'g': gb}, {'u': (sa-ba)/ca, 'i': -1, 'n': 'captain', 's': sa, 'b': ba, 'g': ga}] AS offers FROM t),
+r AS (SELECT epoch, "start", CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, NULL::INTEGER AS period, false AS must, NULL::STRUCT(u DOUBLE, i INTEGER, n VARCHAR, s DOUBLE, b DOUBLE, g DOUBLE) AS pick FROM (SELECT DISTINCT epoch, "start" FROM w) UNION ALL
+ SELECT epoch, "start", i, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.n) END, period, must, best FROM (SELECT o.epoch, o."start", o.i, used, o.period, o.must, list_sort(list_filter(offers, lambda z: (o.must OR z.s>=z.b) AND NOT list_contains(used, z.n)), 'DESC')[1] AS best FROM r JOIN o ON o.epoch=r.epoch AND o."start"=r."start" AND o.i=r.i+1 AND o.m=2-len(used)) q)
+SELECT epoch, "start", period, pick.n AS resource, round(pick.s,6) AS score, round(pick.b,6) AS reservation, pick.g AS gain, must AND pick.s<pick.b AS forced FROM r WHERE pick IS NOT NULL""")
 def d13(spark, sf):
     rows = windowed(spark, sf).withColumn("score_a", d.hurdle("sig_a", d.risk_proxy("captain", "u", F.lit(0.8)), 0.5))
     rows = rows.withColumn("score_b", d.hurdle("sig_b", d.risk_proxy("bench", "u", blanks=F.lit(1)), 0.5))
-    return d.reservation_schedule(rows, ["epoch", "start"], "epoch", "period", {"bench": "score_b", "captain": "score_a"}, {"bench": "gain_b", "captain": "gain_a"}, {"bench": 8.0, "captain": 6.0}, 0.8)
+    out = d.reservation_schedule(rows, ["epoch", "start"], "epoch", "period", {"bench": "score_b", "captain": "score_a"}, {"bench": "gain_b", "captain": "gain_a"}, {"bench": 8.0, "captain": 6.0}, 0.8)
+    return out.withColumn("score", r6("score")).withColumn("reservation", r6("reservation"))
 
 
 @query("D14_best_in_window", CROSS + """SELECT epoch, "start", arg_max(period, gain_b*1000-period) AS best_period, max(gain_b) AS best_value, arg_max(period, gain_b*1000-period) FILTER (deep>=8) AS structural_period, max(gain_b) FILTER (deep>=8) AS structural_value FROM j GROUP BY ALL""")
@@ -214,12 +249,14 @@ def d15(spark, sf):
     return opportunities(spark, sf).select("epoch", "period", r6(captain).alias("captain_risk"), r6(bench).alias("bench_risk"), r6(d.hurdle("sig_a", captain, 0.5)).alias("net"))
 
 
-@query("D16_availability_summary")
+@query("D16_availability_summary", RECURSIVE + realised_sql("lu", "f_base", "rv") + """, a AS (SELECT epoch, count(*) AS starters, round(avg(CASE WHEN lines/10e0<0.7 OR lines/8e0<0.84 THEN 1e0 ELSE 0e0 END),6) AS below_floor, count(*) FILTER (lines/8e0<0.7) AS severe, round(avg(CASE WHEN minutes<=0 THEN 1e0 ELSE 0e0 END),6) AS no_show_rate FROM lu WHERE in_xi GROUP BY epoch),
+b AS (SELECT epoch, count(*) FILTER (no_shows>0) AS weeks_with_no_show, CAST(sum(recovered) AS BIGINT) AS recovered, CAST(sum(unfilled) AS BIGINT) AS unfilled FROM rv JOIN (SELECT DISTINCT epoch, period FROM lu) USING (period) GROUP BY epoch) SELECT * FROM a JOIN b USING (epoch)""")
 def d16(spark, sf):
     lu = lineups(spark, sf)
     starters = lu.where("in_xi").select("epoch", (F.col("lines") / 10.0).alias("start"), (F.col("lines") / 8.0).alias("play"), "minutes")
     values = d.realised_value(lu, ["epoch", "period"], "entity", "position", "f_base", "points", "minutes")
-    return d.availability_summary(starters, values, ["epoch"], ["period"])
+    out = d.availability_summary(starters, values, ["epoch"])
+    return out.withColumn("below_floor", r6("below_floor")).withColumn("no_show_rate", r6("no_show_rate"))
 
 
 @query("D17_variant_comparison", PANEL + ", t AS (SELECT stratum, epoch, CAST(sum(points) AS BIGINT) AS v FROM panel GROUP BY ALL) SELECT t.stratum, t.epoch, t.v AS value, t.v-b.v AS delta FROM t LEFT JOIN t b ON b.stratum='ASIA' AND b.epoch=t.epoch")

@@ -146,11 +146,14 @@ def c8(spark, sf):
     return out.select(*KEY, r6("h3").alias("h3"))
 
 
-@query("C8_season_ahead_ridge_imputed")
+@query("C8_season_ahead_ridge_imputed", LABELLED + """, f2 AS (SELECT *, CASE WHEN n_prior%3<>1 THEN f_base END AS late FROM fl), tr AS (SELECT e.epoch AS target, f2.* FROM f2 JOIN (SELECT DISTINCT epoch FROM fp) e ON f2.epoch<e.epoch WHERE slate>0),
+md AS (SELECT target, position, coalesce(quantile_cont(late,0.5),0) AS md FROM tr GROUP BY ALL), xs AS (SELECT tr.target, tr.position, coalesce(late,md) AS x, target3 AS y, pow(0.88e0,tr.target-epoch-1) AS w FROM tr JOIN md ON md.target=tr.target AND md.position=tr.position),
+ag AS (SELECT target, position, count(*) AS n, sum(x) AS ux, sum(x*x) AS uxx, sum(w) AS wn, sum(w*x) AS wx, sum(w*x*x) AS wxx, sum(w*y) AS wy, sum(w*x*y) AS wxy FROM xs GROUP BY ALL)
+SELECT entity, f2.period, round(CASE WHEN slate=0 THEN 0 WHEN n IS NULL THEN f_exp ELSE least(70e0,greatest(0,""" + RIDGE1.replace("f_base", "coalesce(late,md,0)") + """)) END,6) AS h3 FROM f2 LEFT JOIN ag ON ag.position=f2.position AND ag.target=f2.epoch LEFT JOIN md ON md.position=f2.position AND md.target=f2.epoch""")
 def c8b(spark, sf):
-    fl = labelled(spark, sf, (3, 6)).withColumn("late", F.when(F.col("n_prior") > 3, F.col("f_base")))
-    out = c.season_ahead_ridge(fl, "position", ["late", "f_exp", "f_price"], ["target3", "target6"], seen(), seen(), ["h3", "h6"], ["f_exp", "f_exp"], impute=True)
-    return out.select(*KEY, r6("h3").alias("h3"), r6("h6").alias("h6"))
+    fl = labelled(spark, sf).withColumn("late", F.when(F.col("n_prior") % 3 != 1, F.col("f_base")))
+    out = c.season_ahead_ridge(fl, "position", ["late"], ["target3"], seen(), seen(), ["h3"], ["f_exp"], impute=True)
+    return out.select(*KEY, r6("h3").alias("h3"))
 
 
 @query("C9_checkpoint_ridge", LABELLED + f""", ms AS (SELECT position, epoch, {ONE} FROM fl WHERE slate>0 GROUP BY ALL), {AGED},
