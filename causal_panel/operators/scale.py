@@ -1,11 +1,12 @@
 """Order statistics that stay parallel when one group holds most of the rows.
 
 A plain window over a group sorts the whole group in one task. Here a group is
-first collapsed to its distinct values (partial aggregation), then cut into
-slices of neighbouring values by magnitude, a fixed number per power of two. A
-slice is a function of the value alone, never of a sample, so a recomputed task
-sees the same slices. Running totals are taken inside slices and shifted by the
-totals of earlier slices, of which a group has a bounded number.
+first collapsed to its distinct values (partial aggregation). A group that is
+still large is cut into slices of neighbouring values by magnitude, with a number
+of slices per power of two that grows with its size. A slice is a function of the
+value and the group's size alone, never of a sample, so a recomputed task sees
+the same slices. Running totals are taken inside slices and shifted by the totals
+of earlier slices.
 """
 from __future__ import annotations
 
@@ -14,10 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES_PER_OCTAVE = 65_536
+# Distinct values a slice should hold, and the finest cut of a power of two.
+ROWS_PER_SLICE = 250_000
+FINEST = 1 << 20
 
 
-def slice_of(value: Column, per_octave: int = SLICES_PER_OCTAVE) -> Column:
+def slice_of(value: Column, per_octave: Column) -> Column:
     """A non-decreasing whole number of the value; the offset keeps tiny magnitudes positive."""
     v = value.cast("double")
     size = F.floor((F.log2(F.abs(v)) + 1100.0) * per_octave)
@@ -29,24 +32,33 @@ def ordered_prefix(
     keys: Sequence[str],
     value: str,
     sums: dict[str, Column] | None = None,
-    per_octave: int = SLICES_PER_OCTAVE,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """One row per (keys, value) with totals at, before and in all of the group.
 
     `sums` maps a name to an aggregate column (default: a row count `n`). For each
     name the result has `name`, `name_before` (values strictly smaller) and
-    `name_total`. Null values are left out. `value` must be numeric.
+    `name_total`. Null values are left out. `value` must be numeric, keys not null.
     """
     sums = sums or {"n": F.count(F.lit(1))}
     keys = list(keys)
     scope = keys or ["_all"]
     if not keys:
         df = df.withColumn("_all", F.lit(0))
-    sliced = (
+    counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*scope, value)
         .agg(*[agg.alias(name) for name, agg in sums.items()])
-        .withColumn("_slice", slice_of(F.col(value), per_octave))
+    )
+    # only groups above the slice size: at most (all rows / rows_per_slice) of them
+    large = (
+        counts.groupBy(*scope).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > rows_per_slice)
+        .withColumn("_cuts", F.least(F.lit(FINEST), F.ceil(F.col("_size") / rows_per_slice)))
+    )
+    sliced = (
+        counts.join(F.broadcast(large), scope, "left")
+        .withColumn("_slice", F.coalesce(slice_of(F.col(value), F.col("_cuts")), F.lit(0).cast("bigint")))
+        .drop("_size", "_cuts")
     )
     cut = [*scope, "_slice"]
     totals = sliced.groupBy(*cut).agg(*[F.sum(name).alias(f"_t_{name}") for name in sums])
@@ -70,18 +82,6 @@ def ordered_prefix(
     )
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi-join on `keys` where null matches null; the right keys are dropped."""
-    renamed = right.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
-    )
-    on = None
-    for k in keys:
-        test = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        on = test if on is None else on & test
-    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def _long(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(keys, _name, _value) rows, one per column."""
     pairs = [F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_value")) for c in columns]

@@ -24,10 +24,10 @@ def frames(spark):
     return pdf, spark.createDataFrame(pdf).selectExpr("id", "g", "if(isnan(v), null, v) as v")
 
 
-@pytest.mark.parametrize("per_octave", [1, 64, scale.SLICES_PER_OCTAVE])
-def test_ordered_prefix_any_slicing(frames, per_octave):
+@pytest.mark.parametrize("rows_per_slice", [1, 7, 100, scale.ROWS_PER_SLICE])
+def test_ordered_prefix_any_slicing(frames, rows_per_slice):
     pdf, df = frames
-    got = scale.ordered_prefix(df, ["g"], "v", per_octave=per_octave).toPandas().sort_values(["g", "v"]).reset_index(drop=True)
+    got = scale.ordered_prefix(df, ["g"], "v", rows_per_slice=rows_per_slice).toPandas().sort_values(["g", "v"]).reset_index(drop=True)
     want = pdf.dropna().groupby(["g", "v"]).size().rename("n").reset_index()
     want["n_before"] = want.groupby("g")["n"].cumsum() - want["n"]
     want["n_total"] = want.groupby("g")["n"].transform("sum")
