@@ -1 +1,7 @@
 """Causal panel analytics on Spark DataFrames."""
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers carry their code with them, so that workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,4 +1,4 @@
-"""Where derived tables go: the folder the session names, else a temporary one (tests)."""
+"""Where derived tables go: the shared folder that the session names in `spark.checkpoint.dir`."""
 from __future__ import annotations
 
 import tempfile
@@ -7,12 +7,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under `spark.checkpoint.dir`; a local one only when that is not set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder; a local session (one machine: tests, benchmark) that names none gets one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
