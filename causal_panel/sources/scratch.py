@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,9 +15,12 @@ def shared_folder(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
