@@ -23,6 +23,7 @@ from .common import settle
 #: Draws after which the values of a kind count as used up; the job then fails rather than merge two entities.
 MOST_DRAWS = 64
 
+_DIGIT = re.compile(r"\d")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+")
 _SECRET = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_\-]{16,}|AKIA[0-9A-Z]{16})(?![0-9A-Za-z])")
 _IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)")
@@ -124,6 +125,12 @@ def _ip(text: str) -> bool:
         return False
 
 
+def _phone(text: str) -> bool:
+    """Seven to fifteen digits with a country code, an area code in brackets, the form 555-1234, or three groups of nine digits or more."""
+    n, groups = sum(map(str.isdigit, text)), len(re.findall(r"\d+", text))
+    return 7 <= n <= 15 and (text[0] in "+(" or groups >= 3 and n >= 9 or bool(re.fullmatch(r"\d{3}[\-.]\d{4}", text)))
+
+
 def _digits(text: str) -> str:
     return ("+" if text[0] == "+" else "") + "".join(c for c in text if c.isalnum())
 
@@ -131,19 +138,24 @@ def _digits(text: str) -> str:
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, reduced value) of each entity of a text, in order and without overlaps. Of a name, each part is an entity."""
     found: list[tuple[int, int, str, str]] = []
+    rest = text  # with what is found blotted out, so that no later pattern runs into it
 
     def take(pattern: re.Pattern, kind: str, reduce: Callable[[str], str], fits: Callable[[str], bool] = lambda _: True) -> None:
-        found.extend((m.start(), m.end(), kind, reduce(m[0])) for m in pattern.finditer(text) if fits(m[0]))
+        nonlocal rest
+        for m in pattern.finditer(rest):
+            if fits(m[0]):
+                found.append((m.start(), m.end(), kind, reduce(m[0])))
+                rest = rest[: m.start()] + "\0" * (m.end() - m.start()) + rest[m.end() :]
 
     if "@" in text:
         take(_EMAIL, "email", str.lower)
     take(_SECRET, "secret", str)
-    if any(map(text.__contains__, "0123456789")):
+    if _DIGIT.search(text):
         take(_IP, "ip", str, _ip)
         take(_IBAN, "iban", lambda s: s.replace(" ", ""))
         take(_CARD, "card", _digits, lambda s: 13 <= sum(map(str.isdigit, s)) <= 19)
         take(_SSN, "ssn", _digits)
-        take(_PHONE, "phone", _digits, lambda s: 7 <= sum(map(str.isdigit, s)) <= 15 and not _ip(s))
+        take(_PHONE, "phone", _digits, _phone)
     for m in _NAME.finditer(text):
         group, gender = ("titled", TITLES[m["title"]]) if m["title"] else ("family", GENDER[m["given"]])
         parts = [(m.start(group) + p.start(), m.start(group) + p.end(), p[0]) for p in re.finditer(r"[^ \-]+", m[group])]
