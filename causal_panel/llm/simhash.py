@@ -122,13 +122,13 @@ def forest(values: np.ndarray, top: int, own: int, budget: int = 4, first_budget
         if not len(a):
             continue
         (a0, a1), (b0, b1), same = trie.children(depth, a), trie.children(depth, b), a == b
-        limit = first_budget if depth < split else budget
-        for x, y, extra, drop in ((a0, b0, 0, None), (a1, b1, 0, None), (a0, b1, 1, None), (a1, b0, 1, same)):
-            use = (x >= 0) & (y >= 0) & (err + extra <= limit)
-            if drop is not None:
-                use &= ~drop
-            if use.any():
-                stack.append((depth + 1, x[use], y[use], (err[use] + extra).astype(np.int8)))
+        limit, below = first_budget if depth < split else budget, []
+        for x, y, extra, once in ((a0, b0, 0, True), (a1, b1, 0, True), (a0, b1, 1, True), (a1, b0, 1, ~same)):
+            use = np.flatnonzero((x >= 0) & (y >= 0) & (err <= limit - extra) & once)
+            below.append((x[use], y[use], err[use] + np.int8(extra)))
+        a, b, err = (np.concatenate(x) for x in zip(*below, strict=True))
+        if len(a):
+            stack.append((depth + 1, a, b, err))
     return root
 
 
