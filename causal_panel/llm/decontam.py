@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Which words a seed reads (1) and ignores (0). Fixed values.
-MASKS = ("1101100111", "1011011011", "1110011101", "11001011011")
 #: Items of fewer words say too little to be found in a text and are left out; longer ones need so many words together.
 SHORTEST_ITEM, LEAST_WORDS, SIMILARITY = 5, 13, 0.8
+#: Which words a seed reads (1) and ignores (0). Wherever two of 13 words in a row differ, one of the first pair still fits between them;
+#: the others do so for items of 5 to 12 words at a similarity of 0.8. So with these parameters no overlap is missed.
+MASKS, SHORT_MASKS = ("11101011", "11001111"), ("1111", "11011", "10111", "11101")
 #: Seed hashes in a block of the benchmark (about 50 MB with the words of the items).
 BLOCK_HASHES = 1 << 20
 WORDS = re.compile(r"\w+")
@@ -52,8 +53,7 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def _masks_of(n: int) -> tuple[str, ...]:
-    """Masks for an item of n words: one over the whole item, no word ignored, where it is too short for some mask."""
-    return tuple(m for m in MASKS if len(m) <= n) + (("1" * n,) if n < max(map(len, MASKS)) else ())
+    return MASKS if n >= LEAST_WORDS else SHORT_MASKS
 
 
 class Block:
@@ -107,7 +107,7 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_hashes: i
     """The benchmark as broadcast blocks of about `block_hashes` hashes; each item is in one of them."""
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t"))
     n_words = items.agg(F.sum(F.regexp_count("t", F.lit(r"\w+")))).first()[0] or 0
-    blocks = max(1, -(-n_words * (len(MASKS) + 1) // block_hashes))
+    blocks = max(1, -(-n_words * len(SHORT_MASKS) // block_hashes))
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
         yield benchmark.sparkSession.sparkContext.broadcast(Block([tuple(r) for r in rows]))

@@ -37,7 +37,9 @@ BOILERPLATE_WORDS = frozenset(
     "dialog disclaimer disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion "
     "recommend recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
-NAMED_BOILERPLATE, NAMED_CONTENT, LINKED, ALONE = -8.0, 2.0, -4.0, -0.2
+NAMED_BOILERPLATE, NAMED_CONTENT, LINKED, ALONE = -10.0, 2.0, -4.0, -0.2
+#: What all containers of a block may say for content together, so that one word against it is heard inside an article, too.
+MOST_CONTENT = 3.5
 #: Smoothness of neighbours in page order and of the next block in the same container.
 ORDER_TIE, CONTAINER_TIE = 1.2, 0.6
 
@@ -105,7 +107,7 @@ class _Page:
             own = TAG_EVIDENCE.get(name, 0.0)
             if name == "header" and above > 0:  # an article's own head
                 own = 0.0
-            self.stack.append((name, self.n, above + own + (_attributes(attrs) if attrs else 0.0)))
+            self.stack.append((name, self.n, min(MOST_CONTENT, above + own + (_attributes(attrs) if attrs else 0.0))))
 
     def _close(self, name: str) -> None:
         if name == "a":

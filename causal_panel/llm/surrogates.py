@@ -158,13 +158,12 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
         take(_PHONE, "phone", _digits, _phone)
     for m in _NAME.finditer(text):
         group, gender = ("titled", TITLES[m["title"]]) if m["title"] else ("family", GENDER[m["given"]])
-        parts = [(m.start(group) + p.start(), m.start(group) + p.end(), p[0]) for p in re.finditer(r"[^ \-]+", m[group])]
+        words = [(m.start(group) + w.start(), w[0]) for w in re.finditer(r"[^ ]+", m[group])]
         if m["given"]:
-            found.append((m.start("given"), m.end("given"), f"given-{gender}", m["given"].lower()))
-        elif len(parts) > 1:
-            a, b, name = parts.pop(0)
-            found.append((a, b, f"given-{GENDER.get(name, gender)}", name.lower()))
-        found += [(a, b, "family", name.lower()) for a, b, name in parts]
+            words.insert(0, (m.start("given"), m["given"]))
+        for k, (start, word) in enumerate(words):  # the first of several is a given name; double names are an entity a part
+            kind = f"given-{GENDER.get(word, gender)}" if k == 0 and len(words) > 1 else "family"
+            found += [(start + p.start(), start + p.end(), kind, p[0].lower()) for p in re.finditer(r"[^\-]+", word)]
     kept, end = [], 0
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if x[0] >= end:
