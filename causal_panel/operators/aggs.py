@@ -392,6 +392,10 @@ def cause_shares(df: DataFrame, cause: str, error: Column, weight: Column, keys:
     )
 
 
+# Candidates that are screened at once.
+MOST_CANDIDATES = 100_000
+
+
 def covariance_screen(df: DataFrame, epoch: str, features: Sequence[str], target: str, candidates: DataFrame) -> DataFrame:
     """Correlation of each candidate's weighted feature sum with the target, per epoch.
 
@@ -401,8 +405,9 @@ def covariance_screen(df: DataFrame, epoch: str, features: Sequence[str], target
     stats = df.groupBy(epoch).agg(
         F.array(*moments).alias("_s"), F.array(*[F.covar_pop(f, target) for f in features]).alias("_c"), F.var_pop(target).alias("_v"),
     )
-    # statistics: one row per epoch; candidates: a small table given by the caller
-    paired = stats.withColumn("_k", F.lit(1)).join(candidates.withColumn("_k", F.lit(1)), "_k")
+    if (given := candidates.limit(MOST_CANDIDATES + 1).count()) > MOST_CANDIDATES:
+        raise ValueError(f"{given} candidates or more; {MOST_CANDIDATES} can be screened at once")
+    paired = stats.join(F.broadcast(candidates))  # of a checked size; every epoch screens every candidate
     dot = sum((F.col("weights")[i] * F.col("_c")[i] for i in range(len(features))), F.lit(0.0))
     quad, at = F.lit(0.0), 0
     for i in range(len(features)):
@@ -463,6 +468,11 @@ def leaderboard(scores: DataFrame, name: str, score: str, best: int = 5) -> Data
 def score_curve(scores: DataFrame, score: str, points: int = 16) -> DataFrame:
     """Evenly spaced order statistics of the scores: position floor(k * (n-1) / (points-1))."""
     prefix = ordered_prefix(scores, [], score)
-    steps = prefix.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    at = F.floor(F.col("k") * (F.col("n_total") - 1) / (points - 1))
-    return steps.where((F.col("n_before") <= at) & (at < F.col("n_before") + F.col("n"))).select("k", F.col(score).alias("score"))
+    last = F.col("n_total") - 1
+
+    def first_from(position):  # the first k whose position floor(k * last / (points - 1)) is `position` or more
+        return F.when(last > 0, F.ceil(position * (points - 1) / F.when(last > 0, last))).otherwise(F.when(position > 0, points).otherwise(0))
+
+    low, high = first_from(F.col("n_before")), F.least(first_from(F.col("n_before") + F.col("n")), F.lit(points)) - 1
+    hit = prefix.withColumn("_low", low.cast("int")).withColumn("_high", high.cast("int")).where(F.col("_low") <= F.col("_high"))
+    return hit.select(F.explode(F.sequence("_low", "_high")).alias("k"), F.col(score).alias("score"))

@@ -56,27 +56,20 @@ def recover_side(df: DataFrame, fixture: Sequence[str], opponent: str, snapshot:
     )
 
 
-# More periods than this in one epoch means the column is not an ordinal period.
-MOST_PERIODS = 100_000
+# Parts into which the entities of an epoch are dealt, so that one epoch is not one task.
+SPREAD = 64
 
 
-def _calendar(df: DataFrame, epoch: str, period: str) -> DataFrame:
-    """One row per epoch with its sorted periods: the size of the calendar, whatever the data.
-
-    It is broadcast, so its size is checked: an epoch of too many periods fails the job.
-    """
-    listed = df.select(epoch, period).distinct().groupBy(epoch).agg(F.array_sort(F.collect_list(period)).alias("_periods"))
-    kind = listed.schema["_periods"].dataType
-    too_long = F.raise_error(F.lit("too many periods in an epoch to lay out")).cast(kind)
-    return listed.withColumn("_periods", F.when(F.size("_periods") <= MOST_PERIODS, F.col("_periods")).otherwise(too_long))
+def _by_period(df: DataFrame, epoch: str, entities: DataFrame, entity: str, period: str) -> DataFrame:
+    """`entities` with every period observed in their epoch: an equi-join on the epoch and a part of its entities."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_part")
+    calendar = df.select(epoch, period).distinct().select(epoch, period, parts)
+    return entities.withColumn("_part", F.pmod(F.hash(entity), F.lit(SPREAD))).join(calendar, [epoch, "_part"]).drop("_part")
 
 
 def dense_spine(df: DataFrame, epoch: str, entity: str, period: str, fills: dict[str, object]) -> DataFrame:
     """Every entity of an epoch in every period observed in that epoch, gaps filled."""
-    spine = (
-        df.select(epoch, entity).distinct().join(F.broadcast(_calendar(df, epoch, period)), epoch)
-        .select(epoch, entity, F.explode("_periods").alias(period))
-    )
+    spine = _by_period(df, epoch, df.select(epoch, entity).distinct(), entity, period).select(epoch, entity, period)
     out = spine.join(df, [epoch, entity, period], "left")
     return out.select(*[F.coalesce(F.col(c), F.lit(fills[c])).alias(c) if c in fills else F.col(c) for c in out.columns])
 
@@ -84,8 +77,8 @@ def dense_spine(df: DataFrame, epoch: str, entity: str, period: str, fills: dict
 def life_spine(df: DataFrame, epoch: str, entity: str, period: str) -> DataFrame:
     """Every observed period between an entity's first and last; the rest of the row may be null."""
     life = df.groupBy(epoch, entity).agg(F.min(period).alias("_first"), F.max(period).alias("_last"))
-    inside = F.filter(F.col("_periods"), lambda p: (p >= F.col("_first")) & (p <= F.col("_last")))
-    spine = life.join(F.broadcast(_calendar(df, epoch, period)), epoch).select(epoch, entity, F.explode(inside).alias(period))
+    inside = F.col(period).between(F.col("_first"), F.col("_last"))
+    spine = _by_period(df, epoch, life, entity, period).where(inside).select(epoch, entity, period)
     return spine.join(df, [epoch, entity, period], "left")
 
 
@@ -138,37 +131,43 @@ def newcomers(df: DataFrame, epoch: str, side: str) -> DataFrame:
     return now.where(F.col(epoch) > 0).join(before, [epoch, side], "left_anti")
 
 
-def near_price_pairs(
-    df: DataFrame, keys: Sequence[str], price: str, forecast: str, outcome: str, band: int = 15, bits: int = 8
-) -> DataFrame:
+def _cells(low: Column, high: Column, levels: int) -> Column:
+    """(l, c) cells, c counting runs of 2^l whole numbers, that together are low..high."""
+    low, high, parts = low.cast("int"), high.cast("int"), []
+    for k in range(levels):
+        left = F.when((low <= high) & (low % 2 != 0), F.struct(F.lit(k).alias("l"), low.alias("c")))
+        right = F.when((low <= high) & (high % 2 == 0), F.struct(F.lit(k).alias("l"), high.alias("c")))
+        parts += [left, right]
+        low, high = F.shiftright(low + 1, 1), F.shiftright(high - 1, 1)
+    rest = F.transform(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")), lambda c: F.struct(F.lit(levels).alias("l"), c.alias("c")))
+    return F.concat(F.array_compact(F.array(*parts)), rest) if parts else rest
+
+
+def near_price_pairs(df: DataFrame, keys: Sequence[str], price: str, forecast: str, outcome: str, band: int = 15) -> DataFrame:
     """Per group: pairs with prices within the band and different outcomes, and how many the forecast orders.
 
-    `price` is in whole tenths and `outcome` in whole points from -2^(bits-1) up to 2^(bits-1) - 1;
-    an outcome outside fails the job. No pair is formed. A pair with outcomes a < b has one highest
-    bit where they part, so each row asks, per nearby price and per such bit, how many rows with the
-    lower outcome also have a lower forecast; the answers are running counts over the forecast.
+    `price` is in whole tenths. No pair is formed. Outcomes are numbered in their group; a pair with numbers a < b has one highest
+    bit where they part, so each row asks, per such bit, how many rows with the lower number in the band also have a lower
+    forecast; the answers are running counts over the forecast. The band is put together from runs of 2^l prices, so a row
+    is laid out a few times per bit: once per run length where it answers, once per run of its band where it asks.
     """
-    keys = list(keys)
-    shifted = (F.col(outcome) + (1 << (bits - 1))).cast("int")
-    wrong = F.raise_error(F.lit("outcome outside the range of `bits`")).cast("int")
-    code = F.when((shifted >= 0) & (shifted < (1 << bits)), shifted).otherwise(wrong)
-    rows = df.where(F.col(outcome).isNotNull() & F.col(forecast).isNotNull() & F.col(price).isNotNull()).groupBy(
-        *keys, F.col(price).cast("int").alias("_p"), code.alias("_a"), F.col(forecast).cast("double").alias("_f")
-    ).agg(F.count(F.lit(1)).alias("_n"))
-    levels = F.sequence(F.lit(0), F.lit(bits - 1))
-    halves = rows.select(*keys, "_p", "_f", "_a", "_n", F.explode(levels).alias("_b")).withColumn(
+    keys, levels = list(keys), (2 * band + 1).bit_length() - 2 if band else 0
+    used = df.where(F.col(outcome).isNotNull() & F.col(forecast).isNotNull() & F.col(price).isNotNull()).select(
+        *keys, F.col(price).cast("int").alias("_p"), F.col(outcome).cast("double").alias("_o"), F.col(forecast).cast("double").alias("_f"))
+    numbered = ordered_prefix(used, keys, "_o", {"one": F.max(F.lit(1))})
+    numbered = numbered.where(F.col("one_total") > 1).select(
+        *keys, "_o", F.col("one_before").cast("int").alias("_a"), F.length(F.bin(F.col("one_total") - 1)).alias("_bits"))
+    rows = used.groupBy(*keys, "_p", "_o", "_f").agg(F.count(F.lit(1)).alias("_n")).join(numbered, [*keys, "_o"])
+    halves = rows.select(*keys, "_p", "_f", "_a", "_n", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)).alias("_b")).withColumn(
         "_h", F.expr("shiftright(_a, _b)")
     )
-    low = halves.where(F.col("_h") % 2 == 0).select(*keys, "_p", "_f", "_b", "_h", F.col("_n").alias("_in"), F.lit(0).cast("bigint").alias("_q"))
-    high = (
-        halves.where(F.col("_h") % 2 == 1)
-        .withColumn("_p", F.explode(F.sequence(F.col("_p") - band, F.col("_p") + band)))
-        .select(*keys, "_p", "_f", "_b", (F.col("_h") - 1).alias("_h"), F.lit(0).cast("bigint").alias("_in"), F.col("_n").alias("_q"))
-    )
-    counted = ordered_prefix(
-        low.unionByName(high), [*keys, "_p", "_b", "_h"], "_f",
-        {"ins": F.sum("_in"), "ask": F.sum("_q")},
-    )
+    none = F.lit(0).cast("bigint")
+    runs = F.array(*[F.struct(F.lit(k).alias("l"), F.shiftright("_p", k).alias("c")) for k in range(levels + 1)])
+    low = halves.where(F.col("_h") % 2 == 0).select(*keys, "_f", "_b", "_h", F.col("_n").alias("_in"), none.alias("_q"), F.explode(runs).alias("_c"))
+    band_runs = F.explode(_cells(F.col("_p") - band, F.col("_p") + band, levels))
+    high = halves.where(F.col("_h") % 2 == 1).select(*keys, "_f", "_b", (F.col("_h") - 1).alias("_h"), none.alias("_in"), F.col("_n").alias("_q"), band_runs.alias("_c"))
+    laid = low.unionByName(high).select("*", "_c.l", "_c.c").drop("_c").withColumnsRenamed({"l": "_l", "c": "_c"})
+    counted = ordered_prefix(laid, [*keys, "_l", "_c", "_b", "_h"], "_f", {"ins": F.sum("_in"), "ask": F.sum("_q")})
     return counted.groupBy(*keys).agg(
         F.sum(F.col("ask") * F.col("ins_total")).alias("pairs"),
         F.sum(F.col("ask") * F.col("ins_before")).alias("ordered"),
@@ -236,13 +235,14 @@ def adjacent_pairs(df: DataFrame, keys: Sequence[str], order: str, side: str, va
 
 
 def next_periods(df: DataFrame, epoch: str, period: str, weights: Sequence[float] = HORIZON_WEIGHTS) -> DataFrame:
-    """(epoch, period, slot, target, weight) for the next observed periods of the epoch."""
-    calendar = _calendar(df, epoch, period)
-    slots = calendar.select(epoch, F.posexplode("_periods").alias("_i", period), "_periods")
-    ahead = F.slice(F.col("_periods"), F.col("_i") + 1, F.lit(len(weights)))
-    return slots.select(epoch, period, F.posexplode(ahead).alias("slot", "target")).withColumn(
-        "weight", F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("slot") + 1)
-    )
+    """(epoch, period, slot, target, weight) for the next observed periods of the epoch.
+
+    Periods are numbered within their epoch, and a slot ahead is an equi-join on the number.
+    """
+    calendar = df.select(epoch, period).distinct().withColumn("_i", F.row_number().over(timeline(epoch, period)))
+    slots = F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(w).alias("weight")) for i, w in enumerate(weights)]))
+    asked = calendar.select(epoch, period, "_i", slots.alias("_s")).select(epoch, period, "_s.*", (F.col("_i") + F.col("_s.slot")).alias("_i"))
+    return asked.join(calendar.select(epoch, F.col(period).alias("target"), "_i"), [epoch, "_i"]).select(epoch, period, "slot", "target", "weight")
 
 
 def forward_slate(
@@ -257,7 +257,7 @@ def forward_slate(
     slots = next_periods(schedule, "epoch", "period")
     games = schedule.select("epoch", F.col("period").alias("target"), "side", "opponent", "is_home")
     known = base.join(fallback, ["epoch", "period", "position"], "left").withColumn("neutral", F.coalesce("neutral", F.lit(2.5)))
-    slotted = known.join(F.broadcast(slots), ["epoch", "period"])
+    slotted = known.join(slots, ["epoch", "period"])
     timed = slotted.join(games, ["epoch", "target", "side"], "left")
     valued = timed.join(strength, ["epoch", "period", "position", "opponent"], "left")
     value = F.coalesce(F.col("strength"), F.col("neutral")) + F.when(F.col("is_home"), home_bonus).otherwise(0.0)
@@ -290,12 +290,14 @@ def attach_interval(spans: DataFrame, events: DataFrame, keys: Sequence[str], st
 
     Spans are laid out period by period, so this is an equi-join.
     """
-    days = spans.select("*", F.explode(F.sequence(start, end)).alias("_at"))
+    once = spans.groupBy(*spans.columns).agg(F.count(F.lit(1)).alias("_copies"))  # equal spans are counted each
+    days = once.select("*", F.explode(F.sequence(start, end)).alias("_at"))
     hits = days.join(events.select(*keys, F.col(at).alias("_at"), status), [*keys, "_at"], "left")
     flag = F.coalesce(F.col(status).isin(*bad), F.lit(False))
-    return hits.groupBy(*spans.columns).agg(
+    counted = hits.groupBy(*spans.columns, "_copies").agg(
         F.count(status).alias("events"), F.count(F.when(flag, 1)).alias("bad_events"), F.max(flag).alias("explained")
     )
+    return counted.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies")
 
 
 def name_similarity(short: Column, full: Column) -> Column:
@@ -350,15 +352,16 @@ def best_name_match(
 
 
 def best_replacement(
-    owned: DataFrame, market: DataFrame, decision: str, deadline: str, squad_size: int = 15, side_cap: int = 3
+    owned: DataFrame, market: DataFrame, decision: str, deadline: str, side_cap: int = 3
 ) -> DataFrame:
     """For each owned entity the best-scoring affordable one of its stratum that is not owned.
 
     owned: (decision, deadline, entity, position, side, sale_price, bank, score);
     market: (deadline, entity, position, side, price, score, slate). A side already holding
     `side_cap` is closed unless it is the outgoing side. A squad can block at most its own size per
-    (side, price), so the best squad_size + 1 of each such cell are all that can ever be chosen.
+    (side, price), so of each such cell one more than the largest squad holds is all that can ever be chosen.
     """
+    squad_size = owned.groupBy(decision).count().agg(F.max("count")).first()[0] or 0
     offers = top_k(
         market.where(F.col("slate") > 0), [deadline, "position", "side", "price"],
         [F.desc("score"), F.asc("entity")], squad_size + 1, "_r",
@@ -432,7 +435,7 @@ def forward_rates(schedule: DataFrame, rates: DataFrame, now: DataFrame, default
     names = list(defaults)
     slots = next_periods(schedule, "epoch", "period")
     games = schedule.select("epoch", F.col("period").alias("target"), "side", "opponent", "is_home")
-    asked = schedule.select("epoch", "period", "side").distinct().join(F.broadcast(slots), ["epoch", "period"])
+    asked = schedule.select("epoch", "period", "side").distinct().join(slots, ["epoch", "period"])
     timed = asked.join(games, ["epoch", "target", "side"])
     current = now.select("epoch", "period", "side", *[F.col(n).alias(f"_now_{n}") for n in names])
     valued = timed.join(rates, ["epoch", "period", "side", "opponent", "is_home"], "left").join(current, ["epoch", "period", "side"], "left")

@@ -45,8 +45,8 @@ def walk_forward_isotonic(df: DataFrame, stratum: str, forecast: str, target: st
     parts = []
     for e in epochs_of(df):
         here = df.where(F.col("epoch") == e)
-        strata = sorted({r[stratum] for r in counts})
-        rest = here.where(~F.col(stratum).isin(strata)) if strata else here
+        strata = sorted({r[stratum] for r in counts if r[stratum] is not None})
+        rest = here.where(~F.coalesce(F.col(stratum).isin(strata), F.lit(False))) if strata else here  # with rows of no stratum
         parts.append(rest.withColumn(out, F.col(forecast)))
         for s in strata:
             rows = here.where(F.col(stratum) == s)
@@ -110,7 +110,9 @@ def market_model(
     own = settle(assemble(sides.withColumn("_clean", clean.cast("double")).withColumn("_scored", F.col(scored).cast("double"))), "sides")
     parts = []
     for e in epochs_of(sides):
-        if e < first:
+        if e < first:  # too early for a fit: kept, without an estimate
+            early = sides.where(F.col("epoch") == e).drop(*xs)
+            parts.append(early.select("*", F.lit(None).cast("double").alias("expected_for"), F.lit(None).cast("double").alias("clean_chance")))
             continue
         train = own.where(F.col("epoch") < e).withColumn("_w", F.pow(F.lit(decay), F.greatest(F.lit(e) - F.col("epoch") - 1, F.lit(0))))
         scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(train)

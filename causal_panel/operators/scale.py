@@ -1,12 +1,13 @@
 """Order statistics that stay parallel when one group holds most of the rows.
 
 A plain window over a group sorts the whole group in one task. Here a group is
-first collapsed to its distinct values (partial aggregation). A group that is
-still large is cut into slices of neighbouring values by magnitude, with a number
-of slices per power of two that grows with its size. A slice is a function of the
-value and the group's size alone, never of a sample, so a recomputed task sees
-the same slices. Running totals are taken inside slices and shifted by the totals
-of earlier slices.
+first collapsed to its distinct values (partial aggregation). A group that is still
+large is cut by magnitude, evenly between its own least and greatest value: that
+splits long tails as well as values close together, though not a group of which
+most values crowd in one spot and a few lie far off. A slice is a function of
+the value and of exact counts and bounds, never of a sample, so a recomputed task
+sees the same slices. Running totals are taken inside slices and shifted by the
+totals of earlier slices.
 """
 from __future__ import annotations
 
@@ -15,16 +16,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Distinct values a slice should hold, and the finest cut of a power of two.
+# Distinct values a slice should hold.
 ROWS_PER_SLICE = 250_000
-FINEST = 1 << 20
 
 
-def slice_of(value: Column, per_octave: Column) -> Column:
-    """A non-decreasing whole number of the value; the offset keeps tiny magnitudes positive."""
+def magnitude(value: Column) -> Column:
+    """A non-decreasing number that grows by one with each power of two, and evenly between them."""
     v = value.cast("double")
-    size = F.floor((F.log2(F.abs(v)) + 1100.0) * per_octave)
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("bigint")
+    octave = F.floor(F.log2(F.abs(v)))
+    size = octave + F.abs(v) / F.pow(F.lit(2.0), octave) + 1100.0  # the offset keeps tiny magnitudes positive
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0.0))
+
+
+def even_cut(at: Column, low: Column, high: Column, cuts: Column) -> Column:
+    """Which of `cuts` equal stretches of low..high holds `at`."""
+    part = F.floor((at - low) / F.when(high > low, high - low) * cuts)
+    return F.coalesce(F.least(F.greatest(part, F.lit(0)), cuts - 1), F.lit(0)).cast("bigint")
+
+
+def sliced(counts: DataFrame, scope: Sequence[str], value: str, rows_per_slice: int) -> DataFrame:
+    """Adds `_slice` to rows of distinct values: in the order of the value, and 0 in groups of up to `rows_per_slice`."""
+    at = magnitude(F.col(value))
+    # a row per `rows_per_slice` distinct values at most: some MB for 10^11 of them
+    large = (
+        counts.groupBy(*scope).agg(F.count(F.lit(1)).alias("_size"), F.min(at).alias("_low"), F.max(at).alias("_high"))
+        .where(F.col("_size") > rows_per_slice).withColumn("_cuts", F.ceil(F.col("_size") / rows_per_slice)).drop("_size")
+    )
+    cut = even_cut(at, F.col("_low"), F.col("_high"), F.col("_cuts"))
+    return counts.join(F.broadcast(large), scope, "left").withColumn("_slice", cut).drop("_low", "_high", "_cuts")
 
 
 def ordered_prefix(
@@ -50,18 +69,9 @@ def ordered_prefix(
         .groupBy(*scope, value)
         .agg(*[agg.alias(name) for name, agg in sums.items()])
     )
-    # only groups above the slice size: at most (all rows / rows_per_slice) of them
-    large = (
-        counts.groupBy(*scope).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > rows_per_slice)
-        .withColumn("_cuts", F.least(F.lit(FINEST), F.ceil(F.col("_size") / rows_per_slice)))
-    )
-    sliced = (
-        counts.join(F.broadcast(large), scope, "left")
-        .withColumn("_slice", F.coalesce(slice_of(F.col(value), F.col("_cuts")), F.lit(0).cast("bigint")))
-        .drop("_size", "_cuts")
-    )
+    rows = sliced(counts, scope, value, rows_per_slice)
     cut = [*scope, "_slice"]
-    totals = sliced.groupBy(*cut).agg(*[F.sum(name).alias(f"_t_{name}") for name in sums])
+    totals = rows.groupBy(*cut).agg(*[F.sum(name).alias(f"_t_{name}") for name in sums])
     earlier = Window.partitionBy(*scope).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*scope)
     offsets = totals.select(
@@ -70,7 +80,7 @@ def ordered_prefix(
         *[F.sum(f"_t_{name}").over(whole).alias(f"{name}_total") for name in sums],
     )
     inside = Window.partitionBy(*cut).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return sliced.join(offsets, cut).select(
+    return rows.join(offsets, cut).select(
         *keys,
         value,
         *[F.col(name) for name in sums],

@@ -43,19 +43,31 @@ def prior_std(value, window, rows: int, at_least: int = 2) -> Column:
     return F.when(F.count(col(value)).over(frame) >= at_least, F.stddev_samp(col(value)).over(frame))
 
 
-def ewm_depth(alpha: float) -> int:
-    """Rows after which an observation's weight is below 1e-17."""
-    return math.ceil(math.log(1e-17) / math.log(1 - alpha))
+def ewm_depth(alpha: float, least: float = 1e-12) -> int:
+    """Rows after which the weight of an observation is below `least`, whatever rows between are missing.
+
+    An observation after k - 1 missing rows leaves w / (w + alpha) of the past, w = (1 - alpha)^k; the slowest fall per row counts.
+    """
+    slowest = max((w / (w + alpha)) ** (1 / k) for k in range(1, 200) if (w := (1 - alpha) ** k) > 0)
+    return math.ceil(math.log(least) / math.log(slowest))
 
 
-def prior_ewm(value, window, alpha: float) -> Column:
-    """Exponentially weighted mean of earlier rows, started at the first observation.
+def attach_prior_ewm(df: DataFrame, wanted: dict[str, tuple[Column | str, float]], window) -> DataFrame:
+    """Adds, per name, the exponentially weighted mean (value, alpha) of earlier rows, started at the first observation.
 
-    A missing row still decays the weight of the past: after k steps it is (1-alpha)^k,
-    and the mean is taken over that weight plus alpha.
+    A missing row still decays the weight of the past: after k steps it is (1-alpha)^k, and the mean is taken over that weight plus alpha.
+    The mean is folded up to each observed row, over the rows that still weigh, and then carried over missing ones, however many.
     """
-    frame = before(window, ewm_depth(alpha))
-    past = F.collect_list(F.struct(col(value).cast("double").alias("x"))).over(frame)
+    folded, outs = [], []
+    for name, (value, alpha) in wanted.items():
+        x = col(value).cast("double")
+        past = F.collect_list(F.struct(x.alias("x"))).over(window.rowsBetween(-ewm_depth(alpha), 0))
+        folded.append(F.when(x.isNotNull(), _ewm_fold(past, alpha)).alias(f"_ewm_{name}"))
+        outs.append(F.last(f"_ewm_{name}", ignorenulls=True).over(before(window)).alias(name))
+    return df.select("*", *folded).select(*df.columns, *outs)
+
+
+def _ewm_fold(rows: Column, alpha: float) -> Column:
     start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"))
 
     def step(state, row):
@@ -65,7 +77,7 @@ def prior_ewm(value, window, alpha: float) -> Column:
             F.struct(F.coalesce(mixed, row["x"]).alias("y"), F.lit(1.0).alias("w"))
         )
 
-    return F.aggregate(past, start, step, lambda s: s["y"])
+    return F.aggregate(rows, start, step, lambda s: s["y"])
 
 
 def days_since(instant, window, low=2.0, high=14.0, default=7.0) -> Column:
@@ -128,7 +140,7 @@ def event_numbers(df: DataFrame, epoch: str, period: str) -> DataFrame:
         epoch, period, F.row_number().over(w).alias("event_number"),
         F.count(F.lit(1)).over(whole).alias("_events"),
     ).withColumn("remaining", F.col("_events") - F.col("event_number") + 1).drop("_events")
-    return df.join(F.broadcast(numbered), [epoch, period])  # one row per observed period
+    return df.join(numbered, [epoch, period])
 
 
 def table_position(df: DataFrame, epoch: str, period: str, side: str, points: str, scored: str, lost: str) -> DataFrame:
@@ -248,10 +260,10 @@ def matchup_history(
     place = Window.partitionBy(entity, opponent, venue).orderBy(*order)
     n_pair = prior_sum(event, pair)
     shrunk = (prior_sum(gained, pair) + strength * level) / (n_pair + strength)
-    recent = F.coalesce(prior_ewm(F.when(played, points), pair, 0.45), level)
+    recent = F.coalesce(F.col("_recent"), level)
     n_recent = F.least(n_pair, F.lit(4))
-    return df.select(
-        "*",
+    return attach_prior_ewm(df, {"_recent": (F.when(played, points), 0.45)}, pair).select(
+        *df.columns,
         prior_sum(event, general).alias("matches"),
         n_pair.alias("pair_matches"),
         shrunk.alias("pair_points"),
@@ -305,17 +317,14 @@ def side_ratings(side: DataFrame) -> DataFrame:
         "epoch", "period", "side", "games", observed("scored", "x_scored").alias("_attack"),
         observed("lost", "x_lost").alias("_defence"), (F.col("results") / games).alias("_form"),
         (F.col("cleans") / games).alias("_clean"),
-    ).join(F.broadcast(league), ["epoch", "period"]).join(fresh, ["epoch", "side"], "left")
+    ).join(league, ["epoch", "period"]).join(fresh, ["epoch", "side"], "left")
     first_period = Window.partitionBy("epoch")
     base = base.withColumn("_gw", F.col("period") - F.min("period").over(first_period) + 1)
     w = timeline("side", ["epoch", "period"])
     known = prior_sum("games", w)
-    rated = base.select(
-        "*", clip(known / (known + 8.0), 0.0, 0.94).alias("_conf"),
-        prior_ewm("_attack", w, 0.22).alias("_a"), prior_ewm("_defence", w, 0.22).alias("_d"),
-        prior_ewm("_form", w, 0.22).alias("_f"), prior_ewm("_clean", w, 0.22).alias("_c"),
-        F.coalesce(prior_ewm("_attack", w, 0.48), F.col("league")).alias("_fast_a"),
-        F.coalesce(prior_ewm("_defence", w, 0.48), F.col("league")).alias("_fast_d"),
+    means = {"_a": ("_attack", 0.22), "_d": ("_defence", 0.22), "_f": ("_form", 0.22), "_c": ("_clean", 0.22), "_quick_a": ("_attack", 0.48), "_quick_d": ("_defence", 0.48)}
+    rated = attach_prior_ewm(base.select("*", clip(known / (known + 8.0), 0.0, 0.94).alias("_conf")), means, w).select(
+        "*", F.coalesce("_quick_a", "league").alias("_fast_a"), F.coalesce("_quick_d", "league").alias("_fast_d")
     )
 
     def settled(name, fallback, low, high):

@@ -137,24 +137,34 @@ fp AS (SELECT *, f_base/(f_base+6.0::DOUBLE) AS prob, 1.2::DOUBLE + f_price/10.0
 """
 
 
+def at_last_epoch(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(earlier epochs, last epoch)."""
+    last = df.agg(F.max("epoch").alias("_last_epoch"))  # one row
+    marked = df.join(F.broadcast(last))
+    return marked.where(F.col("epoch") < F.col("_last_epoch")).drop("_last_epoch"), marked.where(F.col("epoch") == F.col("_last_epoch")).drop("_last_epoch")
+
+
 def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per user and day of the event log; points are whole units of value."""
+    """One row per user and day (counted from 1970) of the event log; points are whole units of value."""
     events = table(spark, sf_dir, "events")
     return events.groupBy(
         F.col("user_id").alias("entity"),
-        F.dayofmonth("ts").cast("int").alias("period"),
+        F.unix_date(F.to_date("ts")).alias("period"),
     ).agg(
         F.sum(F.floor("value").cast("bigint")).alias("points"),
         F.count(F.lit(1)).cast("int").alias("slate"),
         F.count(F.when(F.col("event_type") == "purchase", 1)).cast("int").alias("purchases"),
         F.count(F.when(F.col("event_type") == "error", 1)).cast("int").alias("errors"),
         F.min("ts").alias("first_ts"),
-    ).withColumn("epoch", F.expr("cast((period - 1) div 7 as int)"))
+    ).withColumn("epoch", F.expr("cast(period div 7 as int)"))
+
 
+# The day of an event, counted from 1970.
+DAY = "CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER)"
 
-USER_DAYS = """WITH ud AS (SELECT user_id AS entity, CAST(day(ts) AS INTEGER) AS period,
+USER_DAYS = """WITH ud AS (SELECT user_id AS entity, """ + DAY + """ AS period,
   CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS points, CAST(count(*) AS INTEGER) AS slate,
   CAST(count(*) FILTER (event_type='purchase') AS INTEGER) AS purchases,
   CAST(count(*) FILTER (event_type='error') AS INTEGER) AS errors, min(ts) AS first_ts,
-  CAST((day(ts)-1)//7 AS INTEGER) AS epoch FROM events GROUP BY user_id, day(ts))
+  CAST(""" + DAY + """//7 AS INTEGER) AS epoch FROM events GROUP BY user_id, """ + DAY + """)
 """

@@ -8,7 +8,7 @@ from ..operators import aggs as g
 
 from ..operators.joins import near_price_pairs
 
-from .bindings import FORECASTS, PANEL, forecasts, panel, table
+from .bindings import DAY, FORECASTS, PANEL, forecasts, panel, table
 from .q_joins import PAIR_SQL
 from .q_windows import pct_sql
 from .registry import query, r6
@@ -192,11 +192,11 @@ def g18(spark, sf):
 
 
 @query("G19_block_bootstrap", PANEL + f""", tt AS (SELECT stratum, period, CAST(sum(points) AS BIGINT) AS v FROM panel GROUP BY ALL), nn AS (SELECT stratum, row_number() OVER (PARTITION BY stratum ORDER BY period)-1 AS i, v, count(*) OVER (PARTITION BY stratum) AS n FROM tt),
-sl AS (SELECT stratum, n, s, i AS j FROM nn, range(0,200) q(s)), dr AS (SELECT stratum, s, ({scramble_sql(11, 's', 'j//4')}) % (n-3) + j%4 AS i FROM sl), rp AS (SELECT d.stratum, s, sum(v) AS total FROM dr d JOIN nn ON nn.stratum=d.stratum AND nn.i=d.i GROUP BY ALL)
+sl AS (SELECT stratum, n, s, i AS j FROM nn, range(0,4000) q(s)), dr AS (SELECT stratum, s, ({scramble_sql(11, 's', 'j//4')}) % (n-3) + j%4 AS i FROM sl), rp AS (SELECT d.stratum, s, sum(v) AS total FROM dr d JOIN nn ON nn.stratum=d.stratum AND nn.i=d.i GROUP BY ALL)
 SELECT stratum, round(avg(CASE WHEN total>=5000+({scramble_sql(12, 's')})%5001 THEN 1e0 ELSE 0e0 END),6) AS probability, round(avg(total),6) AS mean_total FROM rp GROUP BY stratum""")
 def g19(spark, sf):
     totals = panel(spark, sf).groupBy("stratum", "period").agg(F.sum("points").alias("points"))
-    out = g.block_bootstrap(totals, "stratum", "period", "points", 5000, 10000, samples=200)
+    out = g.block_bootstrap(totals, "stratum", "period", "points", 5000, 10000)
     return rounded(out, ["stratum"], ["probability", "mean_total"])
 
 
@@ -275,11 +275,11 @@ def g25(spark, sf):
     return rounded(out, ["cause", "rows"], ["weight", "share", "bias"])
 
 
-@query("G26_snapshot_diff", """WITH c AS (SELECT user_id, CAST(day(ts) AS INTEGER) AS capture, string_agg(event_type||'/'||CAST(floor(value/200) AS INTEGER), ',' ORDER BY event_type, floor(value/200)) AS body, count(*) AS rows FROM events GROUP BY ALL), d AS (SELECT *, lag(body) OVER (PARTITION BY user_id ORDER BY capture) AS was FROM c)
+@query("G26_snapshot_diff", f"""WITH c AS (SELECT user_id, {DAY} AS capture, string_agg(event_type||'/'||CAST(floor(value/200) AS INTEGER), ',' ORDER BY event_type, floor(value/200)) AS body, count(*) AS rows FROM events GROUP BY ALL), d AS (SELECT *, lag(body) OVER (PARTITION BY user_id ORDER BY capture) AS was FROM c)
 SELECT user_id, capture, rows, coalesce(body<>was, false) AS changed FROM d""")
 def g26(spark, sf):
     from ..sources.snapshots import capture_changes
-    shaped = table(spark, sf, "events").select("user_id", F.dayofmonth("ts").alias("capture"), "event_type", F.floor(F.col("value") / 200).alias("level"))
+    shaped = table(spark, sf, "events").select("user_id", F.unix_date(F.to_date("ts")).alias("capture"), "event_type", F.floor(F.col("value") / 200).alias("level"))
     return capture_changes(shaped, ["user_id"], "capture", ["event_type", "level"]).select("user_id", "capture", "rows", "changed")
 
 
@@ -291,10 +291,10 @@ def g27(spark, sf):
     return rounded(out, ["epoch", "name"], ["score"])
 
 
-@query("G28_scoreboard", """WITH s AS (SELECT user_id, CAST(day(ts) AS INTEGER) AS period, arg_min(CAST(floor(value) AS BIGINT), event_id) AS points, count(*)-1 AS rejected FROM events GROUP BY ALL)
+@query("G28_scoreboard", f"""WITH s AS (SELECT user_id, {DAY} AS period, arg_min(CAST(floor(value) AS BIGINT), event_id) AS points, count(*)-1 AS rejected FROM events GROUP BY ALL)
 SELECT user_id, period, points, rejected, CAST(sum(points) OVER (PARTITION BY user_id ORDER BY period) AS BIGINT) AS cumulative FROM s""")
 def g28(spark, sf):
-    scores = table(spark, sf, "events").select("user_id", F.dayofmonth("ts").alias("period"), F.floor("value").alias("points"), "event_id")
+    scores = table(spark, sf, "events").select("user_id", F.unix_date(F.to_date("ts")).alias("period"), F.floor("value").alias("points"), "event_id")
     return g.scoreboard(scores, "user_id", "period", "points", F.col("event_id"))
 
 

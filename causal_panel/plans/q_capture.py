@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch
 from ..streaming import capture as k
-from .bindings import table
+from .bindings import DAY, table
 from .registry import query, r6
 
 
@@ -20,7 +20,7 @@ def as_captures(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     fields = F.when(kind == "error", F.array(F.lit("fixtures"), F.lit("points"))).otherwise(F.array(F.lit("fixtures"), F.lit("prices")))
     return events.select(
-        "event_id", F.dayofmonth("ts").alias("day"), F.when(F.col("event_id") % 50 != 0, F.col("ts")).alias("captured_at"),
+        "event_id", F.to_date("ts").alias("day"), F.when(F.col("event_id") % 50 != 0, F.col("ts")).alias("captured_at"),
         F.when(kind == "signup", "recollected").otherwise("exact-capture").alias("timing"), fields.alias("fields"),
         F.when(F.col("value") > 30, "locked").when(F.col("value") > 5, "provisional").otherwise("draft").alias("decision_status"),
     )
@@ -28,7 +28,7 @@ def as_captures(events: DataFrame) -> DataFrame:
 
 def deadlines(spark, sf):
     days = table(spark, sf, "events").select(F.to_date("ts").alias("d")).distinct()
-    return days.select(F.dayofmonth("d").alias("day"), (F.col("d").cast("timestamp_ntz") + F.expr("interval 18 hours")).alias("deadline"))
+    return days.select(F.col("d").alias("day"), (F.col("d").cast("timestamp_ntz") + F.expr("interval 18 hours")).alias("deadline"))
 
 
 GATE = """WITH c AS (SELECT event_id, CASE WHEN event_id%50<>0 THEN ts END AS cap, date_trunc('day', ts)+INTERVAL 18 HOUR AS dl, event_type='error' AS bad, event_type<>'signup' AS exact, CASE WHEN value>30 THEN 'locked' WHEN value>5 THEN 'provisional' ELSE 'draft' END AS st FROM events),
@@ -52,19 +52,20 @@ def k1s(spark, sf):
     return both.select("event_id", F.array_join("errors", "|").alias("errors"), "shadow_eligible", "promotion_eligible", "quarantined")
 
 
-@query("K2_lock_once", "SELECT user_id, CAST(day(ts) AS INTEGER) AS day, min(event_id) AS event_id, count(*)-1 AS rejected FROM events GROUP BY ALL")
+@query("K2_lock_once", f"SELECT user_id, {DAY} AS day, min(event_id) AS event_id, count(*)-1 AS rejected FROM events GROUP BY ALL")
 def k2(spark, sf):
-    rows = table(spark, sf, "events").select("user_id", F.dayofmonth("ts").alias("day"), "event_id")
+    rows = table(spark, sf, "events").select("user_id", F.unix_date(F.to_date("ts")).alias("day"), "event_id")
     return k.lock_once_batch(rows, ["user_id", "day"], F.col("event_id"))
 
 
-@query("K2_lock_once_stream", "SELECT DISTINCT user_id, CAST(day(ts) AS INTEGER) AS day FROM events")
+@query("K2_lock_once_stream", f"SELECT user_id, {DAY} AS day, first(event_id ORDER BY ts, event_id) AS event_id, count(*)-1 AS rejected FROM events GROUP BY ALL")
 def k2s(spark, sf):
     root = scratch(spark, "locks")
-    rows = event_stream(spark, sf).select("user_id", F.dayofmonth("ts").alias("day"), F.to_timestamp("ts").alias("at"))
-    once = k.lock_once(rows, ["user_id", "day"], "at")
-    once.writeStream.format("parquet").option("path", f"{root}/locked").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/locked").select("user_id", "day")
+    rows = event_stream(spark, sf).select("user_id", F.unix_date(F.to_date("ts")).alias("day"), "ts", "event_id")
+    k.run_lock_once(rows, ["user_id", "day"], ["ts", "event_id"], f"{root}/locked", f"{root}/rejected", f"{root}/checkpoint")
+    refused = spark.read.parquet(f"{root}/rejected").groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("rejected"))
+    locked = spark.read.parquet(f"{root}/locked").join(refused, ["user_id", "day"], "left")
+    return locked.select("user_id", "day", "event_id", F.coalesce("rejected", F.lit(0)).alias("rejected"))
 
 
 def projections(spark, sf):
@@ -99,9 +100,9 @@ def k3s(spark, sf):
 
 
 @query("K4_override_merge", """WITH o AS (SELECT event_id, value AS mi, (event_id%12)/10e0 AS st, CASE WHEN event_id%5<>0 THEN 0.6e0 END AS cf, CASE WHEN event_id%4<>0 THEN 'z' ELSE 'n' END AS zn, ts FROM events),
-a AS (SELECT *, mi BETWEEN 0 AND 90 AND st BETWEEN 0 AND 1 AND zn='z' AND ts<=TIMESTAMP '2024-01-25 00:00:00' AS ok FROM o), m AS (SELECT event_id, 70e0 AS mm, 0.8e0 AS ms, CASE WHEN event_id%3=0 THEN 50e0 END AS ch, CASE WHEN event_id%9=0 THEN 'd' ELSE 'a' END AS sx FROM events),
+a AS (SELECT *, mi BETWEEN 0 AND 90 AND st BETWEEN 0 AND 1 AND zn='z' AND ts<=TIMESTAMP '2024-01-25 00:00:00' AS ok FROM o), m AS (SELECT event_id, 70e0 AS mm, 0.8e0 AS ms, CASE WHEN event_id%3=0 THEN 50e0 END AS ch, CASE WHEN event_id%9=0 THEN 'd' ELSE 'a' END AS sx, event_id%13=0 AS nw FROM events),
 j AS (SELECT m.*, ok, mi, st, coalesce(cf,0.75e0) AS c, coalesce(ch,100e0)/100 AS f FROM m JOIN a USING (event_id)), r AS (SELECT *, CASE WHEN ok THEN c*mi+(1-c)*mm*f ELSE mm*f END AS em, CASE WHEN ok THEN c*st+(1-c)*ms*f ELSE ms*f END AS es FROM j)
-SELECT event_id, round(em,6) AS expected_minutes, round(es,6) AS start_probability, round(abs(em-mm),6) AS disagreement, sx<>'a' OR abs(em-mm)>=12 OR ok AS priority FROM r""")
+SELECT event_id, round(em,6) AS expected_minutes, round(es,6) AS start_probability, round(abs(em-mm),6) AS disagreement, sx<>'a' OR abs(em-mm)>=12 OR ok OR nw AS priority FROM r""")
 def k4(spark, sf):
     events = table(spark, sf, "events")
     text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -112,17 +113,17 @@ def k4(spark, sf):
     admitted = k.admit_overrides(given, F.lit("2024-01-25 00:00:00+00:00").cast("timestamp"))
     model = events.select(
         "event_id", F.lit(70.0).alias("model_minutes"), F.lit(0.8).alias("model_start"), F.when(F.col("event_id") % 3 == 0, 50.0).alias("chance"),
-        F.when(F.col("event_id") % 9 == 0, "d").otherwise("a").alias("status"),
+        F.when(F.col("event_id") % 9 == 0, "d").otherwise("a").alias("status"), F.when(F.col("event_id") % 13 == 0, "late news").alias("news"),
     )
     out = k.merge_overrides(model, admitted, "event_id")
     return out.select("event_id", *[r6(c).alias(c) for c in ("expected_minutes", "start_probability", "disagreement")], "priority")
 
 
-@query("K5_schedule_changes", """WITH c AS (SELECT user_id, CAST(day(ts) AS INTEGER) AS capture, string_agg(event_type, ',' ORDER BY event_type) AS body, count(*) AS rows FROM events GROUP BY ALL), d AS (SELECT *, lag(body) OVER (PARTITION BY user_id ORDER BY capture) AS was FROM c)
+@query("K5_schedule_changes", f"""WITH c AS (SELECT user_id, {DAY} AS capture, string_agg(event_type, ',' ORDER BY event_type) AS body, count(*) AS rows FROM events GROUP BY ALL), d AS (SELECT *, lag(body) OVER (PARTITION BY user_id ORDER BY capture) AS was FROM c)
 SELECT user_id, capture, rows, coalesce(body<>was, false) AS changed FROM d""")
 def k5(spark, sf):
     root = scratch(spark, "schedule")
-    shaped = event_stream(spark, sf).select("user_id", F.dayofmonth("ts").alias("capture"), "event_type")
+    shaped = event_stream(spark, sf).select("user_id", F.unix_date(F.to_date("ts")).alias("capture"), "event_type")
     k.run_change_log(shaped, ["user_id"], "capture", ["event_type"], f"{root}/log", f"{root}/checkpoint")
     out = k.changes_of(spark.read.parquet(f"{root}/log"), ["user_id"], "capture", ["event_type"])
     return out.select("user_id", "capture", "rows", "changed")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import estimators as c
 from ..operators import windows as w
-from .bindings import FORECASTS, PANEL, forecasts, panel
+from .bindings import at_last_epoch, FORECASTS, PANEL, forecasts, panel
 from .q_windows import label_sql, pct_sql
 from .registry import query, r6
 
@@ -47,11 +47,10 @@ def c1(spark, sf):
     return out.select(*KEY, r6("calibrated").alias("calibrated"))
 
 
-@query("C2_terminal_calibration", FORECASTS + f""", pr AS (SELECT position, t.b, count(CASE WHEN CAST(least(floor(prob*10),9) AS INTEGER)=t.b THEN 1 END) AS n, coalesce(sum(CASE WHEN CAST(least(floor(prob*10),9) AS INTEGER)=t.b THEN {HIT_SQL} END),0) AS s FROM fp, range(0,10) t(b) WHERE epoch<6 AND slate>0 GROUP BY ALL)
-""" + iso_sql("pr", "position") + "SELECT entity, period, round(m,6) AS calibrated FROM fp JOIN iso ON iso.position=fp.position AND iso.b=CAST(least(floor(prob*10),9) AS INTEGER) WHERE epoch=6")
+@query("C2_terminal_calibration", FORECASTS + f""", pr AS (SELECT position, t.b, count(CASE WHEN CAST(least(floor(prob*10),9) AS INTEGER)=t.b THEN 1 END) AS n, coalesce(sum(CASE WHEN CAST(least(floor(prob*10),9) AS INTEGER)=t.b THEN {HIT_SQL} END),0) AS s FROM fp, range(0,10) t(b) WHERE epoch<(SELECT max(epoch) FROM fp) AND slate>0 GROUP BY ALL)
+""" + iso_sql("pr", "position") + "SELECT entity, period, round(m,6) AS calibrated FROM fp JOIN iso ON iso.position=fp.position AND iso.b=CAST(least(floor(prob*10),9) AS INTEGER) WHERE epoch=(SELECT max(epoch) FROM fp)")
 def c2(spark, sf):
-    fp = forecasts(spark, sf)
-    out = c.terminal_calibration(fp.where("epoch < 6"), fp.where("epoch = 6"), "position", "prob", hit(), 0.12, seen(), "calibrated")
+    out = c.terminal_calibration(*at_last_epoch(forecasts(spark, sf)), "position", "prob", hit(), 0.12, seen(), "calibrated")
     return out.select(*KEY, r6("calibrated").alias("calibrated"))
 
 
@@ -91,11 +90,10 @@ def c4(spark, sf):
     return out.select(*KEY, r6("ridge").alias("ridge"))
 
 
-@query("C5_terminal_ridge", FORECASTS + f""", ms AS (SELECT position, epoch, {MOM.format(w='', y=Y_SQL)} FROM fp WHERE slate>0 AND epoch<6 GROUP BY ALL), pr AS (SELECT position, {SUMS.format(w='pow(0.72e0,5-epoch)*')} FROM ms GROUP BY ALL)
-SELECT entity, period, round(CASE WHEN n>=120 THEN least(14e0,greatest(0.15e0,{cramer(0.2, 8.0)})) ELSE f_exp END,6) AS ridge FROM fp LEFT JOIN pr USING (position) WHERE epoch=6""")
+@query("C5_terminal_ridge", FORECASTS + f""", ms AS (SELECT position, epoch, {MOM.format(w='', y=Y_SQL)} FROM fp WHERE slate>0 AND epoch<(SELECT max(epoch) FROM fp) GROUP BY ALL), pr AS (SELECT position, {SUMS.format(w='pow(0.72e0,(SELECT max(epoch) FROM ms)-epoch)*')} FROM ms GROUP BY ALL)
+SELECT entity, period, round(CASE WHEN n>=120 THEN least(14e0,greatest(0.15e0,{cramer(0.2, 8.0)})) ELSE f_exp END,6) AS ridge FROM fp LEFT JOIN pr USING (position) WHERE epoch=(SELECT max(epoch) FROM fp)""")
 def c5(spark, sf):
-    fp = forecasts(spark, sf)
-    out = c.terminal_ridge(fp.where("epoch < 6"), fp.where("epoch = 6"), "position", x1(), y(), "f_exp", seen(), "ridge", PEN)
+    out = c.terminal_ridge(*at_last_epoch(forecasts(spark, sf)), "position", x1(), y(), "f_exp", seen(), "ridge", PEN)
     return out.select(*KEY, r6("ridge").alias("ridge"))
 
 
@@ -331,10 +329,10 @@ def c28(spark, sf):
     return fl.select(*KEY, r6(value).alias("target"), end.alias("matures"))
 
 
-@query("C29_map_to_reference", FORECASTS + """, fc AS (SELECT * FROM fp WHERE epoch=6), a AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY f_price, entity*1000+period) AS i, count(*) OVER (PARTITION BY position) AS k FROM fc), b AS (SELECT position, f_base AS v, row_number() OVER (PARTITION BY position ORDER BY f_base, entity*1000+period) AS i FROM fc)
+@query("C29_map_to_reference", FORECASTS + """, fc AS (SELECT * FROM fp WHERE epoch=(SELECT max(epoch) FROM fp)), a AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY f_price, entity*1000+period) AS i, count(*) OVER (PARTITION BY position) AS k FROM fc), b AS (SELECT position, f_base AS v, row_number() OVER (PARTITION BY position ORDER BY f_base, entity*1000+period) AS i FROM fc)
 SELECT entity, period, round(v,6) AS mapped, round(100*(i-1)/(k-1)::DOUBLE,6) AS percentile FROM a JOIN b USING (position, i)""")
 def c29(spark, sf):
-    fc = forecasts(spark, sf).where("epoch = 6").withColumn("row_id", F.col("entity") * 1000 + F.col("period"))
+    fc = at_last_epoch(forecasts(spark, sf))[1].withColumn("row_id", F.col("entity") * 1000 + F.col("period"))
     out = c.map_to_reference(fc, ["position"], "row_id", "f_price", "f_base")
     return out.select(*KEY, r6("mapped").alias("mapped"), r6("percentile").alias("percentile"))
 

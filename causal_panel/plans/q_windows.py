@@ -71,7 +71,7 @@ def ewm_sql(name: str, source: str, part: str, order: str, x: str, alpha: float)
 
 @query("E6_prior_ewm", "WITH RECURSIVE " + PANEL[5:] + ewm_sql("e", "panel", "entity", "period", SEEN_SQL, 0.22) + " SELECT entity, period, round(y,6) AS form FROM e")
 def e6(spark, sf):
-    return panel(spark, sf).select(*KEY, r6(w.prior_ewm(seen(), line(), 0.22)).alias("form"))
+    return w.attach_prior_ewm(panel(spark, sf), {"form": (seen(), 0.22)}, line()).select(*KEY, r6("form").alias("form"))
 
 
 @query("E7_lag_lead_gap", USER_DAYS + """SELECT entity, period, round(coalesce(CASE WHEN lag(first_ts) OVER u IS NOT NULL THEN least(14e0,greatest(2e0,date_diff('microsecond', lag(first_ts) OVER u, first_ts)/86400000000e0)) END,7e0),6) AS rest_days,

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from .scratch import settle
+
 
 def row_hash(columns: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns])
@@ -45,19 +47,23 @@ def content_hash(columns: Sequence[str]) -> Column:
 def append_snapshot(df: DataFrame, path: str, payload: Sequence[str], partition: Sequence[str] = ()) -> DataFrame:
     """Append rows named by their content; a row already stored is an error, none is rewritten.
 
-    Duplicates are looked for on the cluster; only their count comes back.
+    The input is evaluated once. Duplicates are looked for on the cluster, in the partitions that the rows belong to; only their count comes
+    back. The rows go to a folder named by their content, so the same batch written twice, by a retry or a second writer, is stored once.
     """
     spark = df.sparkSession
-    hashed = df.withColumn("content_hash", content_hash(payload))
+    hashed = settle(df.withColumn("content_hash", content_hash(payload)), "snapshot")
     known = read_snapshots(spark, path)
     doubled = hashed.groupBy("content_hash").count().where("count > 1").select("content_hash")
     if known is not None:
+        if partition:
+            known = known.join(hashed.select(*partition).distinct(), list(partition), "left_semi")
         doubled = doubled.unionByName(hashed.join(known.select("content_hash"), "content_hash", "left_semi").select("content_hash"))
     found = doubled.count()
     if found:
         raise FileExistsError(f"{found} snapshot rows already exist")
-    writer = hashed.write.mode("append")
-    (writer.partitionBy(*partition) if partition else writer).parquet(path)
+    name = fingerprint(hashed, ["content_hash"], "batch").select(F.sha2("fingerprint", 256)).first()[0]
+    writer = hashed.write.mode("overwrite")
+    (writer.partitionBy(*partition) if partition else writer).parquet(f"{path}/batch={name}")
     return hashed
 
 
@@ -69,6 +75,7 @@ def new_snapshots(df: DataFrame, path: str, payload: Sequence[str]) -> DataFrame
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame | None:
+    """What is stored under `path`, without the names of its batches; None if nothing is."""
     try:
         return spark.read.parquet(path)
     except AnalysisException:
@@ -76,23 +83,19 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def materialize(df: DataFrame, path: str, tag: str, partition: str, columns: Sequence[str]) -> DataFrame:
-    """Write a table by partition with its fingerprint beside it, or reuse it when both agree.
+    """Write a table by partition, or reuse the one written from the same input under the same tag.
 
-    The stored table is read back and fingerprinted; it is rewritten when the tag, columns or
-    content do not match what was recorded. Readers prune partitions and columns.
+    Input and tag are compared by the fingerprint of `columns`, which names the table's folder. It is noted beside the data once these are
+    complete, so a write that broke off is done again. Readers prune partitions and columns.
     """
     spark = df.sparkSession
-    data, side = f"{path}/data", f"{path}/fingerprint"
-    recorded, stored = read_snapshots(spark, side), read_snapshots(spark, data)
-    if recorded is not None and stored is not None and set(columns) <= set(stored.columns):
-        noted = {r["fingerprint"] for r in recorded.limit(2).collect()}
-        actual = fingerprint(stored, columns, tag).first()["fingerprint"]
-        if noted == {actual}:
-            return stored
-    df.write.mode("overwrite").partitionBy(partition).parquet(data)
-    stored = spark.read.parquet(data)
-    fingerprint(stored, columns, tag).coalesce(1).write.mode("overwrite").parquet(side)
-    return stored
+    noted = fingerprint(df, columns, f"{tag}:{','.join(df.columns)}").select("fingerprint", F.sha2("fingerprint", 256).alias("name")).first()
+    data, side = f"{path}/{noted['name']}/data", f"{path}/{noted['name']}/fingerprint"
+    recorded = read_snapshots(spark, side)
+    if recorded is None or recorded.where(F.col("fingerprint") == noted["fingerprint"]).isEmpty():
+        df.write.mode("overwrite").partitionBy(partition).parquet(data)
+        spark.createDataFrame([(noted["fingerprint"],)], "fingerprint string").coalesce(1).write.mode("overwrite").parquet(side)
+    return spark.read.parquet(data)
 
 
 def write_report(metrics: DataFrame, path: str) -> None:

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import availability_overlay
-from ..sources.snapshots import capture_changes
+from ..sources.scratch import settle
+from ..sources.snapshots import capture_changes, read_snapshots
 
 # Fields no capture may hold (realised, and closing market).
 REALISED_FIELDS = (
@@ -68,9 +69,33 @@ def run_gate(stream: DataFrame, deadlines: DataFrame, keys: Sequence[str], accep
     run_batches(gated, checkpoint, handle)
 
 
-def lock_once(decisions: DataFrame, keys: Sequence[str], instant: str, delay: str = "2 days") -> DataFrame:
-    """The first decision per key of a stream; later repeats are dropped while the watermark holds."""
-    return decisions.withWatermark(instant, delay).dropDuplicatesWithinWatermark(list(keys))
+def run_lock_once(stream: DataFrame, keys: Sequence[str], order: Sequence[str], locked: str, rejected: str, checkpoint: str) -> None:
+    """Lock the first decision per key; later ones, however late, are kept apart as rejected.
+
+    Of a micro-batch the first by `order` is taken, unless an earlier batch has locked the key. Locked keys stay in a table, so none is
+    forgotten. Each micro-batch writes its own folder and looks at those of earlier ones only, so a batch that is tried again replaces itself.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch = settle(batch, "lock-batch")
+        others = [c for c in batch.columns if c not in keys]
+        first = batch.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_d"), F.count(F.lit(1)).alias("_n"))
+        known = earlier_batches(batch.sparkSession, locked, number)
+        if known is not None:
+            first = first.join(known.select(*keys), list(keys), "left_anti")
+        new = settle(first.select(*keys, "_d.*"), "locks")
+        new.write.mode("overwrite").parquet(f"{locked}/batch={number}")
+        rows = Window.partitionBy(*batch.columns).orderBy(F.lit(1))  # equal rows are told apart, one of them may be locked
+        batch.withColumn("_copy", F.row_number().over(rows)).join(new.withColumn("_copy", F.lit(1)), [*batch.columns, "_copy"], "left_anti").drop("_copy").write.mode(
+            "overwrite").parquet(f"{rejected}/batch={number}")
+
+    run_batches(stream, checkpoint, handle)
+
+
+def earlier_batches(spark, path: str, number: int) -> DataFrame | None:
+    """What batches before `number` have written under `path`, if anything."""
+    stored = read_snapshots(spark, path)
+    return None if stored is None else stored.where(F.col("batch") < number).drop("batch")
 
 
 def lock_once_batch(decisions: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
@@ -126,9 +151,12 @@ def admit_overrides(overrides: DataFrame, captured: Column) -> DataFrame:
 def merge_overrides(model: DataFrame, admitted: DataFrame, key: str) -> DataFrame:
     """Confidence-weighted mix of override and model times official chance; `priority` marks late news.
 
-    model: key, model_minutes, model_start, chance (0..100 or null), status.
+    model: key, model_minutes, model_start, chance (0..100 or null), status, news (text or null). Of several admitted overrides
+    of a key the latest counts.
     """
-    taken = admitted.where("admitted").select(key, F.col("minutes").alias("_m"), F.col("start").alias("_s"), F.col("confidence").alias("_c"))
+    given = F.struct(F.col("minutes").alias("_m"), F.col("start").alias("_s"), F.col("confidence").alias("_c"))
+    latest = F.max_by(given, F.struct(F.try_to_timestamp("updated_at"), given))
+    taken = admitted.where("admitted").groupBy(key).agg(latest.alias("_o")).select(key, "_o.*")
     joined = model.join(taken, key, "left")
     factor = F.least(F.greatest(F.coalesce(F.col("chance"), F.lit(100.0)) / 100.0, F.lit(0.0)), F.lit(1.0))
     official_minutes, official_start = F.col("model_minutes") * factor, F.col("model_start") * factor
@@ -138,7 +166,7 @@ def merge_overrides(model: DataFrame, admitted: DataFrame, key: str) -> DataFram
     gap = F.abs(minutes - F.col("model_minutes"))
     return joined.select(
         key, minutes.alias("expected_minutes"), start.alias("start_probability"), gap.alias("disagreement"),
-        ((F.col("status") != "a") | (gap >= 12) | given).alias("priority"),
+        ((F.col("status") != "a") | (gap >= 12) | given | (F.trim(F.coalesce("news", F.lit(""))) != "")).alias("priority"),
     )
 
 

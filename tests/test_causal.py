@@ -31,14 +31,20 @@ def panel(spark, pdf):
 
 def test_ewm_with_gap(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None), (3, 2.0), (4, 9.0)], "t int, x double").withColumn("k", F.lit(1))
-    got = [r[0] for r in df.select(w.prior_ewm("x", w.timeline("k", "t"), 0.3), "t").orderBy("t").collect()]
+    got = [r["y"] for r in w.attach_prior_ewm(df, {"y": ("x", 0.3)}, w.timeline("k", "t")).orderBy("t").collect()]
     assert got[0] is None and got[1] == 1.0 and got[2] == 1.0
     assert got[3] == pytest.approx((0.49 * 1 + 0.3 * 2) / 0.79)
 
 
+def test_ewm_after_200_missing_rows(spark):
+    df = spark.createDataFrame([(k, 3.0 if k < 5 else 8.0 if k == 230 else None) for k in range(260)], "t int, x double").withColumn("k", F.lit(1))
+    got = [r["y"] for r in w.attach_prior_ewm(df, {"y": ("x", 0.22)}, w.timeline("k", "t")).orderBy("t").collect()]
+    assert got[0] is None and got[1:231] == [3.0] * 230 and got[231:] == pytest.approx([8.0] * 29)
+
+
 def test_ewm_is_pandas(spark, pdf, panel):
     x = F.when(F.col("slate") > 0, F.col("points"))
-    got = panel.select("entity", "period", w.prior_ewm(x, w.timeline("entity", "period"), 0.22).alias("y")).toPandas().sort_values(["entity", "period"])["y"].to_numpy()
+    got = w.attach_prior_ewm(panel, {"y": (x, 0.22)}, w.timeline("entity", "period")).toPandas().sort_values(["entity", "period"])["y"].to_numpy()
     local = pdf.sort_values(["entity", "period"]).assign(x=lambda d: d["points"].where(d["slate"] > 0))
     want = local.groupby("entity")["x"].transform(lambda s: s.ewm(alpha=0.22, adjust=False).mean().shift(1)).to_numpy()
     assert np.allclose(got.astype(float), want, equal_nan=True)
@@ -83,7 +89,7 @@ def xs():
 
 CAUSAL = {
     "rolling": lambda d: d.withColumn("out", F.coalesce(w.prior_mean("points", w.timeline("entity", "period"), 4), F.lit(0))),
-    "ewm": lambda d: d.withColumn("out", F.coalesce(w.prior_ewm("points", w.timeline("entity", "period"), 0.3), F.lit(0))),
+    "ewm": lambda d: w.attach_prior_ewm(d, {"out": ("points", 0.3)}, w.timeline("entity", "period")).fillna(0, ["out"]),
     "calibration": lambda d: est.expanding_calibration(d.withColumn("p", F.col("fa") / (F.col("fa") + 5)), "position", "p", hit(), 0.12, seen(), "out"),
     "half_width": lambda d: est.expanding_half_width(d, "position", F.col("points") - F.col("fa"), "fb", seen(), least=20).withColumnRenamed("half_width", "out"),
     "online_ridge": lambda d: est.online_ridge(d, "position", xs(), F.col("points"), "fa", seen(), "out", [0.2, 8, 8], least=10),

@@ -33,10 +33,40 @@ def test_near_price_pairs_brute_force(spark):
             assert tuple(got.loc[g, ["pairs", "ordered"]]) == (pairs, good)
 
 
-def test_near_price_pairs_refuses_wide_outcomes(spark):
-    df = spark.createDataFrame([(1, 1, 50, 1.0, 9999), (2, 1, 50, 2.0, 1)], "id int, g int, price int, f double, y int")
-    with pytest.raises(Exception, match="outcome outside"):
-        joins.near_price_pairs(df, ["g"], "price", "f", "y").collect()
+@pytest.mark.parametrize("band", [0, 1, 5])
+def test_near_price_pairs_any_band_and_outcome(spark, band):
+    pdf = crowd().head(120)
+    pdf["y"] = pdf["y"] * 10_000 - 50_000
+    pdf["price"] = pdf["price"] - 60  # prices below zero too
+    got = joins.near_price_pairs(spark.createDataFrame(pdf), ["g"], "price", "f", "y", band=band).toPandas().set_index("g")
+    for g, rows in pdf.groupby("g"):
+        found = [np.sign(a.y - b.y) == np.sign(a.f - b.f) for a, b in itertools.combinations(rows.itertuples(), 2) if abs(a.price - b.price) <= band and a.y != b.y]
+        assert (tuple(got.loc[g, ["pairs", "ordered"]]) if g in got.index else (0, 0)) == (len(found), sum(found))
+
+
+def test_large_squads_block_all_they_hold(spark):
+    """Twenty owned offers of one price come before the one that is free."""
+    owned = spark.createDataFrame([(1, 1, k, 1, k, 50, 0, 1.0) for k in range(20)], "decision int, deadline int, entity int, position int, side int, sale_price int, bank int, score double")
+    market = spark.createDataFrame([(1, k, 1, 99, 50, 100.0 - k, 1) for k in range(21)], "deadline int, entity int, position int, side int, price int, score double, slate int")
+    best = joins.best_replacement(owned, market, "decision", "deadline").collect()
+    assert len(best) == 20 and {r["replacement"] for r in best} == {20}
+
+
+def test_spines_and_slots(spark):
+    df = spark.createDataFrame([(9, 1, 2, 1), (9, 1, 7, 1), (9, 2, 4, 1), (8, 3, 5, 1)], "epoch int, entity int, period int, v int")
+    dense = joins.dense_spine(df, "epoch", "entity", "period", {"v": 0})
+    assert sorted(map(tuple, dense.collect())) == [(8, 3, 5, 1), (9, 1, 2, 1), (9, 1, 4, 0), (9, 1, 7, 1), (9, 2, 2, 0), (9, 2, 4, 1), (9, 2, 7, 0)]
+    life = joins.life_spine(df, "epoch", "entity", "period")
+    assert sorted((r["entity"], r["period"]) for r in life.collect()) == [(1, 2), (1, 4), (1, 7), (2, 4), (3, 5)]
+    slots = joins.next_periods(df, "epoch", "period", (1.0, 0.5))
+    assert sorted(map(tuple, slots.collect())) == [(8, 5, 0, 5, 1.0), (9, 2, 0, 2, 1.0), (9, 2, 1, 4, 0.5), (9, 4, 0, 4, 1.0), (9, 4, 1, 7, 0.5), (9, 7, 0, 7, 1.0)]
+
+
+def test_equal_spans_are_counted_each(spark):
+    spans = spark.createDataFrame([(1, 2, 4), (1, 2, 4), (2, 1, 1)], "k int, start int, end int")
+    events = spark.createDataFrame([(1, 3, "out"), (1, 4, "fit")], "k int, at int, status string")
+    out = joins.attach_interval(spans, events, ["k"], "start", "end", "at", "status", ["out"])
+    assert sorted((r["k"], r["events"], r["bad_events"]) for r in out.collect()) == [(1, 2, 1), (1, 2, 1), (2, 0, 0)]
 
 
 def test_pair_dependence_brute_force(spark):

@@ -68,3 +68,16 @@ def test_ordinal_rank(frames, down):
     want = (clean.groupby("g").cumcount() + 1).set_axis(clean["id"]).sort_index()
     got = scale.ordinal_rank(df.dropna(), ["g"], "v", "id", "r", descending=down).toPandas().set_index("id")["r"].sort_index()
     assert (got.to_numpy() == want.to_numpy()).all()
+
+
+def test_narrow_bands_and_hot_groups_are_split(spark):
+    """Instants close together in one group, half of all rows; a long tail in another."""
+    from pyspark.sql import functions as F
+    ids = spark.range(60_000)
+    narrow = ids.select(F.lit(0).alias("g"), (F.lit(1.7e9) + F.col("id")).alias("v"))
+    tail = ids.select(F.lit(1).alias("g"), F.exp(F.col("id") / 2000.0).alias("v"))
+    df = narrow.unionByName(tail)
+    out = scale.ordered_prefix(df, ["g"], "v", rows_per_slice=1000)
+    sizes = scale.sliced(df.groupBy("g", "v").count(), ["g"], "v", 1000).groupBy("g", "_slice").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2000
+    assert out.where("n_before + 1 > n_total or n_total <> 60000").count() == 0 and out.agg(F.count_distinct("g", "n_before")).first()[0] == 120_000

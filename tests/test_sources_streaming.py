@@ -59,7 +59,8 @@ def test_materialize_rewrites_stale_tables(spark):
     df = spark.createDataFrame([(1, 10, 0), (2, 20, 1)], "k int, v int, epoch int")
     snapshots.materialize(df, path, "v1", "epoch", ["k", "v"])
     changed = df.withColumn("v", F.col("v") + 1)
-    assert snapshots.materialize(changed, path, "v1", "epoch", ["k", "v"]).agg(F.sum("v")).first()[0] == 30
+    assert snapshots.materialize(changed, path, "v1", "epoch", ["k", "v"]).agg(F.sum("v")).first()[0] == 32
+    assert snapshots.materialize(df, path, "v1", "epoch", ["k", "v"]).agg(F.sum("v")).first()[0] == 30
     assert snapshots.materialize(changed, path, "v2", "epoch", ["k", "v"]).agg(F.sum("v")).first()[0] == 32
 
 
@@ -102,3 +103,34 @@ def test_overrides(spark):
     given = spark.createDataFrame(rows, "k int, minutes double, start double, confidence double, updated_at string")
     out = capture.admit_overrides(given, F.lit("2024-06-01").cast("timestamp")).orderBy("k").collect()
     assert [r["errors"] for r in out] == [[], ["range"], ["no-zone"], ["future"]] and out[0]["confidence"] == 0.75
+
+
+def test_the_latest_override_counts_once(spark):
+    rows = [(1, 60.0, 0.5, 1.0, "2024-01-01T00:00:00Z"), (1, 30.0, 0.5, 1.0, "2024-01-02T00:00:00Z")]
+    given = capture.admit_overrides(spark.createDataFrame(rows, "k int, minutes double, start double, confidence double, updated_at string"), F.lit("2024-06-01").cast("timestamp"))
+    model = spark.createDataFrame([(1, 70.0, 0.8, None, "a", None), (2, 70.0, 0.8, None, "a", "knock"), (3, 70.0, 0.8, None, "a", " ")], "k int, model_minutes double, model_start double, chance double, status string, news string")
+    out = capture.merge_overrides(model, given, "k").orderBy("k").collect()
+    assert [(r["k"], r["expected_minutes"], r["priority"]) for r in out] == [(1, 30.0, True), (2, 70.0, True), (3, 70.0, False)]
+
+
+def test_lock_once_forgets_nothing(spark):
+    source, root = scratch(spark, "in"), scratch(spark, "out")
+    schema = "k int, at timestamp, id int"
+
+    def feed(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+        capture.run_lock_once(spark.readStream.schema(schema).parquet(source), ["k"], ["at", "id"], f"{root}/ok", f"{root}/no", f"{root}/ck")
+        return sorted(r["id"] for r in spark.read.parquet(f"{root}/ok").collect()), sorted(r["id"] for r in spark.read.parquet(f"{root}/no").collect())
+
+    day = dt.timedelta(days=1)
+    assert feed((1, LATE, 10), (1, NOON, 11), (1, NOON, 11), (2, NOON, 20)) == ([11, 20], [10, 11])
+    assert feed((1, NOON - 90 * day, 12), (3, NOON - 90 * day, 30), (2, NOON + 90 * day, 21)) == ([11, 20, 30], [10, 11, 12, 21])
+
+
+def test_deadlines_of_two_months(spark):
+    from causal_panel.plans.q_capture import as_captures
+    days = [dt.datetime(2024, 1, 1, 12) + dt.timedelta(days=k) for k in range(60)]
+    events = spark.createDataFrame([(k + 1, d, "purchase", 50.0) for k, d in enumerate(days)], "event_id int, ts timestamp_ntz, event_type string, value double")
+    due = events.select(F.to_date("ts").alias("day"), (F.to_date("ts").cast("timestamp_ntz") + F.expr("interval 18 hours")).alias("deadline"))
+    gated = capture.deadline_gate(as_captures(events), due, ["day"])
+    assert gated.count() == 60 and gated.where("promotion_eligible").count() == 59  # event 50 has no capture time
