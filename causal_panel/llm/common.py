@@ -29,3 +29,11 @@ def n_words(text: Column) -> Column:
 def share(key: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the key and the seed only, so that reruns and lost tasks agree."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11) / float(1 << 53)
+
+
+def spare_name(df: DataFrame, name: str) -> str:
+    """A name that no column of `df` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, spare_name
 
 #: Draws after which the values of a kind count as used up; the job then fails rather than merge two entities.
 MOST_DRAWS = 64
@@ -226,23 +226,24 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text", count_
     named = docs.select(F.xxhash64(F.col(text_col)).alias("name"), F.col(text_col).alias("text"))
     found = named.mapInPandas(_entities, "name long, kind string, value string")
     draws = settle(settle_draws(settle(found.select("kind", "value").distinct(), "entities"), key), "draws")
-    result = "text string, n int"
+    result, new = "text string, n int", spare_name(docs, "_rewritten")
     if draws.isEmpty():
         @F.pandas_udf(result)
         def replaced(texts: pd.Series) -> pd.DataFrame:
             return pd.DataFrame([(t, 0) if t is None else rewrite(t, key, {}) for t in texts], columns=["text", "n"])
 
-        out, drop = docs.withColumn("_rewritten", replaced(F.col(text_col))), ["_rewritten"]
+        out, drop = docs.withColumn(new, replaced(F.col(text_col))), [new]
     else:  # texts with an entity that needed another draw, by their hash
-        held = found.join(draws, ["kind", "value"]).distinct().groupBy("name").agg(F.collect_list(F.struct("kind", "value", "draw")).alias("_draws"))
-        held = settle(held, "redrawn").withColumnRenamed("name", "_name")
+        name, more = spare_name(docs, "_name"), spare_name(docs, "_draws")
+        held = found.join(draws, ["kind", "value"]).distinct().groupBy("name").agg(F.collect_list(F.struct("kind", "value", "draw")).alias(more))
+        held = settle(held, "redrawn").withColumnRenamed("name", name)
 
         @F.pandas_udf(result)
         def replaced(texts: pd.Series, draws: pd.Series) -> pd.DataFrame:
             rows = [(t, 0) if t is None else rewrite(t, key, {} if d is None else {(x["kind"], x["value"]): x["draw"] for x in d}) for t, d in zip(texts, draws, strict=True)]
             return pd.DataFrame(rows, columns=["text", "n"])
 
-        out = docs.join(held, F.xxhash64(F.col(text_col)) == F.col("_name"), "left").withColumn("_rewritten", replaced(F.col(text_col), F.col("_draws")))
-        drop = ["_rewritten", "_name", "_draws"]
-    out = out.withColumn(text_col, F.col("_rewritten.text"))
-    return (out.withColumn(count_col, F.col("_rewritten.n").cast("long")) if count_col else out).drop(*drop)
+        out = docs.join(held, F.xxhash64(F.col(text_col)) == F.col(name), "left").withColumn(new, replaced(F.col(text_col), F.col(more)))
+        drop = [new, name, more]
+    out = out.withColumn(text_col, F.col(f"{new}.text"))
+    return (out.withColumn(count_col, F.col(f"{new}.n").cast("long")) if count_col else out).drop(*drop)

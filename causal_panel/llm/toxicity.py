@@ -83,8 +83,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     )
     tokens = F.pandas_udf(lambda s: s.map(lambda t: sorted(words_of(t))), "array<string>")
-    sample = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select(  # at most max_rows small rows
-        F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(members)).alias("fold"), (F.col("_toxic") == 1).alias("positive"), tokens(F.col(text_col)).alias("words"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    sample = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(  # at most max_rows small rows
+        F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(members)).alias("fold"), (F.col("_toxic") == 1).alias("positive"), tokens(F.col("_text")).alias("words"))
     shares = sample.withColumn("member", F.explode(F.array(*[F.lit(m) for m in range(members)]))).filter("member != fold" if members > 1 else "true").drop("fold")
 
     def member(rows: pd.DataFrame) -> pd.DataFrame:

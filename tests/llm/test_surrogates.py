@@ -67,7 +67,8 @@ def test_used_up(spark):
 
 
 def test_odd_rows(odd, none):
-    out = s.replace_entities(odd.withColumn("n", F.lit("kept")), KEY)
-    assert out.columns == [*odd.columns, "n"]
-    assert sorted(map(str, out.drop("n").collect())) == sorted(map(str, odd.collect()))
+    wide = odd.withColumns({c: F.lit("kept") for c in ("n", "_rewritten", "_name", "_draws", "_id", "_text", "_kept")})
+    out = s.replace_entities(wide, KEY)
+    assert out.columns == wide.columns and {r["_rewritten"] for r in out.collect()} == {"kept"}
+    assert sorted(map(str, out.select(odd.columns).collect())) == sorted(map(str, odd.collect()))
     assert s.replace_entities(none, KEY, count_col="n").collect() == []

