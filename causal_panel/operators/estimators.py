@@ -67,18 +67,20 @@ def _isotonic_map(df: DataFrame, prior_rate: float, shrink: float, strength: flo
     return df.withColumn("map", F.array(*fitted)).drop("_g", "_m", *[f"n{i}" for i in range(BINS)], *[f"s{i}" for i in range(BINS)])
 
 
-def _apply_map(df: DataFrame, maps: DataFrame, keys: Sequence[str], probability: str, out: str, observed: Column) -> DataFrame:
+def _apply_map(df: DataFrame, maps: DataFrame, keys: Sequence[str], probability: str, out: str, observed: Column, idle: float | None = None) -> DataFrame:
     b = F.least(F.floor(F.col(probability) * BINS), F.lit(BINS - 1)).cast("int")
     joined = df.join(maps, list(keys), "left")
-    return joined.withColumn(out, F.when(observed & F.col("map").isNotNull(), F.col("map")[b]).otherwise(F.col(probability))).drop("map")
+    fallback = F.col(probability) if idle is None else F.when(observed, F.col(probability)).otherwise(F.lit(idle))
+    return joined.withColumn(out, F.when(observed & F.col("map").isNotNull(), F.col("map")[b]).otherwise(fallback)).drop("map")
 
 
 def expanding_calibration(
     df: DataFrame, stratum: str, probability: str, outcome: Column, prior_rate: float, observed: Column, out: str,
-    shrink: float = 32.0, strength: float = 60.0, update_on: str = "all",
+    shrink: float = 32.0, strength: float = 60.0, update_on: str = "all", idle: float | None = None,
 ) -> DataFrame:
     """Calibrate each deadline's observed rows with the isotonic map of strictly earlier ones.
 
+    Other rows get `idle`, what is certain of a row with no slate, or keep their probability if it is not given.
     `update_on` says which rows teach later deadlines: 'all' or only the 'observed' ones.
     """
     taught = df if update_on == "all" else df.where(observed)
@@ -87,7 +89,7 @@ def expanding_calibration(
     spine = df.select(*keys).distinct().join(sums, keys, "left")
     w = _prior([stratum])
     prior = spine.select(*keys, *[prior_of(f"{t}{i}", w).alias(f"{t}{i}") for t in "ns" for i in range(BINS)])
-    return _apply_map(df, _isotonic_map(prior, prior_rate, shrink, strength), keys, probability, out, observed)
+    return _apply_map(df, _isotonic_map(prior, prior_rate, shrink, strength), keys, probability, out, observed, idle)
 
 
 def terminal_calibration(
@@ -101,10 +103,11 @@ def terminal_calibration(
 
 def expanding_half_width(
     df: DataFrame, stratum: str, error: Column, uncertainty: str, observed: Column,
-    level: float = 0.80, least: int = 250, default: float = 0.70, cells: int = 80,
+    level: float = 0.80, least: int = 250, default: float = 0.70, cells: int = 80, centre: str | None = None,
 ) -> DataFrame:
-    """Adds `half_width`: uncertainty times the prior quantile of |error| / uncertainty.
+    """Adds `half_width`: uncertainty times the prior quantile of |error| / uncertainty; with a `centre` also its band `p10`, `p90`.
 
+    A band is held in 0..25 and is 0 for rows that are not observed.
     The ratio is counted in twentieths up to 4; the quantile is the first cell whose running count
     reaches `level` of the rows, once there are `least` of them.
     """
@@ -123,7 +126,24 @@ def expanding_half_width(
     factor = F.when(F.col("_all") >= least, clip(F.col("_at") / 20.0, 0.25, 2.50)).otherwise(F.lit(default))
     ratios = found.select(*keys, factor.alias("_ratio"))
     width = clip(F.when(observed, F.col(uncertainty) * F.col("_ratio")).otherwise(F.lit(0.0)), 0.4, 9.0)
-    return df.join(ratios, keys).withColumn("half_width", width).drop("_ratio")
+    out = df.join(ratios, keys).withColumn("half_width", width).drop("_ratio")
+    return out if centre is None else _band(out, centre, observed)
+
+
+def _band(df: DataFrame, centre: str, observed: Column) -> DataFrame:
+    low, high = F.greatest(F.col(centre) - F.col("half_width"), F.lit(0.0)), F.least(F.col(centre) + F.col("half_width"), F.lit(25.0))
+    return df.withColumn("p10", F.when(observed, low).otherwise(0.0)).withColumn("p90", F.when(observed, high).otherwise(0.0))
+
+
+def terminal_half_width(
+    history: DataFrame, current: DataFrame, stratum: str, error: Column, uncertainty: str, spread: str, centre: str, observed: Column,
+    level: float = 0.80, default: float = 0.70,
+) -> DataFrame:
+    """The exact quantile of |error| / uncertainty over all of history (observed rows), times the `spread` of new rows; adds the band too."""
+    ratio = clip(F.abs(error) / F.greatest(F.col(uncertainty), F.lit(0.1)), 0.0, 4.0)
+    ratios = exact_quantiles(history.where(observed).select(stratum, ratio.alias("_ratio")), [stratum], {"_q": ("_ratio", level)})
+    width = F.col(spread) * clip(F.coalesce("_q", F.lit(default)), 0.25, 2.50)
+    return _band(current.join(ratios, stratum, "left").withColumn("half_width", width).drop("_q"), centre, F.lit(True))
 
 
 # ---------------------------------------------------------------- ridge from sums
@@ -443,9 +463,9 @@ def blend_search(
 
 def expert_weights(
     df: DataFrame, stratum: str, base: str, challenger: str, actual: str, entity: str, observed: Column,
-    decay: float, temperature: float, k: int, end: str | None = None,
+    decay: float, temperature: float, k: int | dict[int, int], end: str | None = None,
 ) -> DataFrame:
-    """Weight of a challenger per (stratum, deadline) from its earlier top-k advantage.
+    """Weight of a challenger per (stratum, deadline) from its earlier top-k advantage; `k` is one number or one per stratum.
 
     The advantage decays by `decay` per deadline from zero; the weight is a sigmoid around one
     quarter, held in .05..0.50. With `end`, an advantage counts once all its labels have matured.
@@ -453,8 +473,12 @@ def expert_weights(
     keys = [stratum, *DEADLINE]
     seen = df.where(observed)
 
+    quota = first_match([(F.col(stratum) == s, n) for s, n in k.items()], 0) if isinstance(k, dict) else F.lit(k)
+    most = max(k.values()) if isinstance(k, dict) else k
+
     def top_mean(score, name):
-        return top_k(seen, keys, [F.desc(score), F.asc(entity)], k, "_r").groupBy(*keys).agg(F.avg(actual).alias(name))
+        best = top_k(seen, keys, [F.desc(score), F.asc(entity)], most, "_r").where(F.col("_r") <= quota)
+        return best.groupBy(*keys).agg(F.avg(actual).alias(name))
 
     gained = top_mean(challenger, "_c").join(top_mean(base, "_b"), keys).select(*keys, (F.col("_c") - F.col("_b")).alias("_adv"))
     if end is not None:

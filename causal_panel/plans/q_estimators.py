@@ -41,9 +41,9 @@ dl AS (SELECT DISTINCT position, period FROM fp), pr AS (SELECT dl.position, dl.
 """ + iso_sql("pr", "position, period")
 
 
-@query("C1_expanding_calibration", CAL + "SELECT entity, fp.period, round(CASE WHEN slate>0 THEN m ELSE prob END,6) AS calibrated FROM fp JOIN iso ON iso.position=fp.position AND iso.period=fp.period AND iso.b=CAST(least(floor(prob*10),9) AS INTEGER)")
+@query("C1_expanding_calibration", CAL + "SELECT entity, fp.period, round(CASE WHEN slate>0 THEN m ELSE 0e0 END,6) AS calibrated FROM fp JOIN iso ON iso.position=fp.position AND iso.period=fp.period AND iso.b=CAST(least(floor(prob*10),9) AS INTEGER)")
 def c1(spark, sf):
-    out = c.expanding_calibration(forecasts(spark, sf), "position", "prob", hit(), 0.12, seen(), "calibrated")
+    out = c.expanding_calibration(forecasts(spark, sf), "position", "prob", hit(), 0.12, seen(), "calibrated", idle=0.0)
     return out.select(*KEY, r6("calibrated").alias("calibrated"))
 
 
@@ -57,11 +57,21 @@ def c2(spark, sf):
 @query("C3_expanding_half_width", FORECASTS + """, hb AS (SELECT position, period, CAST(least(floor(least(4e0,abs(points-f_base)/greatest(unc,0.1e0))*20),80) AS INTEGER) AS b, count(*) AS n FROM fp GROUP BY ALL), dl AS (SELECT DISTINCT position, period FROM fp),
 pr AS (SELECT dl.position, dl.period, b, sum(n) AS n FROM dl JOIN hb ON hb.position=dl.position AND hb.period<dl.period GROUP BY ALL), ru AS (SELECT position, period, b, sum(n) OVER (PARTITION BY position, period ORDER BY b) AS r, sum(n) OVER (PARTITION BY position, period) AS a FROM pr),
 rt AS (SELECT position, period, CASE WHEN max(a)>=250 THEN least(2.5e0,greatest(0.25e0,min(CASE WHEN r>=0.8e0*a THEN b END)/20e0)) ELSE 0.7e0 END AS ratio FROM ru GROUP BY ALL)
-SELECT entity, fp.period, round(least(9e0,greatest(0.4e0,CASE WHEN slate>0 THEN unc*coalesce(ratio,0.7e0) ELSE 0 END)),6) AS half_width FROM fp LEFT JOIN rt ON rt.position=fp.position AND rt.period=fp.period""")
+SELECT entity, period, round(hw,6) AS half_width, round(CASE WHEN slate>0 THEN greatest(0e0,f_base-hw) ELSE 0e0 END,6) AS p10, round(CASE WHEN slate>0 THEN least(25e0,f_base+hw) ELSE 0e0 END,6) AS p90
+FROM (SELECT fp.*, least(9e0,greatest(0.4e0,CASE WHEN slate>0 THEN unc*coalesce(ratio,0.7e0) ELSE 0 END)) AS hw FROM fp LEFT JOIN rt ON rt.position=fp.position AND rt.period=fp.period)""")
 def c3(spark, sf):
     fp = forecasts(spark, sf)
-    out = c.expanding_half_width(fp, "position", F.col("points") - F.col("f_base"), "unc", seen())
-    return out.select(*KEY, r6("half_width").alias("half_width"))
+    out = c.expanding_half_width(fp, "position", F.col("points") - F.col("f_base"), "unc", seen(), centre="f_base")
+    return out.select(*KEY, *[r6(x).alias(x) for x in ("half_width", "p10", "p90")])
+
+
+@query("C3_terminal_half_width", FORECASTS + """, q AS (SELECT position, quantile_cont(least(4e0,abs(points-f_base)/greatest(unc,0.1e0)),0.8) AS ratio FROM fp WHERE slate>0 AND epoch<(SELECT max(epoch) FROM fp) GROUP BY position),
+h AS (SELECT fp.*, unc*least(2.5e0,greatest(0.25e0,coalesce(ratio,0.7e0))) AS hw FROM fp LEFT JOIN q USING (position) WHERE epoch=(SELECT max(epoch) FROM fp))
+SELECT entity, period, round(hw,6) AS half_width, round(greatest(0e0,f_base-hw),6) AS p10, round(least(25e0,f_base+hw),6) AS p90 FROM h""")
+def c3b(spark, sf):
+    past, now = at_last_epoch(forecasts(spark, sf))
+    out = c.terminal_half_width(past, now, "position", F.col("points") - F.col("f_base"), "unc", "unc", "f_base", seen())
+    return out.select(*KEY, *[r6(x).alias(x) for x in ("half_width", "p10", "p90")])
 
 
 def x1():
@@ -173,9 +183,14 @@ def c11(spark, sf):
     return out.select("epoch", "prior_rows", r6("weight").alias("weight"))
 
 
+# Members of a squad by position: of so many the advantage is taken.
+QUOTAS = {1: 2, 2: 5, 3: 5, 4: 3}
+
+
 def expert_sql(matured: str, end: str) -> str:
+    quota = "CASE position " + " ".join(f"WHEN {p} THEN {n}" for p, n in QUOTAS.items()) + " END"
     return f""", sn AS (SELECT *, row_number() OVER (PARTITION BY position, period ORDER BY f_price DESC, entity) AS a, row_number() OVER (PARTITION BY position, period ORDER BY f_base DESC, entity) AS b FROM fl WHERE slate>0),
-ad AS (SELECT position, epoch, period, avg(CASE WHEN a<=3 THEN target3 END)-avg(CASE WHEN b<=3 THEN target3 END) AS adv, max({end}) AS fin FROM sn GROUP BY ALL), dl AS (SELECT DISTINCT position, epoch, period FROM fp),
+ad AS (SELECT position, epoch, period, avg(CASE WHEN a<={quota} THEN target3 END)-avg(CASE WHEN b<={quota} THEN target3 END) AS adv, max({end}) AS fin FROM sn GROUP BY ALL), dl AS (SELECT DISTINCT position, epoch, period FROM fp),
 mt AS (SELECT d.position, d.period, adv, row_number() OVER (PARTITION BY d.position, d.period ORDER BY a.period) AS i, count(*) OVER (PARTITION BY d.position, d.period) AS m FROM dl d JOIN ad a ON a.position=d.position AND {matured}),
 st AS (SELECT position, period, sum(0.1e0*pow(0.9e0,m-i)*adv) AS state FROM mt GROUP BY ALL)
 SELECT position, period, round(coalesce(state,0),6) AS advantage, round(least(0.5e0,greatest(0.05e0,1/(1+exp(-greatest(-18e0,least(18e0,ln(0.25e0/0.75e0)+coalesce(state,0)/2)))))),6) AS weight FROM dl LEFT JOIN st USING (position, period)"""
@@ -183,13 +198,13 @@ SELECT position, period, round(coalesce(state,0),6) AS advantage, round(least(0.
 
 @query("C12_expert_weights", LABELLED + expert_sql("a.period<d.period", "period"))
 def c12(spark, sf):
-    out = c.expert_weights(labelled(spark, sf), "position", "f_base", "f_price", "target3", "entity", seen(), 0.9, 2.0, 3)
+    out = c.expert_weights(labelled(spark, sf), "position", "f_base", "f_price", "target3", "entity", seen(), 0.9, 2.0, QUOTAS)
     return out.select("position", "period", r6("advantage").alias("advantage"), r6("weight").alias("weight"))
 
 
 @query("C12_expert_weights_delayed", LABELLED + expert_sql("(a.epoch<d.epoch OR (a.epoch=d.epoch AND a.fin<d.period))", "end3"))
 def c12b(spark, sf):
-    out = c.expert_weights(labelled(spark, sf), "position", "f_base", "f_price", "target3", "entity", seen(), 0.9, 2.0, 3, end="end3")
+    out = c.expert_weights(labelled(spark, sf), "position", "f_base", "f_price", "target3", "entity", seen(), 0.9, 2.0, QUOTAS, end="end3")
     return out.select("position", "period", r6("advantage").alias("advantage"), r6("weight").alias("weight"))
 
 
