@@ -189,7 +189,8 @@ def repeated_spans(docs: DataFrame, largest_group: int = LARGEST_GROUP) -> DataF
     """
     ddl = "anchor long, block long, k1 long, k2 long, at long, shape int"
     found = docs.mapInArrow(_find_blocks, ddl)
-    again = found.groupBy("anchor").count().filter("count > 1").select("anchor")
+    # as a table of its own, so that the join below shuffles both sides and Spark can split a frequent anchor
+    again = settle(found.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
     met = settle(found.join(again, "anchor", "left_semi"), "anchored")
     blocks = settle(met.groupBy("anchor", "shape", "block").agg(
         F.count("*").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("at").alias("at")), "blocks")
