@@ -154,9 +154,11 @@ def near_price_pairs(df: DataFrame, keys: Sequence[str], price: str, forecast: s
     keys, levels = list(keys), (2 * band + 1).bit_length() - 2 if band else 0
     used = df.where(F.col(outcome).isNotNull() & F.col(forecast).isNotNull() & F.col(price).isNotNull()).select(
         *keys, F.col(price).cast("int").alias("_p"), F.col(outcome).cast("double").alias("_o"), F.col(forecast).cast("double").alias("_f"))
-    numbered = ordered_prefix(used, keys, "_o", {"one": F.max(F.lit(1))})
-    numbered = numbered.where(F.col("one_total") > 1).select(
-        *keys, "_o", F.col("one_before").cast("int").alias("_a"), F.length(F.bin(F.col("one_total") - 1)).alias("_bits"))
+    # one row per different outcome of a group, however many rows have it
+    different, whole = used.select(*keys, "_o").distinct(), Window.partitionBy(*keys)
+    numbered = different.select(
+        *keys, "_o", (F.row_number().over(whole.orderBy("_o")) - 1).alias("_a"), F.count(F.lit(1)).over(whole).alias("_outcomes"))
+    numbered = numbered.where(F.col("_outcomes") > 1).select(*keys, "_o", "_a", F.length(F.bin(F.col("_outcomes") - 1)).alias("_bits"))
     rows = used.groupBy(*keys, "_p", "_o", "_f").agg(F.count(F.lit(1)).alias("_n")).join(numbered, [*keys, "_o"])
     halves = rows.select(*keys, "_p", "_f", "_a", "_n", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)).alias("_b")).withColumn(
         "_h", F.expr("shiftright(_a, _b)")
