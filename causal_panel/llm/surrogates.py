@@ -12,7 +12,9 @@ import hashlib
 import hmac
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,9 +40,11 @@ GIVEN = {
     "m": "Andreas Antonio Carlos Charles Daniel David François Hans James Jean Joachim John José Juan Jürgen Klaus Luis Manuel Mark Michael Miguel Nicolas Paul Peter Pierre Richard Robert Stefan Thomas William Wolfgang Алексей Дмитрий Иван Сергей".split(),
 }
 GENDER = {name: g for g, names in GIVEN.items() for name in names}
-_CAPITALISED = r"[^\W\d_a-zà-ÿ][^\W\d_]+"
+#: Combining marks and joiners, which many scripts write inside a name.
+_MARKS = "".join(re.escape(chr(c)) for c in range(0x300, 0x12000) if unicodedata.category(chr(c)) in ("Mn", "Mc")) + "\u200c\u200d"
+_CAPITALISED = rf"[^\W\d_a-zà-ÿ](?:[{_MARKS}]*[^\W\d_])+[{_MARKS}]*"
 _NAME = re.compile(
-    rf"(?<!\w)(?:(?P<title>{'|'.join(map(re.escape, TITLES))})\.? (?P<titled>{_CAPITALISED}(?:[ \-]{_CAPITALISED}){{0,2}})|(?P<given>{'|'.join(map(re.escape, GENDER))}) (?P<family>{_CAPITALISED}(?:-{_CAPITALISED})?))(?!\w)")
+    rf"(?<!\w)(?:(?P<title>{'|'.join(map(re.escape, TITLES))})\.? (?P<titled>{_CAPITALISED}(?:[ \-]{_CAPITALISED}){{0,2}})|(?P<given>{'|'.join(map(re.escape, GENDER))}) (?P<family>{_CAPITALISED}(?:-{_CAPITALISED})?))(?![\w{_MARKS}])")
 #: Syllables for names by script, and endings by gender. Fixed values.
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se so ta te to va ve vo wa we".split(),
@@ -77,7 +81,30 @@ def _like(c: str, draws: Draws) -> str:
         return chr(97 + draws.below(26))
     if "A" <= c <= "Z":
         return chr(65 + draws.below(26))
-    return chr(0x4E00 + draws.below(20000)) if "一" <= c <= "鿿" else c
+    if "一" <= c <= "鿿":
+        return chr(0x4E00 + draws.below(20000))
+    alike = _letters().get(_kin(c), c) if c.isalpha() else c
+    return alike[draws.below(len(alike))]
+
+
+def _kin(c: str) -> tuple[str, str, bool]:
+    """What letters of one script, case and form have in common: the first word of the name, the category, whether it is a plain form."""
+    return unicodedata.name(c, "").partition(" ")[0], unicodedata.category(c), unicodedata.is_normalized("NFKC", c)
+
+
+@cache
+def _letters() -> dict[tuple[str, str, bool], str]:
+    """All letters by kin."""
+    kin: dict[tuple[str, str, bool], list[str]] = {}
+    for c in map(chr, range(0x80, 0x20000)):
+        if c.isalpha() and c.lower() == c:
+            kin.setdefault(_kin(c), []).append(c)
+    return {k: "".join(v) for k, v in kin.items()}
+
+
+def _drawable(text: str) -> bool:
+    """Whether `_like` can change anything of a text."""
+    return any(c.isdecimal() or c.isalpha() and (c.isascii() or "一" <= c <= "鿿" or len(_letters().get(_kin(c), "")) > 1) for c in text)
 
 
 def _luhn(digits: str) -> int:
@@ -92,7 +119,7 @@ def surrogate_of(key: bytes, kind: str, value: str, draw: int) -> str:
     if kind == "email":
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
-        by_domain = Draws(key, f"domain\0{host}")  # addresses of one domain keep one domain
+        by_domain = Draws(key, f"domain\0{host}" if _drawable(local) else f"domain\0{draw}\0{host}")  # addresses of one domain keep one domain
         return "".join(_like(c, draws) for c in local) + "@" + "".join(_like(c, by_domain) for c in host) + "." + top
     if kind == "ip":
         return ".".join(str(draws.below(254) + 1) for _ in range(4))
@@ -104,7 +131,8 @@ def surrogate_of(key: bytes, kind: str, value: str, draw: int) -> str:
     if kind in ("family", "given-f", "given-m", "given-"):
         script = _script(value)
         if script == "other":
-            return "".join(_like(c, draws) for c in value)
+            letter = next(filter(_drawable, value))
+            return "".join(_like(c, draws) for c in value) + "".join(_like(letter, draws) for _ in range(draw // 4))
         gender = kind[6:] if kind.startswith("given") else ""
         stem = "".join(SYLLABLES[script][draws.below(len(SYLLABLES[script]))] for _ in range(2 + (draws.below(2) if kind == "family" else 0) + draw // 4))
         return stem + ENDINGS[script][gender][draws.below(3)]
@@ -148,8 +176,8 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                 rest = rest[: m.start()] + "\0" * (m.end() - m.start()) + rest[m.end() :]
 
     if "@" in text:
-        take(_EMAIL, "email", str.lower)
-    take(_SECRET, "secret", str)
+        take(_EMAIL, "email", str.lower, lambda s: _drawable(s.rpartition(".")[0]))
+    take(_SECRET, "secret", str, lambda s: _drawable(re.sub(r"^[a-z]+[-_]", "", s)))
     if _DIGIT.search(text):
         take(_IP, "ip", str, _ip)
         take(_IBAN, "iban", lambda s: s.replace(" ", ""))
@@ -163,7 +191,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             words.insert(0, (m.start("given"), m["given"]))
         for k, (start, word) in enumerate(words):  # the first of several is a given name; double names are an entity a part
             kind = f"given-{GENDER.get(word, gender)}" if k == 0 and len(words) > 1 else "family"
-            found += [(start + p.start(), start + p.end(), kind, p[0].lower()) for p in re.finditer(r"[^\-]+", word)]
+            found += [(start + p.start(), start + p.end(), kind, p[0].lower()) for p in re.finditer(r"[^\-]+", word) if _script(p[0]) != "other" or _drawable(p[0].lower())]
     kept, end = [], 0
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if x[0] >= end:

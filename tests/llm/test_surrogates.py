@@ -72,3 +72,23 @@ def test_odd_rows(odd, none):
     assert out.columns == wide.columns and {r["_rewritten"] for r in out.collect()} == {"kept"}
     assert sorted(map(str, out.select(odd.columns).collect())) == sorted(map(str, odd.collect()))
     assert s.replace_entities(none, KEY, count_col="n").collect() == []
+
+
+NAMES = ["محمد", "כהן", "김민수", "さくら", "タナカ", "शर्मा", "გიორგი", "Պետրոս", "สมชาย", "王小明", "Ｔａｎａｋａ"]
+
+
+def test_names_of_any_script(spark):
+    docs = spark.createDataFrame([(k, f"Dr. {n} met Mr {n}, and Frau {n}-{n}.") for k, n in enumerate(NAMES)], "doc_id long, text string")
+    for r in s.replace_entities(docs, KEY, count_col="n").collect():
+        name = NAMES[r.doc_id]
+        given = re.fullmatch(r"Dr\. (\S+) met Mr (\S+), and Frau (\S+)-(\S+)\.", r.text).groups()
+        assert r.n == 4 and len(set(given)) == 1 and given[0].lower() != name.lower() and name not in r.text
+        scripts = [{s.unicodedata.name(c).split()[0] for c in x if c.isalpha()} for x in (name, given[0])]
+        assert scripts[0] == scripts[1]
+
+
+def test_nothing_to_redraw(spark):
+    texts = ["see -@-.- and sk-" + "-" * 16, "-@a.de -@b.de -@c.de -@d.de " * 2]
+    found = {r.doc_id: r for r in s.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY, count_col="n").collect()}
+    assert found[0].n == 0 and found[0].text == texts[0]
+    assert found[1].n == 8 and len(set(found[1].text.split())) == 4 and not set(found[1].text.split()) & set(texts[1].split())
