@@ -1,10 +1,13 @@
-"""Toxicity by non-negative positive-unlabelled learning.
+"""Toxicity by logistic classifiers; the risk is that of non-negative positive-unlabelled learning.
 
 Positives are texts that a label confirms as toxic; every labelled row, its label hidden, is an unlabelled example. With class prior p
 the risk of a classifier is p R+(positives) + max(0, R-(unlabelled) - p R-(positives)): the second part estimates the risk on clean texts
 and can't fall below zero in truth, so where an estimate does, the step goes back up. Numpy classifiers (logistic loss, one weight per word,
 soft-thresholded) are fitted side by side in Spark tasks, each on the sample less one fold, and scored as their mean.
 
+As registered the sample is the labelled rows alone and the prior their share of positives. Then R-(unlabelled) - p R-(positives) is the mean
+loss over the rows labelled 0, which never falls below zero: the fit is supervised logistic regression. `fit` does more only for other inputs.
+
 The sample is bounded by `max_rows` labelled rows, the model by `max_words` weights; scoring reads every whole text.
 """
 from __future__ import annotations
