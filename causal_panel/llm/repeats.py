@@ -28,6 +28,8 @@ WIDTH, ANCHOR = 200, 40
 PLACES = WIDTH - ANCHOR + 1
 #: Different blocks of one anchor that a task may hold, about 0.7 kB each.
 LARGEST_GROUP = 20_000
+#: Blocks of whole anchors that are compared in one call; only a single anchor may have more.
+TOGETHER = 4096
 #: String starts that are looked at together.
 STRETCH = 1 << 20
 _MASK = np.uint64(STRETCH * 2 - 1)
@@ -150,14 +152,24 @@ def _compare(batches):
     for batch in batches:
         table = pa.Table.from_batches([batch] if held is None else [*held, batch])
         anchors = table["anchor"].to_numpy()
-        cut = int(np.searchsorted(anchors != anchors[-1], False)) if len(anchors) else 0  # where the last anchor begins
+        cut = int(np.searchsorted(anchors == anchors[-1], True)) if len(anchors) else 0  # where the last anchor begins
         held = table.slice(cut).to_batches()
-        if cut:
-            yield _compare_batch(table.slice(0, cut))
+        for a, b in _portions(anchors[:cut]):
+            yield _compare_batch(table.slice(a, b - a))
     if held:
         yield _compare_batch(pa.Table.from_batches(held))
 
 
+def _portions(anchors: np.ndarray):
+    """(first, end) of portions of sorted anchors: as many whole anchors as have at most `TOGETHER` rows, at least one."""
+    ends, at = np.append(np.flatnonzero(anchors[1:] != anchors[:-1]) + 1, len(anchors)), 0
+    while at < len(anchors):
+        k = int(np.searchsorted(ends, at + TOGETHER, "right")) - 1
+        end = int(ends[k]) if k >= 0 and ends[k] > at else int(ends[k + 1])
+        yield at, end
+        at = end
+
+
 def _compare_batch(table: pa.Table) -> pa.RecordBatch:
     shape, n = table["shape"].to_numpy(), table["n"].to_numpy()
     _, group = np.unique(table["anchor"].to_numpy(), return_inverse=True)

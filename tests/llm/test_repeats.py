@@ -62,3 +62,30 @@ def test_odd_rows(odd, none):
     found = check(odd.withColumn("text", F.substring("text", 1, 3000)))
     assert [x[2] for x in found if x[0] in ("4", "5")] == [3000, 3000]
     assert repeats.remove_repeats(none).collect() == []
+
+
+def test_batches_are_released():
+    """_compare gives out anchors before its input ends, in calls of a bounded size, and the same for any size of batches."""
+    draw = random.Random(9)
+    rows = []
+    for anchor in range(-40, 40):
+        text = bytes(draw.choice(b"abc") for _ in range(230))
+        rows += [(anchor, 30 * 256 + 30, 1, anchor, k, 5, text[:210] + bytes(draw.choice(b"xyz") for _ in range(20))) for k in range(1 + anchor % 4)]
+    whole = repeats.pa.Table.from_pylist([dict(zip(("anchor", "shape", "n", "k1", "k2", "at", "text"), r, strict=True)) for r in rows])
+
+    def found(size):
+        taken = []
+        out = [(len(taken), b.num_rows, b.to_pylist()) for b in repeats._compare(taken.append(1) or x for x in whole.to_batches(max_chunksize=size))]
+        return out, len(taken), sorted(tuple(r.values()) for _, _, part in out for r in part)
+
+    expected = found(10**6)[2]
+    assert expected
+    for size in (1, 7, 50):
+        out, n, spans = found(size)
+        assert spans == expected and out[0][0] < n and len(out) > 2
+
+
+def test_portions(monkeypatch):
+    monkeypatch.setattr(repeats, "TOGETHER", 4)
+    parts = list(repeats._portions(repeats.np.array([1, 1, 2, 2, 3, 4, 4, 4, 4, 4, 5])))
+    assert parts == [(0, 4), (4, 5), (5, 10), (10, 11)] and list(repeats._portions(repeats.np.zeros(0))) == []
