@@ -18,12 +18,14 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)|(?P<text>[^<]+|<)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Elements without any text of the page; with their end tags they are skipped whole.
-SKIPPED = frozenset("script style template noscript iframe svg math object canvas head title".split())
+#: Elements without any text of the page; with their end tags they are skipped whole. But for scripts and styles, one that is never closed is not skipped.
+SKIPPED = frozenset("script style template noscript iframe svg object canvas head title".split())
 #: Elements that begin and end a block. Fixed values.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
+#: Attributes that end in a slash which closes the element, not in one of an unquoted value.
+_CLOSED = re.compile(r"(?:\A|[\s\"'])[^\s\"'=]*/\Z")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element of the left kind ends where one of the right kind begins.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -65,7 +67,7 @@ class _Page:
         self.stack: list[tuple[str, int, float]] = []
         self.parts: list[str] = []
         self.linked, self.in_link, self.n = 0, 0, 0
-        at = 0
+        at, unclosed = 0, set()
         while at < len(source):
             m = _TAG.match(source, at)
             at = m.end()
@@ -75,7 +77,12 @@ class _Page:
             elif m["name"]:
                 name = m["name"].lower()
                 if name in SKIPPED and not m["end"]:
+                    if name in unclosed or name == "svg" and _CLOSED.search(m["attrs"]):
+                        continue
                     end = re.compile(rf"</{name}\s*>|</{name}\Z|<body\b" if name in ("head", "title") else rf"</{name}\s*>", re.I).search(source, at)
+                    if end is None and name not in ("script", "style"):
+                        unclosed.add(name)  # nor is any later one
+                        continue
                     at = len(source) if end is None else end.start() if end[0].lower().startswith("<body") else end.end()
                 elif m["end"]:
                     self._close(name)

@@ -142,3 +142,16 @@ def test_sql_twins(spark, key):
     found = con.execute(SQL[key])
     names = [d[0] for d in found.description]
     assert sorted(map(str, map(tuple, frame.select(*names).collect()))) == sorted(map(str, found.fetchall())) and len(names) == len(frame.columns)
+
+
+@pytest.mark.parametrize("tag", ["<svg viewBox='0 0 1 1' />", '<svg class="i"/>', "<svg/>", "<svg hidden/>", "<svg>", "<object>", "<canvas>", "<noscript>", "<iframe>", "<template>", "<math/>", "<svg width=1/><path/></svg>"])
+def test_skipped_elements_end(tag):
+    page = "<body><article><p>The first paragraph of an article, long enough to count.</p>{}<p>The second paragraph of it, which is as long.</p></article></body>"
+    assert htmltext.main_text(page.format(tag)) == htmltext.main_text(page.format(""))
+
+
+def test_skipped_text():
+    page = "<body><article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>mc</mi></math> in this paragraph of an article, <svg><text>icon</text></svg>as is well known.</p></article>"
+    assert htmltext.main_text(page) == "Energy is E=mc in this paragraph of an article, as is well known."
+    assert "no" not in htmltext.main_text("<article><p>A paragraph that is part of it all.</p><script>no text")
+    assert len(htmltext.main_text("<article>" + "<canvas><p>A sentence that is part of it.</p>" * 3000).split("\n")) == 3000
