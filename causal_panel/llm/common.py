@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,30 @@ def spare_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def whole_groups(df: DataFrame, key: str, work: Callable[[pa.Table], pa.Table], schema: str, rows: int = 1 << 15) -> DataFrame:
+    """`work` over tables of whole groups: all rows of a `key` (long) stand together in one call, which gets many keys at once.
+
+    A call gets about `rows` rows; only a single larger key makes it larger. Rows reach a task sorted by key, so a task holds no more than one call.
+    """
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n < rows:
+                continue
+            table = pa.Table.from_batches(held)
+            keys = table[key].to_numpy()
+            cut = int(np.searchsorted(keys == keys[-1], True))  # where the last key begins
+            if cut:
+                yield from work(table.slice(0, cut)).to_batches()
+                held, n = table.slice(cut).to_batches(), n - cut
+        if held:
+            yield from work(pa.Table.from_batches(held)).to_batches()
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)

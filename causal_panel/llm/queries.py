@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, mixing, quality, repeats, simhash, surrogates, toxicity, urlrules, warc
+from . import bbit, decontam, htmltext, mixing, quality, repeats, simhash, surrogates, toxicity, urlrules, warc
 from .common import table
 
 #: Production parameters of the queries. The key is read from a secret store in use; a fixed one makes reruns comparable here.
@@ -62,8 +62,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_index(spark, warc.write_archive(table(spark, sf_dir, "pages")))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bbit.near_copies(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_surrogates, op3_simhash, op4_repeats, op5_mixing, op6_urls, op7_quality, op8_main_text, op9_decontamination, op10_warc)}
+    op1_toxicity, op2_surrogates, op3_simhash, op4_repeats, op5_mixing, op6_urls, op7_quality, op8_main_text, op9_decontamination, op10_warc, op11_minhash)}
 
 _HOST_PATH = r"""
 SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -87,4 +92,25 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
        CASE WHEN n < 100 OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN n < 100 OR page_id = first THEN NULL ELSE first END AS refers_to FROM f""",
+    "op11_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+sets AS (SELECT s, row_number() OVER (ORDER BY min(doc_id)) AS node, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0) GROUP BY s),
+items AS MATERIALIZED (SELECT node, n, unnest(s) AS item FROM sets),
+-- two sets over the limit share an item among the first n - ceil(0.8 n) + 1 of each, taken from the rarest
+ranked AS (SELECT node, n, items.item, row_number() OVER (PARTITION BY node ORDER BY c, items.item) AS place
+           FROM items JOIN (SELECT item, count(*) AS c FROM items GROUP BY item) f ON f.item = items.item),
+heads AS (SELECT node, n, item FROM ranked WHERE place <= n - ceil(0.8 * n) + 1),
+pairs AS MATERIALIZED (SELECT DISTINCT a.node AS a, b.node AS b FROM heads a JOIN heads b ON a.item = b.item AND a.node < b.node AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN sets x ON x.node = a JOIN sets y ON y.node = b
+          WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
+reach AS (SELECT node AS a, node AS b FROM sets UNION
+          SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = r.b),
+root AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a),
+docs AS (SELECT doc_id, s.s AS s, node FROM s LEFT JOIN sets ON list_sort(s.s) = sets.s),
+named AS (SELECT doc_id, coalesce(len(s), 0) AS n, root FROM docs LEFT JOIN root USING (node)),
+best AS (SELECT root, min(doc_id) AS component_id FROM named WHERE root IS NOT NULL GROUP BY root)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(doc_id = coalesce(component_id, doc_id), false) AS kept
+FROM named LEFT JOIN best USING (root)""",
 }
