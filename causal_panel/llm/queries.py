@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bbit, decontam, htmltext, mixing, quality, repeats, simhash, surrogates, toxicity, urlrules, warc
+from . import bbit, collocations, covertree, decontam, htmltext, mixing, quality, repeats, simhash, surrogates, toxicity, urlrules, warc
 from .common import table
 
 #: Production parameters of the queries. The key is read from a secret store in use; a fixed one makes reruns comparable here.
@@ -67,8 +67,17 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return covertree.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_surrogates, op3_simhash, op4_repeats, op5_mixing, op6_urls, op7_quality, op8_main_text, op9_decontamination, op10_warc, op11_minhash)}
+    op1_toxicity, op2_surrogates, op3_simhash, op4_repeats, op5_mixing, op6_urls, op7_quality, op8_main_text, op9_decontamination, op10_warc, op11_minhash, op12_hard_negatives, op13_collocations)}
 
 _HOST_PATH = r"""
 SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -113,4 +122,27 @@ named AS (SELECT doc_id, coalesce(len(s), 0) AS n, root FROM docs LEFT JOIN root
 best AS (SELECT root, min(doc_id) AS component_id FROM named WHERE root IS NOT NULL GROUP BY root)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(doc_id = coalesce(component_id, doc_id), false) AS kept
 FROM named LEFT JOIN best USING (root)""",
+    "op13_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: list_slice(w, i, i + k - 1))) AS p FROM pieces, range(1, 5) r(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, p, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+longer AS (SELECT lang, list_slice(p, i, i + m - 1) AS p, max(f) AS longer FROM f, range(2, 4) a(m), range(1, 4) b(i) WHERE k > 2 AND m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT f.* FROM f LEFT JOIN longer USING (lang, p) WHERE k > 1 AND (longer IS NULL OR 100 * longer < 80 * f)),
+cuts AS (SELECT c.lang, c.p, c.f AS a, i, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f::HUGEINT + y.f) AS score
+         FROM kept c JOIN range(1, 4) b(i) ON i < c.k JOIN f x ON x.lang = c.lang AND x.p = list_slice(c.p, 1, i) JOIN f y ON y.lang = c.lang AND y.p = list_slice(c.p, i + 1, c.k)),
+best AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, i) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best JOIN totals USING (lang) QUALIFY rank <= 2000""",
+    "op12_hard_negatives": """
+WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label AS anchor_label, r.vec_id, r.label, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score FROM r a JOIN r ON a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label AND vec_id <> anchor_id
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND label <> anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10""",
 }
