@@ -107,8 +107,8 @@ class CoverTree:
             """Leaf rows (ids, scores) and inner nodes (number, lowest, highest score) under a node; each is looked at once per query."""
             if depth < 0:  # above the root
                 score, e = self.root_vector @ query, length * self.root_radius
-                leaf = np.zeros(0 if self.levels else 1, np.int64)
-                return *self._rows(leaf, np.full(len(leaf), score), allowed), np.zeros(1 if self.levels else 0, np.int64), np.array([score - e]), np.array([score + e])
+                leaf, inner = np.zeros(0 if self.levels else 1, np.int64), np.zeros(1 if self.levels else 0, np.int64)
+                return *self._rows(leaf, np.full(len(leaf), score), allowed), inner, inner + score - e, inner + score + e
             if (depth, k) not in seen:
                 first, points, radius, number, vectors = self.levels[depth]
                 part = slice(first[k], first[k + 1])
