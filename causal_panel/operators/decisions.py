@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import col, first_match
-from .scale import exact_quantiles
+from .scale import expanding_quantiles
 from .windows import top_k
 
 # Squad quotas, line-up minima by position and legal formations (defence, midfield, attack).
@@ -246,12 +246,9 @@ def first_crossing(rows: DataFrame, keys: Sequence[str], period: str, signal: st
 
 def expanding_threshold(rows: DataFrame, epoch: str, signal: str, structural: Column, quantile: float, default: float) -> DataFrame:
     """Per epoch the quantile of all earlier structural signals; the default where there are none."""
-    epochs = rows.select(epoch).distinct()
-    last = epochs.groupBy().agg(F.max(epoch).alias("_last")).withColumn("_k", F.lit(1))
-    seen = rows.where(structural).select(epoch, signal, F.lit(1).alias("_k")).join(F.broadcast(last), "_k").where(F.col(epoch) < F.col("_last"))
-    laid = seen.withColumn("_target", F.explode(F.sequence(F.col(epoch) + 1, F.col("_last"))))
-    known = exact_quantiles(laid, ["_target"], {"threshold": (signal, quantile)}).withColumnRenamed("_target", epoch)
-    return epochs.join(known, epoch, "left").withColumn("threshold", F.coalesce("threshold", F.lit(default)))
+    asks = rows.select(epoch).distinct().withColumn("q", F.lit(float(quantile)))
+    known = expanding_quantiles(rows.where(structural), [], epoch, signal, asks, "threshold")
+    return known.select(epoch, F.coalesce("threshold", F.lit(default)).alias("threshold"))
 
 
 def resource_schedule(rows: DataFrame, keys: Sequence[str], period: str, signals: dict[str, str], gains: dict[str, str], thresholds: dict[str, float]) -> DataFrame:
@@ -286,35 +283,40 @@ def reservation_schedule(
     """Use each resource once per window against a reservation quantile of earlier epochs that decays to
     zero towards expiry; when as few periods as resources remain the most urgent is forced.
 
-    rows hold one opportunity per period, so an epoch's earlier scores are a short sorted array.
+    The bars a window may meet (one per period and number of unused resources) are read off together, as quantiles of all earlier epochs.
     """
     names = sorted(scores)
-    last = rows.groupBy().agg(F.max(epoch).alias("_last")).withColumn("_k", F.lit(1))
-    laid = rows.select(epoch, *[F.col(scores[n]).cast("double").alias(f"_s{i}") for i, n in enumerate(names)], F.lit(1).alias("_k")).join(F.broadcast(last), "_k")
-    laid = laid.where(F.col(epoch) < F.col("_last")).withColumn("_target", F.explode(F.sequence(F.col(epoch) + 1, F.col("_last"))))
-    prior = laid.groupBy(F.col("_target").alias(epoch)).agg(
-        *[F.sort_array(F.collect_list(f"_s{i}")).alias(f"_p{i}") for i in range(len(names))], *[F.stddev_pop(f"_s{i}").alias(f"_d{i}") for i in range(len(names))]
-    )
-    row = F.struct(F.col(period).alias("t"), F.array(*[F.col(scores[n]).cast("double") for n in names]).alias("s"), F.array(*[F.col(gains[n]).cast("double") for n in names]).alias("g"))
-    window = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_w")).join(prior, epoch, "left").withColumn("_n", F.size("_w"))
+    place = Window.partitionBy(*keys).orderBy(period)
+    counted = rows.withColumn("_i", F.row_number().over(place) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    # at a period the bar depends on how many resources are unused: a quantile of earlier scores for each such number
+    shares = [quantile * F.greatest((F.col("_n") - F.col("_i") - m) / F.greatest(F.col("_n"), F.lit(1)), F.lit(0.0)) for m in range(1, len(names) + 1)]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_name"), (share).alias("q")) for i in range(len(names)) for share in shares]))
+    asks = counted.select(epoch, each.alias("_e")).select(epoch, "_e._name", "_e.q").distinct()
+    seen = rows.select(epoch, F.explode(F.array(*[F.struct(F.lit(i).alias("_name"), F.col(scores[n]).cast("double").alias("_score")) for i, n in enumerate(names)])).alias("_e")).select(epoch, "_e.*")
+    bars = expanding_quantiles(seen, ["_name"], epoch, "_score", asks, "_bar").groupBy(epoch).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.struct("_name", "q").alias("k"), F.col("_bar").alias("v")))).alias("_bars"))
+    earlier = Window.orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)  # a row per epoch
+    sums = rows.groupBy(epoch).agg(F.count(F.lit(1)).alias("_c"), *[F.sum(F.col(scores[n]).cast("double")).alias(f"_s{i}") for i, n in enumerate(names)],
+                                   *[F.sum(F.pow(F.col(scores[n]).cast("double"), 2)).alias(f"_ss{i}") for i, n in enumerate(names)])
+    c = F.sum("_c").over(earlier)
+    spread = [F.sqrt(F.greatest(F.sum(f"_ss{i}").over(earlier) / c - F.pow(F.sum(f"_s{i}").over(earlier) / c, 2), F.lit(0.0))).alias(f"_d{i}") for i in range(len(names))]
+    prior = sums.select(epoch, *spread)
+    mine = [F.array(*[F.element_at("_bars", F.struct(F.lit(i).alias("_name"), share.alias("q"))) for share in shares]) for i in range(len(names))]
+    counted = counted.join(bars, epoch).withColumn("_b", F.array(*mine)).drop("_bars")
+    row = F.struct(F.col(period).alias("t"), F.array(*[F.col(scores[n]).cast("double") for n in names]).alias("s"), F.array(*[F.col(gains[n]).cast("double") for n in names]).alias("g"), F.col("_b").alias("b"))
+    window = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_w")).join(prior, epoch, "left").withColumn("_n", F.size("_w"))
     shape = "array<struct<period: int, resource: string, score: double, reservation: double, gain: double, forced: boolean>>"
     start = F.struct(F.array(*[F.lit(False)] * len(names)).alias("used"), F.lit(0).alias("at"), F.array().cast(shape).alias("picks"))
 
-    def quantile_of(values, q):
-        spot = (F.size(values) - 1) * q
-        low, high = F.get(values, F.floor(spot).cast("int")), F.get(values, F.ceil(spot).cast("int"))
-        return low + (high - low) * (spot - F.floor(spot))
-
     def step(state, now):
         unused = F.size(F.filter(state["used"], lambda u: ~u))
         remaining = F.col("_n") - state["at"]
         must = remaining <= unused
-        share = F.greatest((remaining - unused) / F.greatest(F.col("_n"), F.lit(1)), F.lit(0.0))
         offers = []
         for i, n in enumerate(names):
-            have = F.col(f"_p{i}").isNotNull()
-            bar = F.when(have, quantile_of(F.col(f"_p{i}"), quantile * share)).otherwise(F.lit(float(defaults[n])))
-            scale = F.when(have, F.greatest(F.lit(1.0), F.col(f"_d{i}"))).otherwise(F.lit(4.0))
+            known = F.get(now["b"][i], unused - 1)
+            bar = F.coalesce(known, F.lit(float(defaults[n])))
+            scale = F.when(known.isNotNull(), F.greatest(F.lit(1.0), F.col(f"_d{i}"))).otherwise(F.lit(4.0))
             score = now["s"][i]
             offers.append(F.when(
                 ~state["used"][i] & (must | (score >= bar)),

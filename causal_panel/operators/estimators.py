@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.markets import geometric_blend, probability_blend
 from ..functions.scalars import clip, col, first_match, interpolate_knots, sigmoid
-from .scale import exact_quantiles, ordinal_rank, percentile_ranks
+from ..sources.scratch import settle
+from .scale import exact_quantiles, expanding_quantiles, ordinal_rank, percentile_ranks
 from .windows import top_k
 
 DEADLINE = ("epoch", "period")
@@ -312,6 +313,19 @@ def _aged_sums(per_epoch: DataFrame, keys: Sequence[str], epochs: DataFrame, col
     )
 
 
+def _filled_row(name: str, xs: Sequence[str]) -> list[Column]:
+    """Sums `name`_i of 1 and the filled features, from those of 1 and the pairs (value, missing) of each."""
+    at = lambda i: F.coalesce(F.col(f"{name}_{i}"), F.lit(0.0))
+    return [at(0), *[at(2 * k + 1) + F.coalesce(F.col(f"_m_{x}"), F.lit(0.0)) * at(2 * k + 2) for k, x in enumerate(xs)]]
+
+
+def _filled(name: str, xs: Sequence[str]) -> list[Column]:
+    """Sums of products of the filled features, from those of their parts."""
+    at = lambda i, j: F.coalesce(F.col(f"{name}_{min(i, j)}_{max(i, j)}"), F.lit(0.0))
+    parts = [[(0, F.lit(1.0))], *[[(2 * k + 1, F.lit(1.0)), (2 * k + 2, F.coalesce(F.col(f"_m_{x}"), F.lit(0.0)))] for k, x in enumerate(xs)]]
+    return [sum((w * v * at(a, b) for a, w in left for b, v in parts[j]), F.lit(0.0)).alias(f"{name}_{i}_{j}") for i, left in enumerate(parts) for j in range(i, len(parts))]
+
+
 def season_ahead_ridge(
     df: DataFrame, stratum: str, xs: Sequence[str], targets: Sequence[str], train: Column, observed: Column,
     outs: Sequence[str], baselines: Sequence[str], alpha: float = 80.0, decay: float = 0.88, low: float = 0.0, high: float = 70.0,
@@ -320,7 +334,7 @@ def season_ahead_ridge(
     """Ridge per (epoch, stratum) on all earlier epochs, several targets at once.
 
     Features are scaled on the training rows; weights fall with age in epochs. With `impute`, a
-    missing feature takes its training median (training rows are then laid out per target epoch).
+    missing feature takes its training median of all earlier epochs.
     Without earlier epochs the baseline stands; unobserved rows are zero.
     """
     k = len(xs) + 1
@@ -328,19 +342,16 @@ def season_ahead_ridge(
     rows = df.where(train)
     work = df
     if impute:
-        last = df.groupBy().agg(F.max("epoch").alias("_last")).withColumn("_k", F.lit(1))
-        laid = rows.withColumn("_k", F.lit(1)).join(F.broadcast(last), "_k").where(F.col("epoch") < F.col("_last"))
-        laid = laid.withColumn("target", F.explode(F.sequence(F.col("epoch") + 1, F.col("_last"))))
-        medians = exact_quantiles(laid, [stratum, "target"], {f"_m_{x}": (x, 0.5) for x in xs})
-        filled = laid.join(medians, [stratum, "target"])
-        features = [F.lit(1.0), *[F.coalesce(F.col(x).cast("double"), F.col(f"_m_{x}"), F.lit(0.0)) for x in xs]]
-        ys = {t: F.col(t) for t in targets}
-        w = F.pow(F.lit(decay), F.col("target") - F.col("epoch") - 1)
-        plain = gram(filled, [stratum, "target"], features, {})
-        weighted = gram(filled, [stratum, "target"], features, ys, w)
-        plain = plain.select(stratum, "target", *[F.col(c).alias("u" + c[1:]) for c in columns if c.startswith("g_")])
-        sums = weighted.join(plain, [stratum, "target"]).withColumnRenamed("target", "epoch")
-        work = df.join(medians.withColumnRenamed("target", "epoch"), [stratum, "epoch"], "left")
+        asks = df.select(stratum, "epoch").distinct().select(stratum, "epoch", F.explode(F.array(*[F.lit(x) for x in xs])).alias("_name"), F.lit(0.5).alias("q"))
+        long = rows.select(stratum, "epoch", F.explode(F.array(*[F.struct(F.lit(x).alias("_name"), F.col(x).cast("double").alias("_value")) for x in xs])).alias("_e")).select(stratum, "epoch", "_e.*")
+        medians = expanding_quantiles(long, [stratum, "_name"], "epoch", "_value", asks, "_median")
+        medians = settle(medians.groupBy(stratum, "epoch").agg(*[F.max(F.when(F.col("_name") == x, F.col("_median"))).alias(f"_m_{x}") for x in xs]), "medians")
+        # a filled feature is value + median * missing, so its moments follow from those of values and marks of what is missing
+        parts = [F.lit(1.0), *[part for x in xs for part in (F.coalesce(F.col(x).cast("double"), F.lit(0.0)), F.col(x).isNull().cast("double"))]]
+        raw = gram(rows, [stratum, "epoch"], parts, {t: F.col(t) for t in targets})
+        aged = _aged_sums(raw, [stratum], df.select("epoch"), gram_columns(len(parts), list(targets)), decay).join(medians, [stratum, "epoch"])
+        sums = aged.select(stratum, "epoch", "rows", *_filled("g", xs), *_filled("u", xs), *[c.alias(f"h_{t}_{i}") for t in targets for i, c in enumerate(_filled_row(f"h_{t}", xs))])
+        work = df.join(medians, [stratum, "epoch"], "left")
         scored = [F.lit(1.0), *[F.coalesce(F.col(x).cast("double"), F.col(f"_m_{x}"), F.lit(0.0)) for x in xs]]
     else:
         scored = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
@@ -608,20 +619,19 @@ def residual_band(
 
     Bin edges too come from earlier epochs. Without any, the band is +/- default * uncertainty.
     """
-    last = df.groupBy().agg(F.max("epoch").alias("_last")).withColumn("_k", F.lit(1))
-    rows = df.where(train).select(stratum, "epoch", F.col(uncertainty).alias("_u"), residual.alias("_res"), F.lit(1).alias("_k"))
-    laid = rows.join(F.broadcast(last), "_k").where(F.col("epoch") < F.col("_last")).withColumn("target", F.explode(F.sequence(F.col("epoch") + 1, F.col("_last"))))
-    edges = exact_quantiles(laid, [stratum, "target"], {f"_q{i}": ("_u", i / bins) for i in range(1, bins)})
-    named = [f"_q{i}" for i in range(1, bins)]
-    edges = edges.select(stratum, "target", F.array(*named).alias("_edges"))
-
-    def binned(frame, u):
-        return frame.withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col(u))))
-
-    trained = binned(laid.join(edges, [stratum, "target"]), "_u")
-    bands = exact_quantiles(trained, [stratum, "target", "_bin"], {"_lo": ("_res", low), "_hi": ("_res", high)})
-    asked = binned(df.join(edges.withColumnRenamed("target", "epoch"), [stratum, "epoch"], "left"), uncertainty)
-    joined = asked.join(bands.withColumnRenamed("target", "epoch"), [stratum, "epoch", "_bin"], "left")
+    rows = df.where(train).select(stratum, "epoch", F.col(uncertainty).alias("_u"), residual.alias("_res"))
+    fits = df.select(stratum, "epoch").distinct()
+    cuts = fits.withColumn("q", F.explode(F.array(*[F.lit(i / bins) for i in range(1, bins)])))
+    edges = expanding_quantiles(rows, [stratum], "epoch", "_u", cuts, "_edge").where(F.col("_edge").isNotNull())
+    edges = settle(edges.groupBy(stratum, "epoch").agg(F.sort_array(F.collect_list("_edge")).alias("_edges")), "band-edges")
+    ends = F.concat(F.array(F.lit(float("-inf"))), "_edges", F.array(F.lit(float("inf"))))
+    spans = F.transform(F.sequence(F.lit(0), F.size("_edges")), lambda b: F.struct(b.alias("_bin"), F.get(ends, b).alias("low"), F.get(ends, b + 1).alias("high")))
+    both = edges.select(stratum, "epoch", F.explode(spans).alias("_s")).select(stratum, "epoch", "_s.*", F.explode(F.array(F.lit(low), F.lit(high))).alias("q"))
+    rows = rows.withColumn("_u", F.coalesce("_u", F.lit(-1e308)))  # a row without an uncertainty is in the first bin
+    found = expanding_quantiles(rows, [stratum], "epoch", "_res", both, "_end", side="_u")
+    bands = found.groupBy(stratum, "epoch", "_bin").agg(F.max(F.when(F.col("q") == low, F.col("_end"))).alias("_lo"), F.max(F.when(F.col("q") == high, F.col("_end"))).alias("_hi"))
+    asked = df.join(edges, [stratum, "epoch"], "left").withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col(uncertainty))))
+    joined = asked.join(bands, [stratum, "epoch", "_bin"], "left")
     wide = default * F.col(uncertainty)
     return joined.select(
         *df.columns, F.coalesce(F.least("_lo", "_hi"), -wide).alias("lower"), F.coalesce(F.greatest("_lo", "_hi"), wide).alias("upper")

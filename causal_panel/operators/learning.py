@@ -7,17 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
 from ..sources.scratch import settle
 from .estimators import season_ahead_ridge
-from .scale import exact_quantiles
+from .newton import Glm, expanding_glms, fitted, predict
+from .scale import exact_quantiles, expanding_quantiles
 
 
 def epochs_of(df: DataFrame, epoch: str = "epoch") -> list[int]:
@@ -32,38 +31,6 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def walk_forward_isotonic(df: DataFrame, stratum: str, forecast: str, target: str, observed: Column, out: str, least: int = 250) -> DataFrame:
-    """Isotonic map of the forecast per (epoch, stratum), fitted on earlier epochs; ends are clipped.
-
-    Equal forecasts are merged into one weighted point before the fit.
-    """
-    points = df.where(observed).groupBy(stratum, "epoch", F.col(forecast).alias("_f")).agg(
-        F.sum(F.greatest(F.col(target).cast("double"), F.lit(0.0))).alias("_s"), F.count(F.lit(1)).cast("double").alias("_w")
-    )
-    points = settle(points, "points")
-    counts = points.groupBy("epoch", stratum).agg(F.sum("_w").alias("n")).collect()  # epochs x strata rows
-    parts = []
-    for e in epochs_of(df):
-        here = df.where(F.col("epoch") == e)
-        strata = sorted({r[stratum] for r in counts if r[stratum] is not None})
-        rest = here.where(~F.coalesce(F.col(stratum).isin(strata), F.lit(False))) if strata else here  # with rows of no stratum
-        parts.append(rest.withColumn(out, F.col(forecast)))
-        for s in strata:
-            rows = here.where(F.col(stratum) == s)
-            known = sum(r["n"] for r in counts if r["epoch"] < e and r[stratum] == s)
-            if known < least:
-                parts.append(rows.withColumn(out, F.col(forecast)))
-                continue
-            train = points.where((F.col("epoch") < e) & (F.col(stratum) == s)).groupBy("_f").agg(
-                (F.sum("_s") / F.sum("_w")).alias("label"), F.sum("_w").alias("weight")
-            )
-            model = IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight", predictionCol=out).fit(
-                train.withColumnRenamed("_f", "features")
-            )
-            parts.append(model.transform(rows.withColumn("features", F.col(forecast))).drop("features"))
-    return _union(parts).withColumn(out, F.when(observed, F.col(out)).otherwise(F.lit(0.0)))
-
-
 def walk_forward_trees(
     df: DataFrame, xs: Sequence[str], target: str, observed: Column, baseline: str, out: str, points: str, low: float = 0.0, high: float = 20.0,
     trees: int = 20, depth: int = 4, seed: int = 17, strata: str | None = None,
@@ -96,67 +63,56 @@ def _weighted(train: DataFrame, epoch: int, points: str) -> DataFrame:
     return train.withColumn("_w", F.pow(F.lit(0.86), age) * F.when(p >= 8, 1.65).when(p >= 5, 1.25).otherwise(1.0))
 
 
-def market_model(
-    sides: DataFrame, xs: Sequence[str], swapped: dict[str, Column], scored: str, clean: Column, first: int, decay: float = 0.90,
-) -> DataFrame:
-    """Poisson rate of goals and clean-sheet chance per side from earlier epochs.
+def market_models(decay: float = 0.90) -> list[Glm]:
+    return [Glm("goals", "_scored", "poisson", 0.35, decay, of_mean=True), Glm("clean", "_clean", "logistic", 1 / 0.45, decay)]
+
+
+def market_model(sides: DataFrame, xs: Sequence[str], swapped: dict[str, Column], scored: str, clean: Column, first: int, decay: float = 0.90) -> DataFrame:
+    """Poisson rates of goals for and against and the clean-sheet chance per side, from earlier epochs.
 
     The chance mixes .55 of the zero probability under the opponent's rate (the same model on the
     swapped features) with .45 of a logistic fit. `swapped` gives each feature from the other side.
+    Epochs before `first` are kept without an estimate.
     """
-    def assemble(frame):
-        return VectorAssembler(inputCols=list(xs), outputCol="_raw").transform(frame)
+    own = settle(sides.withColumn("_clean", clean.cast("double")).withColumn("_scored", F.col(scored).cast("double")), "sides")
+    fits = expanding_glms(own, xs, market_models(decay), own.select("epoch").where(F.col("epoch") >= first))
+    rated = fitted(own, fits, "goals", xs, "poisson", {"_against": [swapped.get(x, F.col(x)) for x in xs]}, out="_for")
+    both = fitted(rated, fits, "clean", xs, "logistic", out="_logit")
+    against = clip("_against", 0.20, 4.20)
+    chance = clip(0.55 * F.exp(-against) + 0.45 * F.col("_logit"), 0.02, 0.80)
+    keys = [c for c in sides.columns if c not in xs]
+    return both.select(*keys, clip("_for", 0.20, 4.20).alias("expected_for"), against.alias("expected_against"), chance.alias("clean_chance"))
 
-    own = settle(assemble(sides.withColumn("_clean", clean.cast("double")).withColumn("_scored", F.col(scored).cast("double"))), "sides")
-    parts = []
-    for e in epochs_of(sides):
-        if e < first:  # too early for a fit: kept, without an estimate
-            early = sides.where(F.col("epoch") == e).drop(*xs)
-            parts.append(early.select("*", F.lit(None).cast("double").alias("expected_for"), F.lit(None).cast("double").alias("clean_chance")))
-            continue
-        train = own.where(F.col("epoch") < e).withColumn("_w", F.pow(F.lit(decay), F.greatest(F.lit(e) - F.col("epoch") - 1, F.lit(0))))
-        scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(train)
-        ready = scaler.transform(train)
-        goals = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="_x", labelCol="_scored", weightCol="_w", regParam=0.35, predictionCol="_rate").fit(ready)
-        logistic = LogisticRegression(featuresCol="_x", labelCol="_clean", weightCol="_w", regParam=0.01, probabilityCol="_p", rawPredictionCol="_rp", predictionCol="_c").fit(ready)
-        test = scaler.transform(own.where(F.col("epoch") == e))
-        scored_test = logistic.transform(goals.transform(test)).withColumn("_logit", vector_to_array("_p")[1])
-        kept = scored_test.select(*sides.columns, clip("_rate", 0.20, 4.20).alias("expected_for"), "_logit")
-        other = kept
-        for x in xs:
-            other = other.withColumn(f"_o_{x}", swapped.get(x, F.col(x)))
-        renamed = other.drop(*xs).select(*[c for c in other.columns if c not in xs and not c.startswith("_o_")], *[F.col(f"_o_{x}").alias(x) for x in xs])
-        reverse = goals.transform(scaler.transform(assemble(renamed)))
-        against = clip("_rate", 0.20, 4.20)
-        chance = clip(0.55 * F.exp(-against) + 0.45 * F.col("_logit"), 0.02, 0.80)
-        keys = [c for c in sides.columns if c not in xs]
-        parts.append(reverse.select(*keys, "expected_for", chance.alias("clean_chance")))
-    return _union(parts)
-
-
-def action_fits(df: DataFrame, xs: Sequence[str], gain: str, epoch: str = "epoch", alpha: float = 0.01, quantile: float = 0.75) -> DataFrame:
-    """Per later epoch: ridge value and logistic win chance of an action, and whether the two agree.
-
-    Agreement means the gap between the ridge gain's sign chance and the logistic one is at most its
-    `quantile` on the training rows. Adds value, win, gap, limit and accepted.
-    """
-    ready = VectorAssembler(inputCols=list(xs), outputCol="_x").transform(df.withColumn("_win", (F.col(gain) > 0).cast("double")).withColumn("_gain", F.col(gain).cast("double")))
-    ready = settle(ready, "actions")
-    parts = []
-    for e in epochs_of(df, epoch)[1:]:
-        train = ready.where(F.col(epoch) < e)
-        ridge = LinearRegression(featuresCol="_x", labelCol="_gain", regParam=alpha, predictionCol="value").fit(train)
-        logistic = LogisticRegression(featuresCol="_x", labelCol="_win", regParam=alpha, probabilityCol="_p", rawPredictionCol="_rp", predictionCol="_c").fit(train)
 
-        def scored(frame):
-            both = logistic.transform(ridge.transform(frame)).withColumn("win", vector_to_array("_p")[1])
-            return both.withColumn("gap", F.abs(1 / (1 + F.exp(-F.col("value"))) - F.col("win")))
+def action_models() -> list[Glm]:
+    return [Glm("ridge_a", "_gain", "gaussian", 90.0, 0.88, "_load"), Glm("ridge_b", "_gain", "gaussian", 180.0, 0.78, "_load"),
+            Glm("win_a", "_win", "logistic", 1 / 0.08, 0.88, "_load"), Glm("win_b", "_win", "logistic", 1 / 0.035, 0.78, "_load")]
 
-        limit = exact_quantiles(scored(train).select("gap"), [], {"limit": ("gap", quantile)}).withColumn("_k", F.lit(1))
-        test = scored(ready.where(F.col(epoch) == e)).withColumn("_k", F.lit(1)).join(F.broadcast(limit), "_k")
-        parts.append(test.select(*df.columns, "value", "win", "gap", "limit"))
-    out = _union(parts)
-    return out.withColumn("accepted", (F.col("value") > 0) & (F.col("win") >= 0.5) & (F.col("gap") <= F.col("limit")))
+
+def action_fits(df: DataFrame, xs: Sequence[str], gain: str, epoch: str = "epoch", quantile: float = 0.75, least: int = 250) -> DataFrame:
+    """Per later epoch: value and win chance of an action, each the mean of a stronger and a weaker fit, and whether to accept it.
+
+    Gains are held in -35..35 and weigh 1 + .03 * min(|gain|, 20). An action is accepted if its value is positive, its win chance at least
+    one half, and the two ridges differ by at most the `quantile` of their difference on the training rows. Adds value, win, gap, limit and
+    accepted. Epochs with fewer than `least` earlier rows have no fit and no rows.
+    """
+    g = clip(F.col(gain).cast("double"), -35.0, 35.0)
+    ready = df.withColumnRenamed(epoch, "epoch") if epoch != "epoch" else df
+    ready = ready.withColumn("_gain", g).withColumn("_win", (F.col(gain) > 0).cast("double")).withColumn("_load", 1 + 0.03 * F.least(F.abs(g), F.lit(20.0)))
+    ready = settle(ready, "actions")
+    fits = settle(expanding_glms(ready, xs, action_models(), ready.select("epoch"), least=least), "action-fits")
+    pairs = fits.where(F.col("_model").isin("ridge_a", "ridge_b")).groupBy(F.col("epoch").alias("_target")).agg(
+        *[F.max(F.when(F.col("_model") == f"ridge_{s}", F.struct("_mean", "_scale", "_b"))).alias(f"_fit_{s}") for s in "ab"])
+    seen = ready.select("epoch", *xs).join(pairs, F.col("epoch") < F.col("_target"))  # a difference belongs to a row and a fit
+    for s in "ab":
+        seen = seen.select("*", *[F.col(f"_fit_{s}.{c}").alias(c) for c in ("_mean", "_scale", "_b")]).withColumn(f"_v{s}", predict(xs, "gaussian")).drop("_mean", "_scale", "_b")
+    limit = exact_quantiles(seen.select("_target", F.abs(F.col("_va") - F.col("_vb")).alias("gap")), ["_target"], {"limit": ("gap", quantile)}).withColumnRenamed("_target", "epoch")
+    scored = ready.join(limit, "epoch")
+    for name, family in (("ridge_a", "gaussian"), ("ridge_b", "gaussian"), ("win_a", "logistic"), ("win_b", "logistic")):
+        scored = fitted(scored, fits, name, xs, family, out=f"_{name}")
+    value, win, gap = (F.col("_ridge_a") + F.col("_ridge_b")) / 2, (F.col("_win_a") + F.col("_win_b")) / 2, F.abs(F.col("_ridge_a") - F.col("_ridge_b"))
+    scored = scored.withColumn("value", value).withColumn("win", win).withColumn("gap", gap).withColumnRenamed("epoch", epoch)
+    return scored.select(*df.columns, "value", "win", "gap", "limit").withColumn("accepted", (F.col("value") > 0) & (F.col("win") >= 0.5) & (F.col("gap") <= F.col("limit")))
 
 
 def action_metrics(scored: DataFrame, gain: str) -> DataFrame:
@@ -184,9 +140,9 @@ def opportunity_value(
     mixed = tree.join(F.broadcast(first), "_one").withColumn(
         out, F.when(F.col("epoch") == F.col("_first"), F.col(baseline)).otherwise(clip(share * F.col("_ridge") + (1 - share) * F.col("_tree"), low, high))
     )
-    last = mixed.groupBy().agg(F.max("epoch").alias("_last")).withColumn("_one", F.lit(1))
-    residual = mixed.select("_one", "epoch", F.abs(F.col(target) - F.col(out)).alias("_res")).join(F.broadcast(last), "_one").where(F.col("epoch") < F.col("_last"))
-    laid = residual.withColumn("_to", F.explode(F.sequence(F.col("epoch") + 1, F.col("_last"))))
-    scale = exact_quantiles(laid, ["_to"], {"_m": ("_res", 0.5)}).select(F.col("_to").alias("epoch"), F.greatest(F.lit(4.0), 1.4826 * F.col("_m")).alias("scale"))
+    mixed = settle(mixed, "values")
+    asks = mixed.select("epoch").distinct().withColumn("q", F.lit(0.5))
+    medians = expanding_quantiles(mixed.select("epoch", F.abs(F.col(target) - F.col(out)).alias("_res")), [], "epoch", "_res", asks, "_m").where(F.col("_m").isNotNull())
+    scale = medians.select("epoch", F.greatest(F.lit(4.0), 1.4826 * F.col("_m")).alias("scale"))
     joined = mixed.join(scale, "epoch", "left").withColumn("scale", F.coalesce("scale", F.lit(8.0)))
     return joined.select(*df.columns, out, "scale")

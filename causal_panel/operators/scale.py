@@ -13,9 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settle
+
 # Distinct values a slice should hold.
 ROWS_PER_SLICE = 250_000
 
@@ -185,3 +189,74 @@ def ordinal_rank(
         *keys, F.col("_t").alias(tie), (F.col("_above") + F.col("_tied") + 1).alias(out), f"{out}_of"
     )
     return df.join(placed, [*keys, tie], "left")
+
+
+def _earlier(rows: pd.DataFrame, target, low, high) -> np.ndarray:
+    """How often each row counts for one ask."""
+    use = rows["_epoch"].to_numpy() < target
+    if "_side" in rows:
+        side = rows["_side"].to_numpy()
+        use = use & (side > low) & (side <= high)
+    return np.where(use, rows["_n"].to_numpy(), 0)
+
+
+def expanding_quantiles(
+    df: DataFrame, keys: Sequence[str], epoch: str, value: str, asks: DataFrame, out: str, side: str | None = None, rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """`asks` with `out`: the exact linear-interpolated quantile `q` of the rows of its group and of all epochs before its own.
+
+    `asks` has `keys`, `epoch` and `q`; with `side`, also `low` and `high`: then only rows with low < side <= high count (a null side is below
+    all). Null values are left out, and an ask without a row before it gets null. Rows are counted once per (group, epoch, value) and
+    dealt into slices of the value. Every slice tells how many rows an ask has in it, the running total over slices says in which the wanted
+    places lie, and that slice alone reads them off: no row is copied for a later epoch, and asks are as many as (slices x epochs).
+    """
+    scope = list(keys) or ["_all"]
+    if not keys:
+        df, asks = df.withColumn("_all", F.lit(0)), asks.withColumn("_all", F.lit(0))
+    bounds = ["low", "high"] if side else []
+    beside = [F.coalesce(F.col(side).cast("double"), F.lit(float("-inf"))).alias("_side")] if side else []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*scope, F.col(epoch).alias("_epoch"), F.col(value).cast("double").alias("_value"), *beside).agg(F.count(F.lit(1)).alias("_n"))
+    rows = settle(sliced(counts, scope, "_value", rows_per_slice), "value-slices")
+    asked = asks.select(*scope, F.col(epoch).alias("_target"), "q", *bounds).distinct().withColumn("_ask", F.xxhash64("_target", "q", *bounds))
+    names = [F.col(c).alias(f"_k_{c}") for c in scope]
+    apart = rows.select(*names, F.col("_slice").alias("_k_slice"), "_epoch", "_value", "_n", *(["_side"] if side else []))
+    schema = rows.select(*scope, "_slice").schema
+    wide = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    by, by_rows = [*scope, "_slice"], [*[f"_k_{c}" for c in scope], "_k_slice"]
+
+    def each(work, extra):
+        """Runs `work(rows, ask)` for every ask of a slice."""
+
+        def run(key: tuple, wanted: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            own = own.sort_values("_value", kind="stable") if len(own) else own
+            found, memory = [], {}
+            for ask in wanted.to_dict("records") if len(own) else ():
+                name = ask["_target"], ask.get("low"), ask.get("high")
+                if name not in memory:
+                    memory = {name: np.cumsum(_earlier(own, *name))}  # asks come sorted by it
+                found.append((*key, ask["_ask"], *work(own, ask, memory[name])))
+            return pd.DataFrame(found, columns=[*by, "_ask", *[e.split()[0] for e in extra.split(", ")]])
+
+        return lambda wanted: wanted.groupBy(*by).cogroup(apart.groupBy(*by_rows)).applyInPandas(
+            lambda key, a, b: run(key, a.sort_values(["_target", *bounds], kind="stable"), b), f"{wide}, _ask long, {extra}")
+
+    slices = rows.select(*by).distinct()
+    counted = each(lambda own, ask, total: (int(total[-1]),), "_in long")(asked.join(slices, scope))
+    counted = settle(counted.where(F.col("_in") > 0), "ask-counts")
+    line = Window.partitionBy(*scope, "_ask").orderBy("_slice")
+    placed = counted.withColumn("_before", F.sum("_in").over(line) - F.col("_in")).withColumn("_total", F.sum("_in").over(Window.partitionBy(*scope, "_ask")))
+    at = F.col("q") * (F.col("_total") - 1)
+    placed = placed.join(asked.select(*scope, "_ask", "_target", "q", *bounds), [*scope, "_ask"]).withColumn("_at", at)
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("_end"), F.floor("_at").alias("_place")), F.struct(F.lit(1).alias("_end"), F.ceil("_at").alias("_place"))))
+    ends = placed.select("*", ends.alias("_e")).select("*", "_e._end", "_e._place").where((F.col("_before") <= F.col("_place")) & (F.col("_place") < F.col("_before") + F.col("_in")))
+    ends = ends.select(*by, "_ask", "_target", *bounds, "_end", "_at", (F.col("_place") - F.col("_before")).alias("_offset"))
+
+    def read(own, ask, total):
+        return int(ask["_end"]), float(ask["_at"]), float(own["_value"].to_numpy()[np.searchsorted(total, ask["_offset"], "right")])
+
+    found = each(read, "_end int, _at double, _value double")(ends)
+    low_end, high_end = (F.max(F.when(F.col("_end") == k, F.col("_value"))) for k in (0, 1))
+    part = F.max("_at") - F.floor(F.max("_at"))
+    settled = found.groupBy(*scope, "_ask").agg((low_end + (high_end - low_end) * part).alias(out))
+    named = asks.withColumn("_ask", F.xxhash64(epoch, "q", *bounds)).join(settled, [*scope, "_ask"], "left").drop("_ask")
+    return named if keys else named.drop("_all")

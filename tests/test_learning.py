@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causal_panel.operators import learning as m
+from causal_panel.operators.isotonic import expanding_isotonic
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,7 @@ def run(spark, pdf, fit):
 
 FITS = {
     "trees": lambda d: m.walk_forward_trees(d, ["x", "z"], "y", F.col("on"), "base", "out", "y", trees=3, depth=3),
-    "isotonic": lambda d: m.walk_forward_isotonic(d, "stratum", "x", "y", F.col("on"), "out", least=50),
+    "isotonic": lambda d: expanding_isotonic(d, "stratum", "x", "y", F.col("on"), "out", least=50),
 }
 
 
@@ -63,7 +64,7 @@ def test_market_model_keeps_early_epochs(spark, pdf):
 
 def test_actions_agree_and_learn_from_earlier_epochs(spark, pdf):
     df = spark.createDataFrame(pdf.assign(gain=pdf["y"] - 5))
-    out = m.action_fits(df, ["x", "z"], "gain").toPandas()
+    out = m.action_fits(df, ["x", "z"], "gain", least=100).toPandas()
     assert set(out["epoch"]) == {1, 2, 3} and len(out) == (pdf["epoch"] > 0).sum()
     assert np.abs(out["value"] - out["gain"]).mean() < 0.6
     kept = out[out["accepted"]]
