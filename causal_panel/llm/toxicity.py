@@ -14,12 +14,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Words are runs of letters, lower-cased.
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Labelled rows that are read for a fit, classifiers that share them, and words that a model may hold.
@@ -30,24 +34,24 @@ def words_of(text: str | None) -> set[str]:
     return set(LETTERS.findall(text.lower())) if text else set()
 
 
-def fit(texts: list[list[str]], positive: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.5, select: float = 1e-3, shrink: float = 2e-5, min_rows: int = 4, max_words: int = MAX_WORDS) -> dict[str, float]:
-    """Weights by word, and the intercept under the empty word, of one non-negative PU classifier.
+def fit(starts: np.ndarray, codes: np.ndarray, positive: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.5, select: float = 1e-3, shrink: float = 2e-5, min_rows: int = 4, max_words: int = MAX_WORDS) -> dict[int, float]:
+    """Weights by word code, and the intercept under none, of one non-negative PU classifier.
 
-    A first descent with the soft threshold `select` finds the words that tell; a second one with `shrink` fits the weights of those alone.
+    Text k has the distinct codes codes[starts[k]:starts[k + 1]]. A first descent with the soft threshold `select` finds the words that tell; a
+    second one with `shrink` fits the weights of those alone.
     """
-    seen: dict[str, int] = {}
-    for words in texts:
-        for w in words:
-            seen[w] = seen.get(w, 0) + 1
-    telling = sorted((w for w, n in seen.items() if n >= min_rows), key=lambda w: (-seen[w], w))[:max_words]
-    weights: dict[str, float] = {}
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    known, col, seen = np.unique(codes, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(seen >= min_rows)
+    telling = often[np.lexsort((known[often], -seen[often]))[:max_words]]
+    weights: dict[int | None, float] = {}
     for sparse in (select, shrink):
-        place = {w: k for k, w in enumerate(telling)}
-        pairs = [(k, place[w]) for k, words in enumerate(texts) for w in words if w in place]
-        row, col = np.array(pairs, np.int64).reshape(-1, 2).T
-        weight, bias = _descend(row, col, len(place), positive, prior, rounds, rate, sparse)
-        weights = {"": float(bias)} | {w: float(weight[k]) for w, k in place.items() if weight[k]}
-        telling = [w for w in weights if w]
+        place = np.full(len(known), -1)
+        place[telling] = np.arange(len(telling))
+        use = place[col] >= 0
+        weight, bias = _descend(row[use], place[col[use]], len(telling), positive, prior, rounds, rate, sparse)
+        weights = {None: float(bias)} | {int(known[t]): float(w) for t, w in zip(telling, weight, strict=True) if w}
+        telling = telling[weight != 0]
     return weights
 
 
@@ -89,18 +93,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     sample = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(  # at most max_rows small rows
         F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(members)).alias("fold"), (F.col("_toxic") == 1).alias("positive"), tokens(F.col("_text")).alias("words"))
-    shares = sample.withColumn("member", F.explode(F.array(*[F.lit(m) for m in range(members)]))).filter("member != fold" if members > 1 else "true").drop("fold")
-
-    def member(rows: pd.DataFrame) -> pd.DataFrame:
-        positive = rows["positive"].to_numpy(bool)
-        if not positive.any():
-            return pd.DataFrame({"member": [], "word": [], "weight": []})
-        share = prior if prior is not None else min(0.5, max(1e-4, positive.mean()))
-        model = fit([list(w) for w in rows["words"]], positive, share)
-        return pd.DataFrame({"member": rows["member"].iloc[0], "word": list(model), "weight": list(model.values())})
-
+    sample = settle(sample, "labelled-words")
+    coded = sample.select("fold", "positive", F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
+    fits = []
+    for m in range(members):  # a task each, which holds numbers only
+        shares = coded.filter(F.col("fold") != m) if members > 1 else coded
+
+        def member(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            batches = [b for b in rows if b.num_rows]
+            positive = np.concatenate([b["positive"].to_numpy(zero_copy_only=False) for b in batches]) if batches else np.zeros(0, bool)
+            if positive.any():
+                share = prior if prior is not None else min(0.5, max(1e-4, positive.mean()))
+                codes = np.concatenate([b["codes"].flatten().to_numpy() for b in batches])
+                lengths = np.concatenate([np.diff(b["codes"].offsets.to_numpy()) for b in batches])
+                batches.clear()
+                model = fit(np.append(0, np.cumsum(lengths)), codes, positive, share)
+                yield pa.RecordBatch.from_arrays([pa.array(list(model), pa.int64()), pa.array(list(model.values()), pa.float64())], names=["code", "weight"])
+
+        fits.append(shares.repartition(1).mapInArrow(member, "code long, weight double").withColumn("member", F.lit(m)))
+    weights = fits[0]
+    for more in fits[1:]:
+        weights = weights.unionByName(more)
+    weights = settle(weights, "weights")
+    words = sample.select(F.explode("words").alias("word")).distinct().withColumn("code", F.xxhash64("word"))
+    named = weights.join(words, "code", "left").select("member", F.coalesce("word", F.lit("")).alias("word"), "weight")
     models: dict[int, dict[str, float]] = {}
-    for m, word, weight in shares.groupBy("member").applyInPandas(member, "member int, word string, weight double").collect():  # members x max_words rows at most
+    for m, word, weight in named.collect():  # members x max_words rows at most
         models.setdefault(m, {})[word] = weight
     return [models[m] for m in sorted(models)]
 

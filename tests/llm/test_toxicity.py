@@ -17,8 +17,9 @@ def test_risk_with_hidden_positives():
         texts.append([f"w{i}" for i in draw.choice(60, 12, replace=False)] + (["vile"] if bad else []))
         toxic.append(bad)
     confirmed = np.array([t and k % 3 == 0 for k, t in enumerate(toxic)])
-    model = toxicity.fit(texts, confirmed, 0.2)
-    score = np.array([model[""] + sum(model.get(w, 0) for w in t) for t in texts])
+    code = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
+    model = toxicity.fit(np.append(0, np.cumsum([len(t) for t in texts])), np.array([code[w] for t in texts for w in t]), confirmed, 0.2)
+    score = np.array([model[None] + sum(model.get(code[w], 0) for w in t) for t in texts])
     assert ((score > 0) == np.array(toxic)).mean() > 0.98
 
 
@@ -49,3 +50,24 @@ def test_odd_rows(odd, none, spark):
     assert [r.score for r in toxicity.score_toxicity(odd, labels.filter("false")).collect()] == [0.0] * 8
     assert toxicity.score_toxicity(none, labels).collect() == []
     assert toxicity.clean_only(odd, labels.filter("false")).columns == odd.columns
+
+
+def test_a_step_against_brute_force():
+    """One round from zero weights: slopes of the risk by differences of the risk itself, on both branches."""
+    draw = np.random.default_rng(2)
+    n, width = 40, 6
+    row, col = np.nonzero(draw.random((n, width)) < 0.5)
+    for prior, share in ((0.3, 0.3), (0.9, 0.1)):
+        positive = draw.random(n) < share
+
+        def risk(weight, bias, part):
+            z = bias + np.bincount(row, weight[col], n)
+            clean = np.logaddexp(0, z).mean() - prior * np.logaddexp(0, z[positive]).mean()
+            return (prior * np.logaddexp(0, -z[positive]).mean() + clean) if part == "whole" else -clean
+
+        start = np.log(prior / (1 - prior))
+        clean_risk = -risk(np.zeros(width), start, "clean")
+        part = "whole" if clean_risk >= 0 else "clean"
+        slope = [(risk(np.eye(width)[k] * 1e-6, start, part) - risk(np.eye(width)[k] * -1e-6, start, part)) / 2e-6 for k in range(width)]
+        weight, _ = toxicity._descend(row, col, width, positive, prior, 1, 0.5, 0.0)
+        assert (np.sign(weight) == -np.sign(slope)).all() and np.allclose(np.abs(weight), 0.5, atol=1e-3)  # the first step of each weight is `rate` long
