@@ -98,9 +98,11 @@ def fit_goal_rates(home, draw, away, over=None, step: float = 0.04, size: int =
     Squared loss over home/draw/away plus 0.65 times that of over 2.5 where given; the
     first pair in grid order wins ties. The grid has size^2 rows, whatever the data.
     """
+    built: list[np.ndarray] = []  # once per task
+
     @F.pandas_udf("struct<home_rate: double, away_rate: double>")
     def fit(h: pd.Series, d: pd.Series, a: pd.Series, o: pd.Series) -> pd.DataFrame:
-        grid = _outcome_grid(step, size, most)
+        grid = built[0] if built else built.append(_outcome_grid(step, size, most)) or built[0]
         target = np.column_stack([h, d, a]).astype(float)
         over_p = o.to_numpy(float)
         best = np.empty(len(target), dtype=int)

@@ -19,7 +19,9 @@ from .scale import exact_quantiles, ordinal_rank, percentile_ranks
 def timeline(entity: Sequence[str] | str, order: Sequence[str] | str):
     entity = [entity] if isinstance(entity, str) else list(entity)
     order = [order] if isinstance(order, str) else list(order)
-    return Window.partitionBy(*entity).orderBy(*order)
+    line = Window.partitionBy(*entity).orderBy(*order)
+    line.entity, line.order = entity, order  # for operators that cut the line into stretches
+    return line
 
 
 def before(window, rows: int | None = None):
@@ -43,41 +45,49 @@ def prior_std(value, window, rows: int, at_least: int = 2) -> Column:
     return F.when(F.count(col(value)).over(frame) >= at_least, F.stddev_samp(col(value)).over(frame))
 
 
-def ewm_depth(alpha: float, least: float = 1e-12) -> int:
-    """Rows after which the weight of an observation is below `least`, whatever rows between are missing.
-
-    An observation after k - 1 missing rows leaves w / (w + alpha) of the past, w = (1 - alpha)^k; the slowest fall per row counts.
-    """
-    slowest = max((w / (w + alpha)) ** (1 / k) for k in range(1, 200) if (w := (1 - alpha) ** k) > 0)
-    return math.ceil(math.log(least) / math.log(slowest))
+#: Fall of a weight, as a natural logarithm, over which sums are taken in one stretch: e^138 is about 1e60.
+STRETCH = 138.0
 
 
 def attach_prior_ewm(df: DataFrame, wanted: dict[str, tuple[Column | str, float]], window) -> DataFrame:
     """Adds, per name, the exponentially weighted mean (value, alpha) of earlier rows, started at the first observation.
 
-    A missing row still decays the weight of the past: after k steps it is (1-alpha)^k, and the mean is taken over that weight plus alpha.
-    The mean is folded up to each observed row, over the rows that still weigh, and then carried over missing ones, however many.
+    A missing row still decays the weight of the past: after k steps it is w = (1-alpha)^k, and the mean is taken over that weight plus alpha.
+    So an observation x turns the mean y into a y + b with a = w / (w + alpha) and b = alpha x / (w + alpha). Such steps compose: with C the
+    running sum of -log a, a line is cut into stretches where C passes multiples of `STRETCH`; inside one the mean is a sum of b e^C, and what an
+    earlier stretch left is carried by e^-(difference of C). What lies two stretches back weighs less than e^-`STRETCH`, which no double can show.
+    `window` is a `timeline`. No list of earlier rows is built, and a row costs the same however long its line.
     """
-    folded, outs = [], []
-    for name, (value, alpha) in wanted.items():
-        x = col(value).cast("double")
-        past = F.collect_list(F.struct(x.alias("x"))).over(window.rowsBetween(-ewm_depth(alpha), 0))
-        folded.append(F.when(x.isNotNull(), _ewm_fold(past, alpha)).alias(f"_ewm_{name}"))
-        outs.append(F.last(f"_ewm_{name}", ignorenulls=True).over(before(window)).alias(name))
-    return df.select("*", *folded).select(*df.columns, *outs)
-
-
-def _ewm_fold(rows: Column, alpha: float) -> Column:
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"))
-
-    def step(state, row):
-        weight = state["w"] * (1 - alpha)
-        mixed = (weight * state["y"] + alpha * row["x"]) / (weight + alpha)
-        return F.when(row["x"].isNull(), F.struct(state["y"].alias("y"), weight.alias("w"))).otherwise(
-            F.struct(F.coalesce(mixed, row["x"]).alias("y"), F.lit(1.0).alias("w"))
-        )
-
-    return F.aggregate(rows, start, step, lambda s: s["y"])
+    line, stretch, out = window, {}, df.select("*", F.row_number().over(window).alias("_row"))
+    for i, (value, alpha) in enumerate(wanted.values()):
+        out = out.withColumn(f"_x{i}", col(value).cast("double"))
+    seen = [F.when(F.col(f"_x{i}").isNotNull(), F.col("_row")).alias(f"_s{i}") for i in range(len(wanted))]
+    out = out.select("*", *seen)
+    out = out.select("*", *[F.last(f"_s{i}", ignorenulls=True).over(before(line)).alias(f"_l{i}") for i in range(len(wanted))])
+    steps = []
+    for i, (_, alpha) in enumerate(wanted.values()):
+        k = F.col("_row") - F.col(f"_l{i}")
+        w = F.pow(F.lit(1 - alpha), k)
+        first = F.col(f"_l{i}").isNull()
+        fall = F.when(first, 0.0).otherwise(F.log(w + alpha) - k * math.log(1 - alpha))
+        gain = F.when(first, F.col(f"_x{i}")).otherwise(alpha * F.col(f"_x{i}") / (w + alpha))
+        steps += [F.when(F.col(f"_x{i}").isNotNull(), fall).alias(f"_f{i}"), gain.alias(f"_g{i}")]
+    out = out.select("*", *steps)
+    out = out.select("*", *[F.sum(f"_f{i}").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_c{i}") for i in range(len(wanted))])
+    out = out.select("*", *[F.when(F.col(f"_x{i}").isNotNull(), F.floor(F.col(f"_c{i}") / STRETCH)).alias(f"_p{i}") for i in range(len(wanted))])
+    for i in range(len(wanted)):
+        part = Window.partitionBy(*line.entity, f"_p{i}").orderBy(*line.order)
+        start = F.col(f"_p{i}") * STRETCH
+        total = F.sum(F.col(f"_g{i}") * F.exp(F.col(f"_c{i}") - start)).over(part.rowsBetween(Window.unboundedPreceding, 0))
+        stretch[i] = Window.partitionBy(*line.entity, f"_p{i}").orderBy(*line.order).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn(f"_t{i}", F.when(F.col(f"_x{i}").isNotNull(), total * F.exp(start - F.col(f"_c{i}"))))
+    left = [F.when(F.col(f"_x{i}").isNotNull(), F.struct(F.col(f"_t{i}").alias("t"), F.col(f"_c{i}").alias("c"), F.col(f"_p{i}").alias("p"))).alias(f"_e{i}") for i in range(len(wanted))]
+    out = out.select("*", *left).select("*", *[F.last(f"_e{i}", ignorenulls=True).over(before(line)).alias(f"_b{i}") for i in range(len(wanted))])
+    for i in range(len(wanted)):
+        carried = F.first(F.when(F.col(f"_b{i}.p") < F.col(f"_p{i}"), F.col(f"_b{i}"))).over(stretch[i])
+        mean = F.col(f"_t{i}") + F.coalesce(carried["t"] * F.exp(carried["c"] - F.col(f"_c{i}")), F.lit(0.0))
+        out = out.withColumn(f"_y{i}", F.when(F.col(f"_x{i}").isNotNull(), mean))
+    return out.select(*df.columns, *[F.last(f"_y{i}", ignorenulls=True).over(before(line)).alias(name) for i, name in enumerate(wanted)])
 
 
 def days_since(instant, window, low=2.0, high=14.0, default=7.0) -> Column:
@@ -256,7 +266,7 @@ def matchup_history(
     event = F.when(played, F.lit(1)).otherwise(F.lit(0))
     gained = F.when(played, points).otherwise(F.lit(0))
     general = Window.partitionBy(entity).orderBy(*order)
-    pair = Window.partitionBy(entity, opponent).orderBy(*order)
+    pair = timeline([entity, opponent], order)
     place = Window.partitionBy(entity, opponent, venue).orderBy(*order)
     n_pair = prior_sum(event, pair)
     shrunk = (prior_sum(gained, pair) + strength * level) / (n_pair + strength)
@@ -368,14 +378,16 @@ def matchup_rates(league, attack, defence, their_attack, their_defence, home) ->
     return {"expected_for": scored, "expected_against": lost, "clean_chance": clip(F.exp(-lost), 0.03, 0.74)}
 
 
-def utility_mix(df: DataFrame, deadline: Sequence[str], entity: str, mixes: dict[str, dict[str, float]]) -> DataFrame:
-    """Weighted sums of whole-pool percentiles at each deadline, one output per mix."""
+def utility_mix(df: DataFrame, deadline: Sequence[str], entity: str, mixes: dict[str, dict[str, float]], plain: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """Weighted sums of whole-pool percentiles at each deadline, one output per mix; `plain` adds weights of columns as they are to a mix."""
     columns = sorted({c for mix in mixes.values() for c in mix})
     ranked = percentile_ranks(df, deadline, {c: f"_p_{c}" for c in columns}, fill=None, ids=[entity])
     for name, mix in mixes.items():
         total = F.lit(0.0)
         for column, weight in mix.items():
             total = total + weight * F.col(f"_p_{column}")
+        for column, weight in (plain or {}).get(name, {}).items():
+            total = total + weight * F.col(column)
         ranked = ranked.withColumn(name, total)
     return ranked.drop(*[f"_p_{c}" for c in columns])
 

@@ -69,20 +69,21 @@ def k2s(spark, sf):
 
 
 def projections(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(
-        F.when(F.col("user_id") % 4 != 0, 80.0).alias("previous_chance"), F.lit(60.0).alias("probability"),
-        F.count(F.lit(1)).cast("double").alias("minutes"), (F.sum(F.floor("value")) / 100.0).alias("projected"),
+    """A projection for every customer; those who never met an event keep it."""
+    return table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 4 != 0, 80.0).alias("previous_chance"), F.lit(60.0).alias("probability"),
+        F.floor(F.abs("c_acctbal") / 100).cast("double").alias("minutes"), (F.floor("c_acctbal") / 100.0).alias("projected"),
     )
 
 
-OVERLAY = """WITH p AS (SELECT user_id, CASE WHEN user_id%4<>0 THEN 80e0 ELSE 100e0 END AS pc, 60e0 AS pr, count(*)*1e0 AS mi, sum(floor(value))/100e0 AS pj FROM events GROUP BY user_id), l AS (SELECT user_id, arg_max(CASE event_type WHEN 'error' THEN 0e0 WHEN 'view' THEN 50e0 ELSE 100e0 END, ts) AS ch FROM events WHERE user_id%3<>0 AND event_type<>'signup' GROUP BY 1),
+OVERLAY = """WITH p AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey%4<>0 THEN 80e0 ELSE 100e0 END AS pc, 60e0 AS pr, floor(abs(c_acctbal)/100)*1e0 AS mi, floor(c_acctbal)/100e0 AS pj FROM customer), l AS (SELECT user_id, arg_max(CASE event_type WHEN 'error' THEN 0e0 WHEN 'view' THEN 50e0 ELSE 100e0 END, ts) AS ch FROM events GROUP BY 1),
 r AS (SELECT p.*, ch, least(1.25e0,greatest(0,ch/greatest(pc,1))) AS ra FROM p LEFT JOIN l USING (user_id)), s AS (SELECT *, floor(greatest(mi,1)*ra+0.5e0) AS af FROM r)
 SELECT user_id, ch IS NOT NULL AS updated, CASE WHEN ch IS NULL THEN pr ELSE floor(least(98,pr*ra)+0.5e0) END AS probability, CASE WHEN ch IS NULL THEN mi ELSE af END AS minutes, round(CASE WHEN ch IS NULL THEN pj ELSE pj*least(1.25e0,greatest(0,af/greatest(mi,1))) END,6) AS projected FROM s"""
 
 
 def statuses(events: DataFrame) -> DataFrame:
     chance = F.when(F.col("event_type") == "error", 0.0).when(F.col("event_type") == "view", 50.0).otherwise(100.0)
-    return events.where((F.col("user_id") % 3 != 0) & (F.col("event_type") != "signup")).select("user_id", "ts", chance.alias("chance"))
+    return events.select("user_id", "ts", chance.alias("chance"))
 
 
 @query("K3_status_overlay", OVERLAY)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import estimators as c
 from ..operators import windows as w
+from ..sources.scratch import settle
 from .bindings import at_last_epoch, FORECASTS, PANEL, forecasts, panel
 from .q_windows import label_sql, pct_sql
 from .registry import query, r6
@@ -23,11 +24,11 @@ def seen():
 HIT_SQL = "CASE WHEN points>=5 THEN 1e0 ELSE 0e0 END"
 
 
-def iso_sql(sums: str, keys: str) -> str:
+def iso_sql(sums: str, keys: str, prior: float = 0.12) -> str:
     """CTEs from `sums` (keys, b, n, s dense in b) to `iso` (keys, b, m)."""
     on = " AND ".join(f"x.{k.strip()}=y.{k.strip()}" for k in keys.split(","))
     ky = ", ".join("x." + k.strip() for k in keys.split(","))
-    return f""", gg AS (SELECT {keys}, (sum(s)+60*0.12e0)/(sum(n)+60) AS g FROM {sums} GROUP BY {keys}),
+    return f""", gg AS (SELECT {keys}, (sum(s)+60*{prior}e0)/(sum(n)+60) AS g FROM {sums} GROUP BY {keys}),
 bb AS (SELECT {ky}, b, s+32*g AS v, n+32e0 AS wt FROM {sums} x JOIN gg y ON {on}),
 cu AS (SELECT {keys}, b, sum(v) OVER q AS cv, sum(wt) OVER q AS cw, coalesce(sum(v) OVER p,0) AS pv, coalesce(sum(wt) OVER p,0) AS pw FROM bb WINDOW q AS (PARTITION BY {keys} ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p AS (PARTITION BY {keys} ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 mm AS (SELECT {ky}, x.b AS a, y.b AS c, (y.cv-x.pv)/(y.cw-x.pw) AS m FROM cu x JOIN cu y ON {on} AND y.b>=x.b),
@@ -36,17 +37,44 @@ iso AS (SELECT {keys}, b, least(0.995e0,greatest(0.005e0,max(m))) AS m FROM lo G
 """
 
 
-CAL = FORECASTS + f""", pb AS (SELECT position, period, CAST(least(floor(prob*10),9) AS INTEGER) AS b, count(*) AS n, sum({HIT_SQL}) AS s FROM fp GROUP BY ALL),
+#: The events whose probabilities are calibrated: what happened, the raw probability, both in Spark and SQL, and the rate before any deadline.
+EVENTS = {
+    "return": (lambda: F.col("points") >= 5, "points>=5", lambda: F.col("prob"), "prob", 0.12),
+    "blank": (lambda: F.col("points") <= 2, "points<=2", lambda: 1 - F.col("prob"), "(1-prob)", 0.72),
+    "haul": (lambda: F.col("points") >= 8, "points>=8", lambda: F.col("prob") / 2, "(prob/2)", 0.045),
+}
+
+
+def cal_sql(event: str) -> str:
+    _, happened, _, prob, prior = EVENTS[event]
+    bin_ = f"CAST(least(floor({prob}*10),9) AS INTEGER)"
+    return FORECASTS + f""", pb AS (SELECT position, period, {bin_} AS b, count(*) AS n, sum(CASE WHEN {happened} THEN 1e0 ELSE 0e0 END) AS s FROM fp GROUP BY ALL),
 dl AS (SELECT DISTINCT position, period FROM fp), pr AS (SELECT dl.position, dl.period, t.b, coalesce(sum(n),0) AS n, coalesce(sum(s),0) AS s FROM dl CROSS JOIN range(0,10) t(b) LEFT JOIN pb ON pb.position=dl.position AND pb.period<dl.period AND pb.b=t.b GROUP BY ALL)
-""" + iso_sql("pr", "position, period")
+""" + iso_sql("pr", "position, period", prior) + f"SELECT entity, fp.period, round(CASE WHEN slate>0 THEN m ELSE 0e0 END,6) AS calibrated FROM fp JOIN iso ON iso.position=fp.position AND iso.period=fp.period AND iso.b={bin_}"
 
 
-@query("C1_expanding_calibration", CAL + "SELECT entity, fp.period, round(CASE WHEN slate>0 THEN m ELSE 0e0 END,6) AS calibrated FROM fp JOIN iso ON iso.position=fp.position AND iso.period=fp.period AND iso.b=CAST(least(floor(prob*10),9) AS INTEGER)")
-def c1(spark, sf):
-    out = c.expanding_calibration(forecasts(spark, sf), "position", "prob", hit(), 0.12, seen(), "calibrated", idle=0.0)
+def calibrated_event(spark, sf, event: str):
+    happened, _, prob, _, prior = EVENTS[event]
+    fp = forecasts(spark, sf).withColumn("raw", prob())
+    out = c.expanding_calibration(fp, "position", "raw", F.when(happened(), 1.0).otherwise(0.0), prior, seen(), "calibrated", idle=0.0)
     return out.select(*KEY, r6("calibrated").alias("calibrated"))
 
 
+@query("C1_expanding_calibration", cal_sql("return"))
+def c1(spark, sf):
+    return calibrated_event(spark, sf, "return")
+
+
+@query("C1_expanding_calibration_blank", cal_sql("blank"))
+def c1b(spark, sf):
+    return calibrated_event(spark, sf, "blank")
+
+
+@query("C1_expanding_calibration_haul", cal_sql("haul"))
+def c1c(spark, sf):
+    return calibrated_event(spark, sf, "haul")
+
+
 @query("C2_terminal_calibration", FORECASTS + f""", pr AS (SELECT position, t.b, count(CASE WHEN CAST(least(floor(prob*10),9) AS INTEGER)=t.b THEN 1 END) AS n, coalesce(sum(CASE WHEN CAST(least(floor(prob*10),9) AS INTEGER)=t.b THEN {HIT_SQL} END),0) AS s FROM fp, range(0,10) t(b) WHERE epoch<(SELECT max(epoch) FROM fp) AND slate>0 GROUP BY ALL)
 """ + iso_sql("pr", "position") + "SELECT entity, period, round(m,6) AS calibrated FROM fp JOIN iso ON iso.position=fp.position AND iso.b=CAST(least(floor(prob*10),9) AS INTEGER) WHERE epoch=(SELECT max(epoch) FROM fp)")
 def c2(spark, sf):
@@ -220,10 +248,34 @@ def c13(spark, sf):
     return out.select(*KEY, "bucket", r6("bias").alias("bias"))
 
 
-@query("C14_stacked_ranks")
+STACK = ["f_base", "f_exp", "f_price", "prob"]
+
+
+def stack_sql() -> str:
+    """The best non-negative weights by trying all 15 active sets: an inactive row is an identity row, and Gauss-Jordan steps solve all sets alike."""
+    ranks = ", ".join(f"CASE WHEN count(*) OVER (PARTITION BY period, position)<2 THEN 0.5e0 ELSE {pct_sql(x, 'period, position')} END AS {n}" for x, n in [*zip(STACK, ("r1", "r2", "r3", "r4")), ("points", "t")])
+    sums = ", ".join([f"sum(w*r{i}) AS s{i}, sum(w*r{i}*t) AS h{i}" for i in range(1, 5)] + [f"sum(w*r{i}*r{j}) AS g{i}{j}" for i in range(1, 5) for j in range(i, 5)])
+    a = lambda i, j: f"g{min(i, j)}{max(i, j)}-s{i}*s{j}/sw{'+90' if i == j else ''}"
+    on = lambda i: f"(m>>{i - 1})&1=1"
+    rows = "[" + ", ".join("[" + ", ".join(f"CASE WHEN {on(i)} AND {on(j)} THEN {a(i, j)} ELSE {'1e0' if i == j else '0e0'} END" for j in range(1, 5)) + f", CASE WHEN {on(i)} THEN h{i}-s{i}*st/sw ELSE 0e0 END]" for i in range(1, 5)) + "]"
+    solved = f"SELECT position, epoch, {rows} AS q, [{', '.join(f'h{i}-s{i}*st/sw' for i in range(1, 5))}] AS c FROM ag, range(1,16) k(m)"
+    for p in range(1, 5):
+        solved = f"SELECT position, epoch, c, list_transform(q, lambda r, i: CASE WHEN i={p} THEN list_transform(r, lambda v: v/r[{p}]) ELSE list_transform(r, lambda v, j: v-r[{p}]*q[{p}][j]/q[{p}][{p}]) END) AS q FROM ({solved})"
+    return f""", rk AS MATERIALIZED (SELECT *, {ranks} FROM fp), te AS (SELECT DISTINCT epoch FROM fp WHERE epoch>=3),
+ag AS (SELECT position, te.epoch, sum(w) AS sw, sum(w*t) AS st, {sums} FROM (SELECT rk.*, te.epoch AS te, pow(0.88e0,te.epoch-rk.epoch-1) AS w FROM rk JOIN te ON rk.epoch<te.epoch WHERE slate>0) x JOIN te ON te.epoch=x.te GROUP BY ALL),
+sv AS (SELECT position, epoch, [q[1][5],q[2][5],q[3][5],q[4][5]] AS x, c FROM ({solved})),
+bw AS (SELECT position, epoch, arg_min(x, -list_dot_product(c,x)) AS x FROM sv WHERE list_min(x)>=0 AND list_dot_product(c,x)>2e-12 GROUP BY ALL),
+wt AS (SELECT ag.position, ag.epoch, CASE WHEN list_sum(x)>1e-8 THEN list_transform(x, lambda v: v/list_sum(x)) ELSE [0.25e0,0.25e0,0.25e0,0.25e0] END AS x FROM ag LEFT JOIN bw USING (position, epoch)),
+sk AS (SELECT rk.*, round(CASE WHEN slate<=0 THEN 0 WHEN x IS NULL THEN r1 ELSE r1*x[1]+r2*x[2]+r3*x[3]+r4*x[4] END,9) AS stack FROM rk LEFT JOIN wt ON wt.position=rk.position AND wt.epoch=rk.epoch),
+ka AS (SELECT *, row_number() OVER (PARTITION BY period, position ORDER BY stack, entity) AS i FROM sk), kb AS (SELECT period, position, f_base AS v, row_number() OVER (PARTITION BY period, position ORDER BY f_base, entity) AS i FROM fp)
+"""
+
+
+@query("C14_stacked_ranks", FORECASTS + stack_sql() + "SELECT entity, period, round(stack,6) AS stack, round(CASE WHEN slate=0 THEN 0 ELSE v END,6) AS mapped FROM ka JOIN kb USING (period, position, i)")
 def c14(spark, sf):
-    out = c.stacked_ranks(forecasts(spark, sf), ["period", "position"], "entity", "position", ["f_base", "f_exp", "f_price", "prob"], "points", seen(), seen(), "stack")
-    return out.select(*KEY, r6("stack").alias("stack"), F.array_join(F.transform("weights", lambda x: F.round(x, 4).cast("string")), ",").alias("weights"))
+    out = c.stacked_ranks(forecasts(spark, sf), ["period", "position"], "entity", "position", STACK, "points", seen(), seen(), "stack")
+    out = settle(out.select(*KEY, "position", "slate", "f_base", F.round("stack", 9).alias("stack")))
+    return c.quantile_map(out, ["period", "position"], "entity", "stack", "f_base", "mapped", "slate").select(*KEY, r6("stack").alias("stack"), r6("mapped").alias("mapped"))
 
 
 QMAP = """, a AS (SELECT *, row_number() OVER (PARTITION BY period, position ORDER BY f_price, entity) AS i FROM fp), b AS (SELECT period, position, f_base AS v, row_number() OVER (PARTITION BY period, position ORDER BY f_base, entity) AS i FROM fp)

@@ -148,10 +148,12 @@ def j11(spark, sf):
     return out.select("epoch", "period", "side", "position", *[r6(c).alias(c) for c in ("outlook", "games", "censored", "games_censored")])
 
 
-@query("J12_newcomers", PANEL + """, n AS (SELECT DISTINCT epoch, entity FROM panel WHERE slate>=3 AND period%12<4) SELECT epoch, entity FROM n WHERE epoch>0 AND NOT EXISTS (SELECT 1 FROM n q WHERE q.epoch=n.epoch-1 AND q.entity=n.entity)""")
+@query("J12_newcomers", """WITH n AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS epoch, o_custkey AS entity FROM orders) SELECT epoch, entity FROM n WHERE epoch>(SELECT min(epoch) FROM n) AND NOT EXISTS (SELECT 1 FROM n q WHERE q.epoch=n.epoch-1 AND q.entity=n.entity)""")
 def j12(spark, sf):
-    regular = panel(spark, sf).where((F.col("slate") >= 3) & (F.col("period") % 12 < 4))
-    return j.newcomers(regular, "epoch", "entity")
+    """Customers with orders in a year and none in the year before."""
+    buyers = table(spark, sf, "orders").select(F.year("o_orderdate").alias("epoch"), F.col("o_custkey").alias("entity"))
+    first = buyers.agg(F.min("epoch").alias("_first"))  # one row
+    return j.newcomers(buyers, "epoch", "entity").join(F.broadcast(first), F.col("epoch") > F.col("_first")).select("epoch", "entity")
 
 
 @query("J13_interval_attach", PANEL + """, q AS (SELECT *, period-row_number() OVER (PARTITION BY entity ORDER BY period) AS spell FROM panel WHERE slate<=1),
@@ -237,10 +239,10 @@ def j17(spark, sf):
 @query("J18_blend_match_rates", FORECASTS + """, mk AS (SELECT entity, period, round((goals+1)/(lines+3e0),2) AS h, round((assists+1)/(lines+3e0),2) AS d, round(1-(goals+1)/(lines+3e0)-(assists+1)/(lines+3e0),2) AS a, slate/5e0 AS q FROM fp WHERE lines%2=0),
 pb AS (SELECT entity, period, round((clean+1)/(2*lines+3e0),2) AS h, 0.25e0 AS d, round(0.75e0-(clean+1)/(2*lines+3e0),2) AS a FROM fp WHERE lines%3=0),
 jn AS (SELECT fp.entity, fp.period, f_base/3 AS hf, f_price/3 AS af, prob AS hw, mk.h AS mh, q, CASE WHEN mk.h IS NOT NULL AND pb.h IS NOT NULL THEN 0.7e0*mk.h+0.3e0*pb.h ELSE coalesce(mk.h,pb.h) END AS eh, CASE WHEN mk.h IS NOT NULL AND pb.h IS NOT NULL THEN 0.7e0*mk.d+0.3e0*pb.d ELSE coalesce(mk.d,pb.d) END AS ed,
- CASE WHEN mk.h IS NOT NULL AND pb.h IS NOT NULL THEN 0.7e0*mk.a+0.3e0*pb.a ELSE coalesce(mk.a,pb.a) END AS ea FROM fp LEFT JOIN mk USING (entity, period) LEFT JOIN pb USING (entity, period))""" + grid_sql(0.25, 14) + """, dd AS (SELECT DISTINCT eh, ed, ea FROM jn WHERE eh IS NOT NULL),
+ CASE WHEN mk.h IS NOT NULL AND pb.h IS NOT NULL THEN 0.7e0*mk.a+0.3e0*pb.a ELSE coalesce(mk.a,pb.a) END AS ea FROM fp LEFT JOIN mk USING (entity, period) LEFT JOIN pb USING (entity, period))""" + grid_sql(0.04, 88) + """, dd AS (SELECT DISTINCT eh, ed, ea FROM jn WHERE eh IS NOT NULL),
 ls AS (SELECT eh, ed, ea, arg_min({'h': hr, 'a': ar}, pow(h-eh,2)+pow(d-ed,2)+pow(w-ea,2)) AS best FROM dd, grid GROUP BY ALL),
 f AS (SELECT jn.*, coalesce(least(0.82e0,greatest(0,0.92e0*q)),0) AS wt, best.h AS hr, best.a AS ar FROM jn LEFT JOIN ls USING (eh, ed, ea))
-SELECT entity, period, round(wt,6) AS weight, round(CASE WHEN hr IS NULL THEN hf ELSE (1-wt)*hf+wt*hr END,6) AS home, round(CASE WHEN ar IS NULL THEN af ELSE (1-wt)*af+wt*ar END,6) AS away, round(hw-mh,6) AS market_gap, round(hw-eh,6) AS outside_gap FROM f""")
+SELECT entity, period, round(wt,6) AS weight, round(CASE WHEN hr IS NULL THEN hf ELSE (1-wt)*hf+wt*hr END,6) AS home, round(CASE WHEN ar IS NULL THEN af ELSE (1-wt)*af+wt*ar END,6) AS away, round(exp(-CASE WHEN ar IS NULL THEN af ELSE (1-wt)*af+wt*ar END),6) AS home_clean, round(exp(-CASE WHEN hr IS NULL THEN hf ELSE (1-wt)*hf+wt*hr END),6) AS away_clean, round(hw-mh,6) AS market_gap, round(hw-eh,6) AS outside_gap FROM f""")
 def j18(spark, sf):
     fp = forecasts(spark, sf)
     g, a = (F.col("goals") + 1) / (F.col("lines") + 3.0), (F.col("assists") + 1) / (F.col("lines") + 3.0)
@@ -252,8 +254,8 @@ def j18(spark, sf):
         *KEY, F.round(c, 2).alias("home_p"), F.lit(0.25).alias("draw_p"), F.round(0.75 - c, 2).alias("away_p")
     )
     matches = fp.select(*KEY, (F.col("f_base") / 3).alias("home_for"), (F.col("f_price") / 3).alias("away_for"), F.col("prob").alias("home_win"))
-    out = j.blend_match_rates(matches, market, published, KEY, step=0.25, size=14)
-    return out.select(*KEY, *[r6(x).alias(x) for x in ("weight", "home", "away", "market_gap", "outside_gap")])
+    out = j.blend_match_rates(matches, market, published, KEY)
+    return out.select(*KEY, *[r6(x).alias(x) for x in ("weight", "home", "away", "home_clean", "away_clean", "market_gap", "outside_gap")])
 
 
 @query("J19_forward_rates", PANEL + SLATE + """, rt AS (SELECT epoch, period, side, opponent, is_home, avg(points)/4 AS ef, avg(conceded)/2 AS eg FROM panel GROUP BY ALL), nw AS (SELECT epoch, period, side, avg(goals) AS ef, avg(bonus) AS eg FROM panel WHERE slate>1 GROUP BY ALL),

@@ -326,20 +326,24 @@ MIXES = {
 }
 
 
+CAPTAIN = {"f_base": 0.56}
+CAPTAIN_PLAIN = {"fixture_now": 0.18, "security": 0.20, "crowd": 0.06}
+
+
 def mix_sql(mix: dict) -> str:
     return "+".join(f"{v}e0*{pct_sql(c, 'period')}" for c, v in mix.items())
 
 
-@query("E26_utility_mix", FORECASTS + f"""SELECT entity, period, round({mix_sql(MIXES['protect'])},6) AS protect, round({mix_sql(MIXES['chase'])},6) AS chase, rank() OVER (PARTITION BY period, position ORDER BY f_base DESC) AS position_rank FROM fp""")
+@query("E26_utility_mix", FORECASTS + f"""SELECT entity, period, round({mix_sql(MIXES['protect'])},6) AS protect, round({mix_sql(MIXES['chase'])},6) AS chase, round({mix_sql(CAPTAIN)}+0.18e0*CAST(is_home AS INTEGER)+0.2e0*(minutes/90e0)+0.06e0*(selected/10000e0),6) AS captain, rank() OVER (PARTITION BY period, position ORDER BY f_base DESC) AS position_rank FROM fp""")
 def e26(spark, sf):
-    fp = forecasts(spark, sf)
-    mixed = w.utility_mix(fp, ["period"], "entity", MIXES)
+    fp = forecasts(spark, sf).withColumn("fixture_now", F.col("is_home").cast("double")).withColumn("security", F.col("minutes") / 90.0).withColumn("crowd", F.col("selected") / 10000.0)
+    mixed = w.utility_mix(fp, ["period"], "entity", MIXES | {"captain": CAPTAIN}, {"captain": CAPTAIN_PLAIN})
     from ..operators.scale import ordered_prefix
     order = ordered_prefix(fp.withColumn("_v", -F.col("f_base")), ["period", "position"], "_v")
     ranked = mixed.withColumn("_v", -F.col("f_base")).join(
         order.select("period", "position", "_v", (F.col("n_before") + 1).alias("position_rank")), ["period", "position", "_v"]
     )
-    return ranked.select(*KEY, r6("protect").alias("protect"), r6("chase").alias("chase"), "position_rank")
+    return ranked.select(*KEY, r6("protect").alias("protect"), r6("chase").alias("chase"), r6("captain").alias("captain"), "position_rank")
 
 
 @query("E27_congestion", """, f AS (""".replace(", f AS (", "WITH f AS (") + """SELECT CAST(o_custkey%40 AS INTEGER) AS h, CAST((o_custkey//40)%40 AS INTEGER) AS a, o_orderdate AS k FROM orders),

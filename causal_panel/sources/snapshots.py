@@ -1,11 +1,12 @@
 """Fingerprints, content-addressed snapshots, feature tables and reports."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from .scratch import settle
 
@@ -44,27 +45,81 @@ def content_hash(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at `path`; None if there is no such folder. A damaged table is an error."""
+    place, fs = _file_system(spark, path)
+    return spark.read.parquet(path) if fs.exists(place) else None
+
+
+def _entries(spark: SparkSession, path: str) -> list[str]:
+    """The folders of the batches that were committed, in order; a line per commit."""
+    place, fs = _file_system(spark, f"{path}/log")
+    if not fs.exists(place):
+        return []
+    names = sorted(f.getPath().getName() for f in fs.listStatus(place))
+    found = []
+    for name in names:
+        if name.isdigit():
+            stream = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/log/{name}"))))
+            found.append(stream.readLine())
+            stream.close()
+    return found
+
+
+def _claim(spark: SparkSession, path: str, number: int, folder: str) -> bool:
+    """Make `folder` commit `number`, unless another writer has. The file appears whole: it is written aside and then linked or renamed into place."""
+    aside, fs = _file_system(spark, f"{path}/log/_{uuid.uuid4().hex}")
+    target, _ = _file_system(spark, f"{path}/log/{number:020d}")
+    out = fs.create(aside, True)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    try:
+        if fs.getUri().getScheme() == "file":  # a local rename would replace the other's file
+            as_file = lambda p: spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+            spark._jvm.java.nio.file.Files.createLink(as_file(target), as_file(aside))
+            return True
+        return fs.rename(aside, target)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in str(error.java_exception.getClass().getName()):
+            return False
+        raise
+    finally:
+        fs.delete(aside, False)
+
+
 def append_snapshot(df: DataFrame, path: str, payload: Sequence[str], partition: Sequence[str] = ()) -> DataFrame:
     """Append rows named by their content; a row already stored is an error, none is rewritten.
 
     The input is evaluated once. Duplicates are looked for on the cluster, in the partitions that the rows belong to; only their count comes
-    back. The rows go to a folder named by their content, so the same batch written twice, by a retry or a second writer, is stored once.
+    back. The rows go to a folder of their own, which readers don't see until it is entered in the log under the next number. Only one writer
+    can take a number: who comes second looks for duplicates in what was entered meanwhile and tries the one after. So writers with overlapping
+    batches never store a row twice, and a writer that dies leaves nothing that is read. On an object store without atomic renames, entries
+    need a file system that offers them.
     """
     spark = df.sparkSession
     hashed = settle(df.withColumn("content_hash", content_hash(payload)), "snapshot")
-    known = read_snapshots(spark, path)
-    doubled = hashed.groupBy("content_hash").count().where("count > 1").select("content_hash")
-    if known is not None:
-        if partition:
-            known = known.join(hashed.select(*partition).distinct(), list(partition), "left_semi")
-        doubled = doubled.unionByName(hashed.join(known.select("content_hash"), "content_hash", "left_semi").select("content_hash"))
-    found = doubled.count()
-    if found:
-        raise FileExistsError(f"{found} snapshot rows already exist")
-    name = fingerprint(hashed, ["content_hash"], "batch").select(F.sha2("fingerprint", 256)).first()[0]
-    writer = hashed.write.mode("overwrite")
-    (writer.partitionBy(*partition) if partition else writer).parquet(f"{path}/batch={name}")
-    return hashed
+    folder = f"{path}/data/batch=b{uuid.uuid4().hex}"
+    found = hashed.groupBy("content_hash").count().where("count > 1").count()
+    (hashed.write.partitionBy(*partition) if partition else hashed.write).parquet(folder)
+    checked = 0
+    while not found:
+        entries = _entries(spark, path)
+        if checked < len(entries):
+            known = _batches(spark, path, entries[checked:])
+            if partition:
+                known = known.join(hashed.select(*partition).distinct(), list(partition), "left_semi")
+            found = hashed.join(known.select("content_hash"), "content_hash", "left_semi").count()
+            checked = len(entries)
+        elif _claim(spark, path, checked, folder):
+            return hashed
+    place, fs = _file_system(spark, folder)
+    fs.delete(place, True)
+    raise FileExistsError(f"{found} snapshot rows already exist")
 
 
 def new_snapshots(df: DataFrame, path: str, payload: Sequence[str]) -> DataFrame:
@@ -75,11 +130,13 @@ def new_snapshots(df: DataFrame, path: str, payload: Sequence[str]) -> DataFrame
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame | None:
-    """What is stored under `path`, without the names of its batches; None if nothing is."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """What was appended under `path`; None if nothing was."""
+    entries = _entries(spark, path)
+    return _batches(spark, path, entries) if entries else None
+
+
+def _batches(spark: SparkSession, path: str, folders: Sequence[str]) -> DataFrame:
+    return spark.read.option("basePath", f"{path}/data").parquet(*folders).drop("batch")
 
 
 def materialize(df: DataFrame, path: str, tag: str, partition: str, columns: Sequence[str]) -> DataFrame:
@@ -91,7 +148,7 @@ def materialize(df: DataFrame, path: str, tag: str, partition: str, columns: Seq
     spark = df.sparkSession
     noted = fingerprint(df, columns, f"{tag}:{','.join(df.columns)}").select("fingerprint", F.sha2("fingerprint", 256).alias("name")).first()
     data, side = f"{path}/{noted['name']}/data", f"{path}/{noted['name']}/fingerprint"
-    recorded = read_snapshots(spark, side)
+    recorded = stored(spark, side)
     if recorded is None or recorded.where(F.col("fingerprint") == noted["fingerprint"]).isEmpty():
         df.write.mode("overwrite").partitionBy(partition).parquet(data)
         spark.createDataFrame([(noted["fingerprint"],)], "fingerprint string").coalesce(1).write.mode("overwrite").parquet(side)

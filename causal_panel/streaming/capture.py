@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.scoring import availability_overlay
 from ..sources.scratch import settle
-from ..sources.snapshots import capture_changes, read_snapshots
+from ..sources.snapshots import capture_changes
 
 # Fields no capture may hold (realised, and closing market).
 REALISED_FIELDS = (
@@ -72,30 +75,34 @@ def run_gate(stream: DataFrame, deadlines: DataFrame, keys: Sequence[str], accep
 def run_lock_once(stream: DataFrame, keys: Sequence[str], order: Sequence[str], locked: str, rejected: str, checkpoint: str) -> None:
     """Lock the first decision per key; later ones, however late, are kept apart as rejected.
 
-    Of a micro-batch the first by `order` is taken, unless an earlier batch has locked the key. Locked keys stay in a table, so none is
-    forgotten. Each micro-batch writes its own folder and looks at those of earlier ones only, so a batch that is tried again replaces itself.
+    Of a micro-batch the first by `order` (nulls last) is taken, unless an earlier batch has locked the key. That a key is locked is its state in the
+    stream's checkpoint, so a micro-batch looks at its own keys, however many were locked before. A key's rows pass through its task in portions, of
+    which one row is held. Each micro-batch writes its own folder, and state belongs to a batch, so a batch that is tried again replaces itself.
     """
+    names, by = stream.columns, list(order)
+
+    def decide(key: tuple, portions, state: GroupState):
+        best = None
+        for rows in portions:
+            rows = rows.set_axis(names, axis=1)
+            if not state.exists and len(rows):
+                both = rows if best is None else pd.concat([best, rows], ignore_index=True)
+                first = both.sort_values(by, kind="stable", na_position="last").index[:1]
+                best, rows = both.loc[first], both.drop(first)
+            yield rows.assign(_locked=False)
+        if best is not None:
+            yield best.assign(_locked=True)
+            state.update((True,))
+
+    shape = StructType([*stream.schema.fields, StructField("_locked", BooleanType())])
+    decided = stream.groupBy(*keys).applyInPandasWithState(decide, shape, "locked boolean", "append", GroupStateTimeout.NoTimeout)
 
     def handle(batch: DataFrame, number: int) -> None:
         batch = settle(batch, "lock-batch")
-        others = [c for c in batch.columns if c not in keys]
-        first = batch.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_d"), F.count(F.lit(1)).alias("_n"))
-        known = earlier_batches(batch.sparkSession, locked, number)
-        if known is not None:
-            first = first.join(known.select(*keys), list(keys), "left_anti")
-        new = settle(first.select(*keys, "_d.*"), "locks")
-        new.write.mode("overwrite").parquet(f"{locked}/batch={number}")
-        rows = Window.partitionBy(*batch.columns).orderBy(F.lit(1))  # equal rows are told apart, one of them may be locked
-        batch.withColumn("_copy", F.row_number().over(rows)).join(new.withColumn("_copy", F.lit(1)), [*batch.columns, "_copy"], "left_anti").drop("_copy").write.mode(
-            "overwrite").parquet(f"{rejected}/batch={number}")
+        batch.where("_locked").drop("_locked").write.mode("overwrite").parquet(f"{locked}/batch={number}")
+        batch.where("not _locked").drop("_locked").write.mode("overwrite").parquet(f"{rejected}/batch={number}")
 
-    run_batches(stream, checkpoint, handle)
-
-
-def earlier_batches(spark, path: str, number: int) -> DataFrame | None:
-    """What batches before `number` have written under `path`, if anything."""
-    stored = read_snapshots(spark, path)
-    return None if stored is None else stored.where(F.col("batch") < number).drop("batch")
+    run_batches(decided, checkpoint, handle)
 
 
 def lock_once_batch(decisions: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:

@@ -134,3 +134,41 @@ def test_deadlines_of_two_months(spark):
     due = events.select(F.to_date("ts").alias("day"), (F.to_date("ts").cast("timestamp_ntz") + F.expr("interval 18 hours")).alias("deadline"))
     gated = capture.deadline_gate(as_captures(events), due, ["day"])
     assert gated.count() == 60 and gated.where("promotion_eligible").count() == 59  # event 50 has no capture time
+
+
+def test_writers_at_once_never_store_a_row_twice(spark, tmp_path):
+    """Overlapping, unequal batches from six threads: each row is stored once or its writer is refused, and what is refused leaves nothing."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from causal_panel.sources import snapshots
+
+    path = f"{tmp_path}/store"
+
+    def write(k: int) -> bool:
+        rows = spark.range(k * 3, k * 3 + 5).select("id", (F.col("id") % 2).alias("epoch"))
+        try:
+            snapshots.append_snapshot(rows, path, ["id"], ["epoch"])
+            return True
+        except FileExistsError:
+            return False
+
+    with ThreadPoolExecutor(6) as pool:
+        done = list(pool.map(write, range(6)))
+    stored = snapshots.read_snapshots(spark, path)
+    ids = sorted(r.id for r in stored.select("id").collect())
+    assert ids == sorted({i for k in range(6) if done[k] for i in range(k * 3, k * 3 + 5)}) and len(ids) == 5 * sum(done) and sum(done) >= 2
+    assert set(stored.columns) == {"id", "epoch", "content_hash"}
+    assert not write(done.index(True))
+
+
+def test_locks_read_their_own_keys_only(spark, tmp_path):
+    """Twelve micro-batches of new and old keys: the state decides, and no batch reads what was locked before."""
+    source = f"{tmp_path}/in"
+    for n in range(12):
+        rows = [(k, n, f"d{n}") for k in range(n, n + 4)] + [(0, 100 + n, "late"), (n, None, "null")]
+        spark.createDataFrame(rows, "k int, t int, what string").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k int, t int, what string").parquet(source)
+        capture.run_lock_once(stream, ["k"], ["t"], f"{tmp_path}/locked", f"{tmp_path}/rejected", f"{tmp_path}/checkpoint")
+    locked = {(r.k, r.what) for r in spark.read.parquet(f"{tmp_path}/locked").collect()}
+    assert locked == {(k, "d0") for k in range(4)} | {(k, f"d{k - 3}") for k in range(4, 15)}
+    assert spark.read.parquet(f"{tmp_path}/rejected").count() == 12 * 6 - 15
