@@ -6,7 +6,7 @@ document at that place, and the pair counts if some `least_words` neighbouring w
 `similarity` of their places.
 
 The benchmark is the stated query set: its hashes are taken in blocks of a bounded size, each broadcast and held against all documents
-in one scan. No document is shuffled.
+in one scan, one block at a time. No document is shuffled.
 """
 from __future__ import annotations
 
@@ -22,14 +22,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Items of fewer words say too little to be found in a text and are left out; longer ones need so many words together.
-SHORTEST_ITEM, LEAST_WORDS, SIMILARITY = 5, 13, 0.8
+from .common import settle
+
+#: An item of fewer words than `WHOLE` is found only as an exact run; one of more than `LEAST_WORDS` needs so many words together.
+WHOLE, LEAST_WORDS, SIMILARITY = 5, 13, 0.8
 #: Which words a seed reads (1) and ignores (0). Wherever two of 13 words in a row differ, one of the first pair still fits between them;
 #: the others do so for items of 5 to 12 words at a similarity of 0.8. So with these parameters no overlap is missed.
 MASKS, SHORT_MASKS = ("11101011", "11001111"), ("1111", "11011", "10111", "11101")
 #: Seed hashes in a block of the benchmark (about 50 MB with the words of the items).
 BLOCK_HASHES = 1 << 20
-WORDS = re.compile(r"\w+")
+#: Scripts written without spaces (kana, Han, Thai, Lao, Myanmar, Khmer): there each character is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORDS = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
+#: The same in Spark, to size blocks.
+_COUNTED = r"[\x{e00}-\x{eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}]|(?U:\w)+"
 
 
 def word_hashes(text: str | None, known: dict[str, int]) -> np.ndarray:
@@ -53,7 +59,7 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def _masks_of(n: int) -> tuple[str, ...]:
-    return MASKS if n >= LEAST_WORDS else SHORT_MASKS
+    return MASKS if n >= LEAST_WORDS else SHORT_MASKS if n >= WHOLE else ("1" * n,)
 
 
 class Block:
@@ -61,7 +67,7 @@ class Block:
 
     def __init__(self, items: list[tuple]):
         cache: dict[str, int] = {}
-        self.items = [(i, words) for i, text in items if len(words := word_hashes(text, cache)) >= SHORTEST_ITEM]
+        self.items = [(i, words) for i, text in items if len(words := word_hashes(text, cache))]
         found, self.masks = [], set()
         for k, (_, words) in enumerate(self.items):
             for mask in _masks_of(len(words)):
@@ -104,13 +110,20 @@ class Block:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_hashes: int):
-    """The benchmark as broadcast blocks of about `block_hashes` hashes; each item is in one of them."""
+    """The benchmark as broadcast blocks of about `block_hashes` hashes, and whether a block is the only one; each item is in one of them.
+
+    With several, a block is gone when the next is asked for, so its result must be settled by then.
+    """
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t"))
-    n_words = items.agg(F.sum(F.regexp_count("t", F.lit(r"\w+")))).first()[0] or 0
+    n_words = items.agg(F.sum(F.regexp_count("t", F.lit(_COUNTED)))).first()[0] or 0
     blocks = max(1, -(-n_words * len(SHORT_MASKS) // block_hashes))
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Block([tuple(r) for r in rows]))
+        block = benchmark.sparkSession.sparkContext.broadcast(Block([tuple(r) for r in rows]))
+        del rows
+        yield block, blocks == 1
+        if blocks > 1:
+            block.destroy()
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
@@ -118,7 +131,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(`id_col`, `item_col`, n_words, first_word, agreement): one row per document and benchmark item found in it.
 
     n_words counts the document's words that agree with the item at the best place, first_word is where they begin. Null and empty
-    texts, and items under `SHORTEST_ITEM` words, meet nothing. Repeated rows are found each. Other columns are left out.
+    texts, and items without a word, meet nothing; an item of under `WHOLE` words is found where it stands as it is. Repeated rows are found each. Other columns are left out.
     An empty benchmark or table of documents gives an empty result.
     """
     id_type, item_type = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
@@ -141,7 +154,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return search
 
-    parts = [docs.select(F.col(id_col), F.col(text_col)).mapInArrow(search_in(b), schema) for b in _blocks(benchmark, item_col, item_text, block_hashes)]
+    parts = []
+    for block, alone in _blocks(benchmark, item_col, item_text, block_hashes):
+        found = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(search_in(block), schema)
+        parts.append(found if alone else settle(found, "overlaps"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -157,6 +173,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
         return clean
 
-    for block in _blocks(benchmark, item_col, item_text, block_hashes):
-        docs = docs.filter(clean_of(block)(F.col(text_col)))
+    for block, alone in _blocks(benchmark, item_col, item_text, block_hashes):
+        clean = docs.filter(clean_of(block)(F.col(text_col)))
+        docs = clean if alone else settle(clean, "uncontaminated")
     return docs

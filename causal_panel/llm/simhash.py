@@ -24,7 +24,7 @@ from .common import settle
 #: Node pairs that a task expands at once.
 CHUNK = 1 << 20
 #: Fingerprints that a prefix holds on the average, and more than which the largest may not hold while prefixes can grow.
-MEAN_NODE, LARGEST_NODE, DEEPEST = 2048, 200_000, 16
+MEAN_NODE, LARGEST_NODE, DEEPEST = 2048, 200_000, 32
 
 
 def fingerprint_of(text: str | None, shingle: int = 4, seed: int = 42) -> int:

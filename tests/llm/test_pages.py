@@ -94,6 +94,17 @@ def test_urls(pages, odd_pages, spark):
     assert urlrules.longest(trie, "c.org", "/x/y/z") == ("allow", "org/x/y/")
 
 
+def test_joined_rules_decide_like_the_trie(pages, odd_pages, spark):
+    rules = URL_RULES + [("block", "COM", "/a"), ("allow", "com", "/a"), ("block", "com", "/a/b/"), ("allow", "b.com", ""), ("block", "", "/x"), ("allow", "net", "/fr/page"), ("block", "example.com", "/en/a")]
+    more = spark.createDataFrame([(k, u) for k, u in enumerate((
+        "http://b.com/a/b/c", "http://c.b.com", "http://b.com/a/", "http://q.com/ab", "http://net/fr/page-1", "http://x./xy", "http:///x", "http://www.example.com/en/abc", "http://example.com/en/abc", "http://q.com/a/b", None, ""))], "page_id long, url string")
+    for frame in (pages, odd_pages, more):
+        one, two = (sorted(map(str, urlrules.judge_urls(frame, rules, most_rules=n).collect())) for n in (100, 0))
+        assert one == two
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    assert sorted(map(str, urlrules.judge_urls(more, table).collect())) == two
+
+
 def test_archive_round_trip(spark, pages, odd_pages):
     for frame in (pages.unionByName(pages.selectExpr("page_id + 5000 AS page_id", "url", "html")), odd_pages, odd_pages.filter("false")):
         archive = warc.write_archive(frame)

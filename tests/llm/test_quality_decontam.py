@@ -47,7 +47,7 @@ def slow_overlaps(text, items, least=13, similarity=0.8):
     for i, item in items:
         item = re.findall(r"\w+", (item or "").lower())
         width = min(least, len(item))
-        if len(item) < 5:
+        if not item:
             continue
         for p in range(len(words) - width + 1):
             for q in range(len(item) - width + 1):
@@ -85,18 +85,29 @@ def test_substituted_words(spark):
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontam.find_overlaps(frame, bench).collect()}
     expected = {(i, j) for i, t in docs for j in slow_overlaps(t, items)}
-    assert found == expected and len(found) > 40 and not any(i >= 900 for i, _ in found)
+    assert found == expected and len(found) > 40 and {x for x in found if x[0] >= 900} == {(999, 6)}
     assert found == {(r.doc_id, r.item_id) for r in decontam.find_overlaps(frame, bench, block_hashes=200).collect()}
 
 
 def test_odd_rows(odd, none, spark):
     bench = spark.createDataFrame([(1, "Three four FIVE six, seven"), (2, None), (3, ""), (4, "one two three four")], "item_id long, text string")
     found = decontam.find_overlaps(odd, bench).collect()
-    assert sorted((r.doc_id, r.item_id, r.first_word) for r in found) == [(6, 1, 2), (6, 1, 2)]
+    assert sorted((r.doc_id, r.item_id, r.first_word) for r in found) == [(6, 1, 2), (6, 1, 2), (6, 4, 0), (6, 4, 0)]
     assert decontam.find_overlaps(none, bench).collect() == [] == decontam.find_overlaps(odd, bench.filter("false")).collect()
     assert decontam.uncontaminated(odd, bench).count() == 6 and decontam.uncontaminated(odd, bench.filter("false")).count() == 8
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    """Items of one to four words are met as exact runs only; a Han, kana or Thai passage is met inside a longer clause, with a character changed."""
+    passage = "今天天气很好我们去公园散步吧大家一起来"
+    items = [(1, "Zyzzyva"), (2, "deep blue"), (3, "one small step"), (4, "to be or not"), (5, passage), (6, "สวัสดีครับผมชื่อสมชาย"), (7, "Быть или не быть"), (8, "?!")]
+    docs = [(1, "a zyzzyva, here"), (2, "Deep BLUE."), (3, "one small leap"), (4, "to be or knot to be or not!"), (5, "他说" + passage.replace("公", "花") + "好吗"), (6, "คือสวัสดีครับผมชื่อสมชายนะ"), (7, "быть, или не быть?"), (8, "今天天气不好"), (9, "zyzzyvas"), (10, "?!")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 8):
+        assert {(r.doc_id, r.item_id) for r in decontam.find_overlaps(frame, bench, block_hashes=size).collect()} == {(1, 1), (2, 2), (4, 4), (5, 5), (6, 6), (7, 7)}
+        assert {r.doc_id for r in decontam.uncontaminated(frame, bench, block_hashes=size).collect()} == {3, 8, 9, 10}
+
+
 def test_masks_miss_nothing():
     import itertools
     import math

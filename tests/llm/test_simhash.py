@@ -76,6 +76,19 @@ def test_prefixes_are_walked_by_spark(spark, monkeypatch):
     assert [roots.get(f, f) for f in fps] == slow_components(fps, fps)
 
 
+def test_prefixes_grow_while_a_node_is_crowded(spark, monkeypatch):
+    """Fingerprints that share their first 26 bits and more: prefixes grow past them."""
+    monkeypatch.setattr(simhash, "MEAN_NODE", 64)
+    monkeypatch.setattr(simhash, "LARGEST_NODE", 12)
+    draw = random.Random(6)
+    rows = {(0x2B5 << 54 | draw.getrandbits(6) << 32 | draw.getrandbits(32),) for _ in range(120)}
+    rows |= {(v ^ 1 << draw.randrange(60) ^ 1 << draw.randrange(60) ^ 1 << draw.randrange(60),) for (v,) in sorted(rows)[:60]}
+    nodes = spark.createDataFrame([(v - (1 << 63),) for (v,) in sorted(rows)], "fp long").distinct()
+    roots = {r.node: r.root for r in simhash.connect(simhash.links(nodes)).collect()}
+    fps = sorted(r.fp for r in nodes.collect())
+    assert [roots.get(f, f) for f in fps] == slow_components(fps, fps)
+
+
 def test_connect_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(900, 901), (905, 901)], "a long, b long"))
     roots = {r.node: r.root for r in simhash.connect(edges).collect()}
