@@ -392,22 +392,17 @@ def cause_shares(df: DataFrame, cause: str, error: Column, weight: Column, keys:
     )
 
 
-# Candidates that are screened at once.
-MOST_CANDIDATES = 100_000
-
-
 def covariance_screen(df: DataFrame, epoch: str, features: Sequence[str], target: str, candidates: DataFrame) -> DataFrame:
     """Correlation of each candidate's weighted feature sum with the target, per epoch.
 
-    One pass takes the feature covariances; candidates (name, weights array) then need only those.
+    One pass takes the feature covariances; candidates (name, weights array), however many, then need only those: a row of sums per epoch
+    travels to them.
     """
     moments = [F.covar_pop(a, b) for i, a in enumerate(features) for b in features[i:]]
     stats = df.groupBy(epoch).agg(
         F.array(*moments).alias("_s"), F.array(*[F.covar_pop(f, target) for f in features]).alias("_c"), F.var_pop(target).alias("_v"),
     )
-    if (given := candidates.limit(MOST_CANDIDATES + 1).count()) > MOST_CANDIDATES:
-        raise ValueError(f"{given} candidates or more; {MOST_CANDIDATES} can be screened at once")
-    paired = stats.join(F.broadcast(candidates))  # of a checked size; every epoch screens every candidate
+    paired = candidates.join(F.broadcast(stats))  # a row per epoch, whatever the data; every epoch screens every candidate
     dot = sum((F.col("weights")[i] * F.col("_c")[i] for i in range(len(features))), F.lit(0.0))
     quad, at = F.lit(0.0), 0
     for i in range(len(features)):

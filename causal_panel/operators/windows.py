@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, col, first_match, shrunk_rate
-from .scale import exact_quantiles, ordinal_rank, percentile_ranks
+from .scale import ROWS_PER_SLICE, exact_quantiles, ordinal_rank, percentile_ranks, sliced
 
 
 def timeline(entity: Sequence[str] | str, order: Sequence[str] | str):
@@ -392,12 +392,22 @@ def utility_mix(df: DataFrame, deadline: Sequence[str], entity: str, mixes: dict
     return ranked.drop(*[f"_p_{c}" for c in columns])
 
 
-def congestion(fixtures: DataFrame, home: str, away: str, kickoff: str, default: float = 7.0) -> DataFrame:
-    """Smallest gap in days between consecutive kick-offs per side; `default` with one or none."""
+def congestion(fixtures: DataFrame, home: str, away: str, kickoff: str, default: float = 7.0, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Smallest gap in days between consecutive kick-offs per side; `default` with one or none.
+
+    A long line of kick-offs is cut into stretches of time. Each gives its first, its last and its least gap, and the gaps between neighbouring
+    stretches are added in order, so no task holds the whole line of a side.
+    """
     sides = fixtures.select(F.explode(F.array(home, away)).alias("side"), F.col(kickoff).alias("_at"))
     # kick-offs are collapsed first, so a side has one row per instant
-    at = sides.groupBy("side", "_at").agg(F.count(F.lit(1)).alias("_n"))
-    last = F.lag("_at").over(timeline("side", "_at"))
-    gap = F.timestamp_diff("MICROSECOND", last, F.col("_at")) / F.lit(86_400_000_000.0)
-    gaps = at.select("side", F.when(F.col("_n") > 1, F.lit(0.0)).otherwise(gap).alias("_gap"))
-    return gaps.groupBy("side").agg(F.coalesce(F.min("_gap"), F.lit(default)).alias("minimum_gap"))
+    at = sides.groupBy("side", "_at").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_at").isNotNull())
+    since = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("_at").cast("timestamp_ntz"))
+    cut = sliced(at.withColumn("_micros", since), ["side"], "_micros", rows_per_slice)
+    day = F.lit(86_400_000_000.0)
+    gap = (F.col("_micros") - F.lag("_micros").over(timeline(["side", "_slice"], "_micros"))) / day
+    gaps = cut.select("side", "_slice", "_micros", F.when(F.col("_n") > 1, F.lit(0.0)).otherwise(gap).alias("_gap"))
+    parts = gaps.groupBy("side", "_slice").agg(F.min("_micros").alias("_first"), F.max("_micros").alias("_last"), F.min("_gap").alias("_gap"))
+    between = (F.col("_first") - F.lag("_last").over(timeline("side", "_slice"))) / day
+    joined = parts.select("side", "_gap", between.alias("_between")).groupBy("side").agg(F.least(F.min("_gap"), F.min("_between")).alias("minimum_gap"))
+    known = sides.select("side").distinct()
+    return known.join(joined, known["side"].eqNullSafe(joined["side"]), "left").select(known["side"], F.coalesce("minimum_gap", F.lit(default)).alias("minimum_gap"))

@@ -92,3 +92,21 @@ def test_newton_against_a_loop(spark):
         assert np.abs(slope).max() < 1e-7 * max(1, w.sum())
     scored = fitted(df, fits, "p", ["x", "z"], "poisson", keys=["k"]).toPandas()
     assert len(scored) == n and scored["value"].isna().sum() == (pdf["epoch"] == 0).sum()
+
+
+def test_gaps_across_stretches(spark):
+    """Least gaps per side are the same whether a line is cut or not, and those of a plain loop."""
+    from causal_panel.operators.windows import congestion
+
+    draw = np.random.default_rng(9)
+    at = pd.to_datetime("2020-01-01") + pd.to_timedelta(np.sort(draw.integers(0, 4_000_000, 600)), unit="min")
+    pdf = pd.DataFrame({"h": draw.choice(["a", "b", "c"], 600, p=[0.8, 0.15, 0.05]), "a": draw.choice(["d", "e"], 600), "at": at})
+    pdf.loc[600] = ["once", "d", pd.Timestamp("2030-01-01")]
+    df = spark.createDataFrame(pdf)
+    expected = {}
+    for side in ("a", "b", "c", "d", "e", "once"):
+        times = np.sort(pdf[(pdf["h"] == side) | (pdf["a"] == side)]["at"].to_numpy())
+        expected[side] = float(np.diff(times).min() / np.timedelta64(1, "D")) if len(times) > 1 else 7.0
+    for rows in (250_000, 25):
+        found = {r.side: r.minimum_gap for r in congestion(df, "h", "a", "at", rows_per_slice=rows).collect()}
+        assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-9 for k in expected)
