@@ -55,7 +55,7 @@ def attach_prior_ewm(df: DataFrame, wanted: dict[str, tuple[Column | str, float]
     A missing row still decays the weight of the past: after k steps it is w = (1-alpha)^k, and the mean is taken over that weight plus alpha.
     So an observation x turns the mean y into a y + b with a = w / (w + alpha) and b = alpha x / (w + alpha). Such steps compose: with C the
     running sum of -log a, a line is cut into stretches where C passes multiples of `STRETCH`; inside one the mean is a sum of b e^C, and what an
-    earlier stretch left is carried by e^-(difference of C). What lies two stretches back weighs less than e^-`STRETCH`, which no double can show.
+    earlier stretch left is carried by e^-(difference of C). Values are taken from the line's first one, so equal values keep their mean to the bit. What lies two stretches back weighs less than e^-`STRETCH`, which no double can show.
     `window` is a `timeline`. No list of earlier rows is built, and a row costs the same however long its line.
     """
     line, stretch, out = window, {}, df.select("*", F.row_number().over(window).alias("_row"))
@@ -63,14 +63,15 @@ def attach_prior_ewm(df: DataFrame, wanted: dict[str, tuple[Column | str, float]
         out = out.withColumn(f"_x{i}", col(value).cast("double"))
     seen = [F.when(F.col(f"_x{i}").isNotNull(), F.col("_row")).alias(f"_s{i}") for i in range(len(wanted))]
     out = out.select("*", *seen)
-    out = out.select("*", *[F.last(f"_s{i}", ignorenulls=True).over(before(line)).alias(f"_l{i}") for i in range(len(wanted))])
+    origin = [F.first(f"_x{i}", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_o{i}") for i in range(len(wanted))]
+    out = out.select("*", *origin, *[F.last(f"_s{i}", ignorenulls=True).over(before(line)).alias(f"_l{i}") for i in range(len(wanted))])
     steps = []
     for i, (_, alpha) in enumerate(wanted.values()):
         k = F.col("_row") - F.col(f"_l{i}")
         w = F.pow(F.lit(1 - alpha), k)
         first = F.col(f"_l{i}").isNull()
         fall = F.when(first, 0.0).otherwise(F.log(w + alpha) - k * math.log(1 - alpha))
-        gain = F.when(first, F.col(f"_x{i}")).otherwise(alpha * F.col(f"_x{i}") / (w + alpha))
+        gain = F.when(first, 0.0).otherwise(alpha * (F.col(f"_x{i}") - F.col(f"_o{i}")) / (w + alpha))
         steps += [F.when(F.col(f"_x{i}").isNotNull(), fall).alias(f"_f{i}"), gain.alias(f"_g{i}")]
     out = out.select("*", *steps)
     out = out.select("*", *[F.sum(f"_f{i}").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_c{i}") for i in range(len(wanted))])
@@ -86,7 +87,7 @@ def attach_prior_ewm(df: DataFrame, wanted: dict[str, tuple[Column | str, float]
     for i in range(len(wanted)):
         carried = F.first(F.when(F.col(f"_b{i}.p") < F.col(f"_p{i}"), F.col(f"_b{i}"))).over(stretch[i])
         mean = F.col(f"_t{i}") + F.coalesce(carried["t"] * F.exp(carried["c"] - F.col(f"_c{i}")), F.lit(0.0))
-        out = out.withColumn(f"_y{i}", F.when(F.col(f"_x{i}").isNotNull(), mean))
+        out = out.withColumn(f"_y{i}", F.when(F.col(f"_x{i}").isNotNull(), F.col(f"_o{i}") + mean))
     return out.select(*df.columns, *[F.last(f"_y{i}", ignorenulls=True).over(before(line)).alias(name) for i, name in enumerate(wanted)])
 
 
