@@ -33,9 +33,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def walk_forward_trees(
     df: DataFrame, xs: Sequence[str], target: str, observed: Column, baseline: str, out: str, points: str, low: float = 0.0, high: float = 20.0,
-    trees: int = 20, depth: int = 4, seed: int = 17, strata: str | None = None,
+    trees: int = 20, depth: int = 4, seed: int = 17, strata: str | None = None, labels: tuple[float, float] | None = None,
 ) -> DataFrame:
-    """Boosted trees per epoch (and stratum) on earlier epochs, recency and consequence weighted.
+    """Boosted trees per epoch (and stratum) on earlier epochs, recency and consequence weighted; labels are held in `labels`, if given.
 
     The first epoch keeps the baseline; unobserved rows are zero.
     """
@@ -50,8 +50,8 @@ def walk_forward_trees(
             if i == 0:
                 parts.append(here.withColumn(out, F.col(baseline)))
                 continue
-            train = _weighted(ready.where((F.col("epoch") < e) & observed & mine), e, points)
-            model = GBTRegressor(featuresCol="_x", labelCol=target, weightCol="_w", predictionCol=out, maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed + e).fit(train)
+            train = _weighted(ready.where((F.col("epoch") < e) & observed & mine), e, points).withColumn("_label", clip(F.col(target).cast("double"), *(labels or ())))
+            model = GBTRegressor(featuresCol="_x", labelCol="_label", weightCol="_w", predictionCol=out, maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed + e).fit(train)
             parts.append(model.transform(here))
     joined = _union(parts).drop("_x")
     return joined.withColumn(out, F.when(observed, clip(F.col(out).cast("double"), low, high)).otherwise(F.lit(0.0)))

@@ -36,7 +36,7 @@ def c10(spark, sf):
 @query("C19_walk_forward_trees")
 def c19(spark, sf):
     fp = settle(forecasts(spark, sf).select(*KEY, "epoch", "position", "slate", "points", "f_base", "f_exp", "f_price", F.col("n_prior").cast("double").alias("n_prior")))
-    out = m.walk_forward_trees(fp, ["f_base", "f_exp", "f_price", "n_prior"], "points", seen(), "f_base", "tree", "points", trees=8)
+    out = m.walk_forward_trees(fp, ["f_base", "f_exp", "f_price", "n_prior"], "points", seen(), "f_base", "tree", "points", high=14.0, trees=8, labels=(-2.0, 20.0))
     return out.select(*KEY, r6("tree").alias("tree"))
 
 
