@@ -199,20 +199,19 @@ def pair_dependence(df: DataFrame, keys: Sequence[str], entity: str, value: str,
     sums = {f"b_{k}": v for k, v in members(is_back).items()} | {f"f_{k}": v for k, v in members(~is_back).items()}
     prefix = ordered_prefix(rows, keys, entity, sums)
     seen = rows.join(prefix, [*keys, entity])
-    parts = []
-    for label, mine, theirs in (("back", True, "b"), ("front", False, "f"), ("mixed", True, "f"), ("mixed", False, "b")):
-        own = is_back if mine else ~is_back
+
+    def part(label: str, theirs: str) -> Column:
         later = F.col(f"{theirs}_n_total") - F.col(f"{theirs}_n_before") - F.col(f"{theirs}_n")
-        part = seen.where(own).select(
-            F.lit(label).alias("class"), later.alias("left_n"), F.col(f"{theirs}_n_before").alias("right_n"),
-            "_z", (F.col("_z") * F.col(f"{theirs}_z_before")).alias("product"),
+        return F.struct(
+            F.lit(label).alias("class"), later.alias("left_n"), F.col(f"{theirs}_n_before").alias("right_n"), F.col("_z"),
+            (F.col("_z") * F.col(f"{theirs}_z_before")).alias("product"),
             F.when(F.col("_z") < -0.5, F.col(f"{theirs}_lo_before")).otherwise(0).alias("down"),
             F.when(F.col("_z") > 0.5, F.col(f"{theirs}_hi_before")).otherwise(0).alias("up"),
         )
-        parts.append(part)
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
+
+    # a row has a part in the pairs of its own class and in the mixed ones; one pass gives both
+    own = F.when(is_back, F.array(part("back", "b"), part("mixed", "f"))).when(~is_back, F.array(part("front", "f"), part("mixed", "b")))
+    merged = seen.select(F.explode(own).alias("_part")).select("_part.*")
     n, z = F.col("pairs"), F.col("_z")
     total = merged.groupBy("class").agg(
         F.sum("right_n").alias("pairs"), F.sum(F.col("left_n") * z).alias("sl"), F.sum(F.col("right_n") * z).alias("sr"),

@@ -143,9 +143,9 @@ def materialize(df: DataFrame, path: str, tag: str, partition: str, columns: Seq
     """Write a table by partition, or reuse the one written from the same input under the same tag.
 
     Input and tag are compared by the fingerprint of `columns`, which names the table's folder. It is noted beside the data once these are
-    complete, so a write that broke off is done again. Readers prune partitions and columns.
+    complete, so a write that broke off is done again. Readers prune partitions and columns. The input is evaluated once.
     """
-    spark = df.sparkSession
+    spark, df = df.sparkSession, settle(df, "feature-rows")
     noted = fingerprint(df, columns, f"{tag}:{','.join(df.columns)}").select("fingerprint", F.sha2("fingerprint", 256).alias("name")).first()
     data, side = f"{path}/{noted['name']}/data", f"{path}/{noted['name']}/fingerprint"
     recorded = stored(spark, side)

@@ -11,7 +11,7 @@ from causal_panel.plans import all_queries
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 SOME = (
     "S1_ S3_ S7_ P4_ P9_ P12_ P23_ P36_ J3_ J4_ J6_profile J8_ J11_ J13_ J14_ G1_ G5_ G7_ G10_ G18_ G20_choose G26_ "
-    "E3_ E6_ E8_ E13_ E15_ E20_ E23_ T2_ U3_ C1_ C3_ C6_ C9_ C11_ C12_expert_weights_delayed C13_ C15_ C22_ D3_ D10_ D14_best_d K1_deadline_gate_stream K3_status_overlay_stream K4_"
+    "E3_ E6_ E8_ E13_ E15_ E20_ E23_ T2_ U3_ C1_ C3_ C6_ C9_ C11_ C12_expert_weights_delayed C13_ C15_ C22_ C10_ C14_ C20_ D3_ D10_ D12_ D13_ E26_ J12_ D14_best_d K1_deadline_gate_stream K3_status_overlay_stream K4_"
 ).split()
 QUERIES = {
     k: q for k, q in all_queries().items() if q.sql and (os.environ.get("ALL_QUERIES") or any(k.startswith(s) for s in SOME))
