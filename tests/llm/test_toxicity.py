@@ -57,17 +57,39 @@ def test_a_step_against_brute_force():
     draw = np.random.default_rng(2)
     n, width = 40, 6
     row, col = np.nonzero(draw.random((n, width)) < 0.5)
-    for prior, share in ((0.3, 0.3), (0.9, 0.1)):
-        positive = draw.random(n) < share
+    for prior, share, sampled in ((0.3, 0.3, 1.0), (0.9, 0.1, 1.0), (0.2, 0.3, 0.6), (0.9, 0.3, 0.5)):
+        positive, drawn = draw.random(n) < share, draw.random(n) < sampled
 
         def risk(weight, bias, part):
             z = bias + np.bincount(row, weight[col], n)
-            clean = np.logaddexp(0, z).mean() - prior * np.logaddexp(0, z[positive]).mean()
+            clean = np.logaddexp(0, z[drawn]).mean() - prior * np.logaddexp(0, z[positive]).mean()
             return (prior * np.logaddexp(0, -z[positive]).mean() + clean) if part == "whole" else -clean
 
         start = np.log(prior / (1 - prior))
         clean_risk = -risk(np.zeros(width), start, "clean")
         part = "whole" if clean_risk >= 0 else "clean"
         slope = [(risk(np.eye(width)[k] * 1e-6, start, part) - risk(np.eye(width)[k] * -1e-6, start, part)) / 2e-6 for k in range(width)]
-        weight, _ = toxicity._descend(row, col, width, positive, prior, 1, 0.5, 0.0)
+        weight, _ = toxicity._descend(row, col, width, positive, prior, 1, 0.5, 0.0, drawn)
         assert (np.sign(weight) == -np.sign(slope)).all() and np.allclose(np.abs(weight), 0.5, atol=1e-3)  # the first step of each weight is `rate` long
+
+
+def test_clean_risk_below_zero_is_met(documents, spark, monkeypatch):
+    """On the given tables, documents of all kinds as unlabelled texts, both branches of the risk are taken."""
+    real, seen = toxicity._slope, []
+    monkeypatch.setattr(toxicity, "_slope", lambda *given: seen.append(real(*given)[1]) or real(*given))
+    toxic = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("toxic = 1").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    words = [sorted(toxicity.words_of(r.text)) for r in rows]
+    code = {w: k for k, w in enumerate(sorted(set().union(*words)))}
+    confirmed = np.array([r.doc_id in toxic for r in rows])
+    toxicity.fit(np.append(0, np.cumsum([len(w) for w in words])), np.array([code[w] for x in words for w in x]), confirmed, 0.12, ~confirmed | (np.arange(len(rows)) % 2 == 0))
+    assert any(seen) and not all(seen)
+
+
+def test_labels_of_unlabelled_texts_are_not_read(documents, spark):
+    """Which rows are labelled clean plays no part but for their number."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").filter(toxicity.learnable(F.col("doc_id")))
+    others = labels.withColumn("doc_id", F.when(F.col("toxic") == 1, F.col("doc_id")).otherwise(F.col("doc_id") + 1_000_000))
+    n, m = (x.filter(toxicity.learnable(F.col("doc_id"))).count() for x in (labels, others))
+    prior = labels.filter("toxic = 1").count() / max(n, m)
+    assert toxicity.train(documents, labels, prior=prior) == toxicity.train(documents, others, prior=prior)
