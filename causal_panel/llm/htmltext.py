@@ -39,13 +39,31 @@ BOILERPLATE_WORDS = frozenset(
     "dialog disclaimer disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion "
     "recommend recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
-NAMED_BOILERPLATE, NAMED_CONTENT, LINKED, ALONE = -10.0, 2.0, -4.0, -0.2
+#: Of the boilerplate words, those that also name subjects or parts of an article: they count alone or among words for places and boxes only.
+WEAK_WORDS = frozenset("alert banner dialog disclaimer form header login notice notices recommend recommended related reply respond search share sharing skip social".split())
+PLACE_WORDS = frozenset(
+    "area bar block bottom box btn button buttons col column container content global group icons inner items left link links list main media outer page panel posts "
+    "articles stories right row section site top wrap wrapper".split())
+#: A class that begins so tells of a state of the element, not what it is.
+STATE_WORDS = frozenset("has is no not with without".split())
+NAMED_BOILERPLATE, NAMED_CONTENT, LINKED = -10.0, 2.0, -4.0
 #: What all containers of a block may say for content together, so that one word against it is heard inside an article, too.
 MOST_CONTENT = 3.5
 #: Smoothness of neighbours in page order and of the next block in the same container.
 ORDER_TIE, CONTAINER_TIE = 1.2, 0.6
 
 
+def _named(token: str) -> float:
+    """Evidence of one class, id or role. Words of an article's own parts (`entry-header`, `related-work`) are no boilerplate."""
+    words = [w.lower() for w in _NAME_PARTS.findall(token)]
+    if not words or words[0] in STATE_WORDS:
+        return 0.0
+    against = [w for w in words if w in BOILERPLATE_WORDS]
+    if any(w not in WEAK_WORDS for w in against) or against and all(w in BOILERPLATE_WORDS or w in PLACE_WORDS for w in words):
+        return NAMED_BOILERPLATE
+    return NAMED_CONTENT if any(w in CONTENT_WORDS for w in words) else 0.0
+
+
 def _attributes(text: str) -> float:
     """Evidence of an element's own attributes."""
     score = 0.0
@@ -54,19 +72,26 @@ def _attributes(text: str) -> float:
         if name.lower() == "hidden" or name.lower() == "aria-hidden" and value == "true" or name.lower() == "style" and re.search(r"display\s*:\s*none", value):
             return NAMED_BOILERPLATE
         if name.lower() in ("class", "id", "role"):
-            words = {w.lower() for w in _NAME_PARTS.findall(value)}
-            score = min(score, NAMED_BOILERPLATE) if words & BOILERPLATE_WORDS else score or NAMED_CONTENT if words & CONTENT_WORDS else score
+            for token in value.split():
+                own = _named(token)
+                score = min(score, own) if own < 0 else score or own
     return score
 
 
 class _Page:
-    """Blocks of a page in order: text, evidence and the path of their containers."""
+    """Blocks of a page in order: text, evidence of its containers, their path, and the share of its text in links.
+
+    What speaks against a container (its tag or name) is void if it is the page itself, a form that holds most of the page's text, or if most of
+    that text is in one article or main part inside of it.
+    """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, float, tuple[int, ...]]] = []
-        self.stack: list[tuple[str, int, float]] = []
+        self.blocks: list[tuple[str, float, tuple[int, ...], float]] = []
+        self.found: list[tuple[str, tuple[int, ...], float]] = []
+        self.nodes: list[tuple[int, str, float]] = [(0, "", 0.0)]  # parent, tag, evidence of the attributes; 0 stands for the page
+        self.stack: list[tuple[str, int]] = []
         self.parts: list[str] = []
-        self.linked, self.in_link, self.n = 0, 0, 0
+        self.linked, self.in_link = 0, 0
         at, unclosed = 0, set()
         while at < len(source):
             m = _TAG.match(source, at)
@@ -89,11 +114,36 @@ class _Page:
                 else:
                     self._open(name, m["attrs"])
         self._flush()
+        weighed = self._weigh()
+        self.blocks = [(text, weighed[path[-1]] if path else 0.0, path, linked) for text, path, linked in self.found]
+
+    def _weigh(self) -> list[float]:
+        """Evidence of each element and all that it stands in."""
+        held, void = [0] * len(self.nodes), [False] * len(self.nodes)
+        for text, path, _ in self.found:
+            held[path[-1] if path else 0] += len(text)
+        for k in range(len(self.nodes) - 1, 0, -1):
+            held[self.nodes[k][0]] += held[k]
+        for k, (parent, name, _) in enumerate(self.nodes):
+            if 2 * held[k] <= held[0]:
+                continue
+            void[k] = void[k] or name == "form"
+            while name in ("article", "main") and parent and not void[parent]:
+                void[parent] = True
+                parent = self.nodes[parent][0]
+        weighed = [0.0] * len(self.nodes)
+        for k, (parent, name, named) in enumerate(self.nodes[1:], 1):
+            above, own = weighed[parent], TAG_EVIDENCE.get(name, 0.0)
+            if name == "header" and (above > 0 or named > 0):  # an article's own head
+                own = 0.0
+            own += named if name not in ("html", "body") else 0.0
+            weighed[k] = min(MOST_CONTENT, above + (max(0.0, own) if void[k] else own))
+        return weighed
 
     def _flush(self) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split())
         if text:
-            self.blocks.append((text, self.stack[-1][2] if self.stack else 0.0, tuple(x[1] for x in self.stack)) + (self.linked / max(1, sum(map(len, self.parts))),))
+            self.found.append((text, tuple(x[1] for x in self.stack), self.linked / max(1, sum(map(len, self.parts)))))
         self.parts, self.linked = [], 0
 
     def _open(self, name: str, attrs: str) -> None:
@@ -109,12 +159,8 @@ class _Page:
         if self.stack and name in ENDED_BY.get(self.stack[-1][0], ()):
             self.stack.pop()
         if name not in VOID:
-            self.n += 1
-            above = self.stack[-1][2] if self.stack else 0.0
-            own = TAG_EVIDENCE.get(name, 0.0)
-            if name == "header" and above > 0:  # an article's own head
-                own = 0.0
-            self.stack.append((name, self.n, min(MOST_CONTENT, above + own + (_attributes(attrs) if attrs else 0.0))))
+            self.nodes.append((self.stack[-1][1] if self.stack else 0, name, _attributes(attrs) if attrs else 0.0))
+            self.stack.append((name, len(self.nodes) - 1))
 
     def _close(self, name: str) -> None:
         if name == "a":
@@ -129,7 +175,7 @@ class _Page:
 
 def evidence(text: str, containers: float, linked: float) -> float:
     """The classifier's evidence that a block is content."""
-    score = containers + LINKED * linked + ALONE + min(len(text), 120) / 60
+    score = containers + LINKED * linked + min(len(text), 120) / 60
     return score - (1.0 if "©" in text else 0.0)
 
 

@@ -64,6 +64,27 @@ def test_boilerplate():
         "A title & more\nFirst paragraph with a bold word… and a line.\nShort.\nSecond <paragraph> of the text which is long enough.\nOne item\nAnother item")
 
 
+LONG = "A sentence of the article which is long enough to be told as such. " * 4
+
+
+@pytest.mark.parametrize(("page", "wanted"), [
+    ("<div>Hi all</div>", "Hi all"),
+    (f'<div class="article-header"><h1>Title</h1></div><article><p>{LONG}</p></article>', f"Title\n{LONG.strip()}"),
+    (f'<header class="entry-header"><h1>Title</h1></header><article><p>{LONG}</p></article>', f"Title\n{LONG.strip()}"),
+    (f'<body><form id="form1"><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></form></body>', f"Title\n{LONG.strip()}\n{LONG.strip()}"),
+    (f'<body class="no-sidebar single-post"><article><p>{LONG}</p></article></body>', LONG.strip()),
+    (f'<body class="with-header has-comments"><article><p>{LONG}</p></article></body>', LONG.strip()),
+    (f'<body class="sidebar"><p>{LONG}</p></body>', LONG.strip()),
+    (f'<div class="social-science"><p>{LONG}</p></div>', LONG.strip()),
+    (f'<article><p>{LONG}</p><section class="related-work"><h2>Related work</h2><p>{LONG}</p></section></article>', f"{LONG.strip()}\nRelated work\n{LONG.strip()}"),
+    (f'<div class="site-sidebar-wrapper"><main><p>{LONG}</p></main><div class="sidebar">Other stories of today that are here</div></div>', LONG.strip()),
+    (f'<main><p>{LONG}</p></main><div class="related-posts"><article><p>A teaser of another story</p></article></div><div class="social links">Follow us</div>', LONG.strip()),
+    (f'<main><p>{LONG}</p><form class="search-form">Search the site for it</form><div class="post-comments"><p>What a fine text this is, thank you</p></div></main>', LONG.strip()),
+])
+def test_names_are_weighed_by_element(page, wanted):
+    assert htmltext.main_text(page) == wanted
+
+
 def test_odd_html(odd_pages, spark):
     found = htmltext.extract_text(odd_pages).collect()
     assert len(found) == 8 and sorted(r.n_chars for r in found)[:2] == [0, 0]
