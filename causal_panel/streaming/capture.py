@@ -7,11 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.scoring import availability_overlay
 from ..sources.scratch import settle
@@ -75,34 +72,25 @@ def run_gate(stream: DataFrame, deadlines: DataFrame, keys: Sequence[str], accep
 def run_lock_once(stream: DataFrame, keys: Sequence[str], order: Sequence[str], locked: str, rejected: str, checkpoint: str) -> None:
     """Lock the first decision per key; later ones, however late, are kept apart as rejected.
 
-    Of a micro-batch the first by `order` (nulls last) is taken, unless an earlier batch has locked the key. That a key is locked is its state in the
-    stream's checkpoint, so a micro-batch looks at its own keys, however many were locked before. A key's rows pass through its task in portions, of
-    which one row is held. Each micro-batch writes its own folder, and state belongs to a batch, so a batch that is tried again replaces itself.
+    Of a micro-batch the first by `order` (nulls last) is taken, unless an earlier batch has locked the key. The keys met so far are Spark's own
+    deduplication state in the stream's checkpoint, so a micro-batch looks at its own keys, however many were locked before: beside its rows it
+    brings one mark per key that is new. Each micro-batch writes its own folder, and state belongs to a batch, so a batch that is tried again
+    replaces itself.
     """
-    names, by = stream.columns, list(order)
-
-    def decide(key: tuple, portions, state: GroupState):
-        best = None
-        for rows in portions:
-            rows = rows.set_axis(names, axis=1)
-            if not state.exists and len(rows):
-                both = rows if best is None else pd.concat([best, rows], ignore_index=True)
-                first = both.sort_values(by, kind="stable", na_position="last").index[:1]
-                best, rows = both.loc[first], both.drop(first)
-            yield rows.assign(_locked=False)
-        if best is not None:
-            yield best.assign(_locked=True)
-            state.update((True,))
-
-    shape = StructType([*stream.schema.fields, StructField("_locked", BooleanType())])
-    decided = stream.groupBy(*keys).applyInPandasWithState(decide, shape, "locked boolean", "append", GroupStateTimeout.NoTimeout)
+    new = stream.select(*keys).dropDuplicates(list(keys)).select(
+        *[F.col(f.name) if f.name in keys else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema], F.lit(True).alias("_new"))
+    marked = stream.withColumn("_new", F.lit(False)).union(new)  # both sides read one source, so marks come with their rows
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch = settle(batch, "lock-batch")
-        batch.where("_locked").drop("_locked").write.mode("overwrite").parquet(f"{locked}/batch={number}")
-        batch.where("not _locked").drop("_locked").write.mode("overwrite").parquet(f"{rejected}/batch={number}")
-
-    run_batches(decided, checkpoint, handle)
+        batch = settle(batch.withColumn("_row", F.monotonically_increasing_id()), "lock-batch")  # numbers are fixed by writing them
+        place = F.struct("_new", *[c for o in order for c in (F.col(o).isNull(), F.col(o))], "_row")
+        first = batch.groupBy(*keys).agg(F.min(place).alias("_first"), F.max("_new").alias("_free"))  # marks come after rows
+        first = first.where("_free").select(F.col("_first._row").alias("_row"), F.lit(True).alias("_locked"))
+        decided = settle(batch.where("not _new").join(first, "_row", "left").select(*stream.columns, F.col("_locked").isNotNull().alias("_locked")), "locked-batch")
+        decided.where("_locked").drop("_locked").write.mode("overwrite").parquet(f"{locked}/batch={number}")
+        decided.where("not _locked").drop("_locked").write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+
+    run_batches(marked, checkpoint, handle)
 
 
 def lock_once_batch(decisions: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:

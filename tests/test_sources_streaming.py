@@ -172,3 +172,18 @@ def test_locks_read_their_own_keys_only(spark, tmp_path):
     locked = {(r.k, r.what) for r in spark.read.parquet(f"{tmp_path}/locked").collect()}
     assert locked == {(k, "d0") for k in range(4)} | {(k, f"d{k - 3}") for k in range(4, 15)}
     assert spark.read.parquet(f"{tmp_path}/rejected").count() == 12 * 6 - 15
+
+
+def test_locks_of_many_keys_need_no_python(spark, tmp_path):
+    """A key costs no call into Python: its lock is Spark's own deduplication state. Equal rows, null keys and null instants keep their counts."""
+    rows = spark.range(30_000).selectExpr("if(id % 10 = 0, null, id div 3) as k", "if(id % 7 = 0, null, (id * 37) % 101) as t", "id div 2 as what")
+    (rows := rows.unionByName(rows)).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    capture.run_lock_once(stream, ["k"], ["t", "what"], f"{tmp_path}/locked", f"{tmp_path}/rejected", f"{tmp_path}/checkpoint")
+    state = spark.read.format("state-metadata").load(f"{tmp_path}/checkpoint").select("operatorName").distinct().collect()
+    assert [r.operatorName for r in state] == ["dedupe"]
+    assert [f.name for f in (tmp_path / "checkpoint" / "sources").iterdir()] == ["0"]  # one source: rows and marks come from the same listing
+    locked, rejected = (spark.read.parquet(f"{tmp_path}/{x}").drop("batch") for x in ("locked", "rejected"))
+    first = rows.groupBy("k").agg(F.min(F.struct(F.col("t").isNull().alias("late"), "t", "what")).alias("f")).selectExpr("k", "f.t", "f.what")
+    assert locked.exceptAll(first).count() == 0 and first.exceptAll(locked).count() == 0
+    assert rows.exceptAll(locked.unionByName(rejected)).count() == 0 and locked.count() + rejected.count() == 60_000
