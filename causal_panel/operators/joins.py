@@ -326,7 +326,8 @@ def best_name_match(
 
     A score of .58 before the side bonus needs a shared pair of neighbouring letters (padded at
     both ends; single letters also meet any name holding them), so candidates come from an
-    equi-join on pairs of distinct names. Ties go to the smaller name, then side.
+    equi-join on pairs of distinct names. Questions of one name and side share their answer, which is found
+    once, as a minimum that tasks combine. Ties go to the smaller name, then side.
     """
     block = list(block)
     a = asked.select(*block, F.col(ask_id).alias("_id"), name_key(ask_name).alias("_short"), name_key(ask_side).alias("_as"))
@@ -341,14 +342,15 @@ def best_name_match(
     scored = near.withColumn("_sim", name_similarity(F.col("_short"), F.col("_full"))).where(
         F.col("_sim") >= accept - same_side
     )
-    found = a.join(scored, [*block, "_short"]).join(k, [*block, "_full"])
+    found = a.select(*block, "_short", "_as").distinct().join(scored, [*block, "_short"]).join(k, [*block, "_full"])
     together = F.contains("_ks", F.col("_as")) | F.contains("_as", F.col("_ks"))
     score = F.col("_sim") + F.when(together, same_side).otherwise(0.0)
-    order = F.struct(score.alias("s"))
-    w = Window.partitionBy(*block, "_id").orderBy(order.desc(), F.col("match"), F.col("match_side"))
-    best = found.withColumn("_score", score).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
-    return best.where(F.col("_score") >= accept).select(
-        *block, F.col("_id").alias(ask_id), "match", "match_side", F.least(F.col("_score"), F.lit(1.0)).alias("score")
+    order = F.struct((-score).alias("_minus"), F.col("match"), F.col("match_side"))
+    best = found.groupBy(*block, "_short", "_as").agg(F.min(order).alias("_b")).select(*[F.col(c).alias(f"_of_{c}") for c in (*block, "_short", "_as")], "_b")
+    same = [F.col(c) == F.col(f"_of_{c}") for c in (*block, "_short")] + [F.col("_as").eqNullSafe(F.col("_of__as"))]
+    answers = a.join(best, same).groupBy(*block, "_id").agg(F.min("_b").alias("_b"))
+    return answers.where(-F.col("_b._minus") >= accept).select(
+        *block, F.col("_id").alias(ask_id), "_b.match", "_b.match_side", F.least(-F.col("_b._minus"), F.lit(1.0)).alias("score")
     )
 
 

@@ -240,3 +240,16 @@ def test_quantile_bins_follow_qcut(spark):
     pdf = crowd()
     got = aggs.quantile_bins(spark.createDataFrame(pdf), "f", 5, "bin").toPandas().sort_values("id")["bin"].to_numpy()
     assert (got == pd.qcut(pdf["f"], 5, labels=False, duplicates="drop").to_numpy()).all()
+
+
+def test_equal_questions_are_matched_once(spark):
+    """Ten thousand questions of one name and side meet each known name once, whatever their number; null sides and repeated ids keep their answer."""
+    known = spark.createDataFrame([("x", "blue ring", f"b{k}") for k in range(40)] + [("x", "blue rung", "b1")], "t string, name string, brand string")
+    asked = spark.range(10_000).selectExpr("'x' as t", "id", "'blue rin' as short", "'b7' as brand")
+    odd = spark.createDataFrame([("x", 10_000, "blue ring", None), ("x", 10_001, "zzz", "b1"), ("x", 10_002, "zzz", "b1"), ("x", 10_002, "blue rung", "b1")], "t string, id long, short string, brand string")
+    out = joins.best_name_match(asked.unionByName(odd), known, ["t"], "id", "short", "brand", "name", "brand")
+    rows = {r.id: (r.match, r.match_side, round(r.score, 6)) for r in out.collect()}
+    assert len(rows) == 10_002 and {rows[k] for k in range(10_000)} == {("blue ring", "b7", 1.0)}
+    assert rows[10_000] == ("blue ring", "b0", 1.0) and rows[10_002] == ("blue rung", "b1", 1.0)
+    plan = out._jdf.queryExecution().toString()
+    assert "row_number" not in plan and plan.count("partial_min") >= 1  # no group of a question's candidates reaches one task whole
