@@ -1,8 +1,9 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of at least 0.8, in groups.
 
-MinHash bands propose, exact sets decide. Texts of one shingle set are one node. Two nodes of similarity s share one of `BANDS` bands of `ROWS`
-least hashes with a chance of 1 - (1 - s^ROWS)^BANDS: a pair at 0.8 is missed three times in a million, a closer one less often. Nodes
-that reach each other by bands come to one task, which compares the sets themselves, so no pair below the similarity is linked. There a
+Fingerprints and MinHash bands propose, exact sets decide. Texts of one shingle set are one node. The SimHash of its shingles is linked to
+others of 4 or fewer differing bits by op3's self-join over binary tries; pairs at 0.8 differ in some ten bits, where no trie can tell them from
+strangers. So bands add the rest: two nodes of similarity s share one of `BANDS` bands of `ROWS` least hashes with a chance of
+1 - (1 - s^ROWS)^BANDS: a pair at 0.8 is missed three times in a million, a closer one less often. Nodes that reach each other by either come to one task, which compares the sets themselves, so no pair below the similarity is linked. There a
 leader's similarities to all sets are counted at once from an inverted index; the members of two leaders' groups are only compared
 while the groups are apart and the triangle inequality of 1 - similarity lets them meet. Pairs never leave a task.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .simhash import connect
+from .simhash import connect, links
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -46,6 +47,33 @@ def bands_of(hashes: np.ndarray) -> list[int]:
     return np.array(digests, np.uint64).view(np.int64).tolist()
 
 
+def fingerprint_of(hashes: np.ndarray) -> int | None:
+    """The SimHash of a shingle set as a signed 64-bit number: a bit is 1 if set in over half the hashes. None for the empty set."""
+    if not len(hashes):
+        return None
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), STRETCH):
+        counts += np.unpackbits(hashes[k : k + STRETCH].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes)).view(">u8").astype(np.uint64).view(np.int64)[0])
+
+
+def by_fingerprints(nodes: DataFrame) -> DataFrame:
+    """(a, b): links that join all `nodes` (node, fp) whose fingerprints reach each other by 4 or fewer differing bits."""
+    held = nodes.filter(F.col("fp").isNotNull()).select("node", "fp")
+    leads = settle(held.groupBy("fp").agg(F.min("node").alias("lead")), "set-fingerprints")
+    equal = held.join(leads, "fp").filter("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    found = links(leads.select("fp")).toDF("fa", "fb")
+    one, other = leads.toDF("fa", "a"), leads.toDF("fb", "b")
+    return equal.unionByName(found.join(one, "fa").join(other, "fb").select("a", "b"))
+
+
+def by_bands(nodes: DataFrame) -> DataFrame:
+    """(a, b): links that join all `nodes` (node, bands) that reach each other by common bands."""
+    ends = nodes.select("node", F.explode("bands").alias("band"))
+    met = ends.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead != last").select("band", "lead")
+    return ends.join(met, "band").filter("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+
+
 def groups(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[int]:
     """Root index of each of the distinct sets (not empty), linked at `similarity` or more; transitive."""
     m, sizes = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
@@ -96,19 +124,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gives an empty result.
     """
 
-    @F.pandas_udf("node long, bands array<long>")
+    @F.pandas_udf("node long, bands array<long>, fp long")
     def marks(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(t) for t in texts]
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"node": nodes, "bands": [bands_of(s) for s in sets]})
+        return pd.DataFrame({"node": nodes, "bands": [bands_of(s) for s in sets], "fp": pd.array([fingerprint_of(s) for s in sets], "Int64")})
 
     name = F.xxhash64(F.col(text_col))
     marked = docs.select(F.col(id_col).alias("id"), name.alias("name"), marks(F.col(text_col)).alias("mark"))
-    marked = settle(marked.select("id", "name", "mark.node", "mark.bands"), "shingle-bands")
-    nodes = settle(marked.groupBy("node").agg(F.min("id").alias("least"), F.min("name").alias("name"), F.first("bands").alias("bands")), "shingle-sets")
-    ends = nodes.select("node", F.explode("bands").alias("band"))
-    met = ends.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead != last").select("band", "lead")
-    together = connect(ends.join(met, "band").filter("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    marked = settle(marked.select("id", "name", "mark.node", "mark.bands", "mark.fp"), "shingle-bands")
+    nodes = settle(marked.groupBy("node").agg(F.min("id").alias("least"), F.min("name").alias("name"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "shingle-sets")
+    together = connect(by_fingerprints(nodes).unionByName(by_bands(nodes)))
     wanted = nodes.select("node", F.col("name").alias("_name")).join(together.select("node", F.col("root").alias("bucket")), "node")
     texts = docs.select(name.alias("name"), F.col(text_col).alias("text"))
     held = settle(texts.join(wanted, F.col("name") == F.col("_name")).select("bucket", "node", "text").dropDuplicates(["node"]), "proposed-texts")

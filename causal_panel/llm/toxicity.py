@@ -4,7 +4,7 @@ Positives are texts that a label confirms as toxic; unlabelled examples are a sa
 which is read. The class prior p is the share of toxic ones among the labelled rows that may be learned from, counted over all of them. The risk of a
 classifier is p R+(positives) + max(0, R-(unlabelled) - p R-(positives)): the second part estimates the risk on clean texts and can't fall
 below zero in truth, so where an estimate does, the step goes back up. Numpy classifiers (logistic loss, one weight per word, soft-thresholded)
-are fitted side by side in Spark tasks, each on the sample less one fold, and scored as their mean.
+are fitted one after another in Spark tasks, each on the sample less one fold, and scored as their mean.
 
 The sample is bounded by `max_positives` confirmed texts and about `max_unlabelled` others, the model by `max_words` weights; scoring reads every
 whole text.
@@ -27,6 +27,8 @@ from .common import settle, share
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Confirmed and unlabelled texts that are read for a fit, classifiers that share them, and words that a model may hold.
 MAX_POSITIVES, MAX_UNLABELLED, MEMBERS, MAX_WORDS = 8_000, 16_000, 3, 50_000
+#: (text, word) places that a step looks at together.
+STRETCH = 1 << 19
 
 
 def words_of(text: str | None) -> set[str]:
@@ -40,21 +42,36 @@ def fit(starts: np.ndarray, codes: np.ndarray, positive: np.ndarray, prior: floa
     second one with the soft threshold `shrink` fits the weights of those alone. The threshold of the first is `select` x prior / sqrt(confirmed
     texts): so many standard errors of a slope, less of them for words that few texts hold, whatever the size of the sample.
     """
-    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    known, col, seen = np.unique(codes, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
+    named = pa.array(codes, pa.int64()).dictionary_encode()  # hashed: sorting takes five times the memory
+    known, col = named.dictionary.to_numpy(), named.indices.to_numpy()
+    seen = _count(col, len(known))
     often = np.flatnonzero(seen >= min_rows)
     telling = often[np.lexsort((known[often], -seen[often]))[:max_words]]
     weights: dict[int | None, float] = {}
     for sparse in (select * prior / math.sqrt(max(1, int(positive.sum()))), shrink):
-        place = np.full(len(known), -1)
-        place[telling] = np.arange(len(telling))
-        use = place[col] >= 0
-        weight, bias = _descend(row[use], place[col[use]], len(telling), positive, prior, rounds, rate, sparse, unlabelled)
+        place = np.full(len(known), -1, np.int32)
+        place[telling] = np.arange(len(telling), dtype=np.int32)
+        at = place[col]
+        use = at >= 0
+        weight, bias = _descend(row[use], at[use], len(telling), positive, prior, rounds, rate, sparse, unlabelled)
         weights = {None: float(bias)} | {int(known[t]): float(w) for t, w in zip(telling, weight, strict=True) if w}
         telling = telling[weight != 0]
     return weights
 
 
+def _stretches(n: int) -> Iterator[slice]:
+    return (slice(k, k + STRETCH) for k in range(0, n, STRETCH))
+
+
+def _count(at: np.ndarray, n: int, value: np.ndarray | None = None, of: np.ndarray | None = None) -> np.ndarray:
+    """How often each of 0..n-1 is in `at`, or the sums of value[of] there; temporary arrays are as long as a stretch only."""
+    total = np.zeros(n, np.int64 if value is None else np.float64)
+    for s in _stretches(len(at)):
+        total += np.bincount(at[s], None if value is None else value[of[s]], n)
+    return total
+
+
 def _slope(z: np.ndarray, positive: np.ndarray, drawn: np.ndarray, prior: float) -> tuple[np.ndarray, bool]:
     """The step's direction in each text's log-odds z, and whether it follows the whole risk or goes back up because the clean part is below zero."""
     n_positive, n_drawn = int(positive.sum()), max(1, int(drawn.sum()))
@@ -70,8 +87,8 @@ def _descend(row: np.ndarray, col: np.ndarray, width: int, positive: np.ndarray,
     drawn = np.ones(n, bool) if unlabelled is None else unlabelled
     weight, bias, seen_w, seen_b = np.zeros(width), math.log(prior / (1 - prior)), np.zeros(width), 0.0
     for _ in range(rounds):
-        slope, _ = _slope(bias + np.bincount(row, weight[col], n), positive, drawn, prior)
-        by_word, by_bias = np.bincount(col, slope[row], width), slope.sum()
+        slope, _ = _slope(bias + _count(row, n, weight, col), positive, drawn, prior)
+        by_word, by_bias = _count(col, width, slope, row), slope.sum()
         seen_w, seen_b = seen_w + by_word**2, seen_b + by_bias**2
         step = rate / (np.sqrt(seen_w) + 1e-8)
         weight = weight - step * by_word
@@ -107,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = settle(sample, "sampled-words")
     coded = sample.select("fold", "positive", "drawn", F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
     fits = []
-    for m in range(members):  # a task each, which holds numbers only
+    for m in range(members):  # a task each, which holds numbers only, and a job each, so that no executor holds two
         shares = coded.filter(F.col("fold") != m) if members > 1 else coded
 
         def member(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 model = fit(np.append(0, np.cumsum(lengths)), codes, positive, share_toxic, drawn)
                 yield pa.RecordBatch.from_arrays([pa.array(list(model), pa.int64()), pa.array(list(model.values()), pa.float64())], names=["code", "weight"])
 
-        fits.append(shares.repartition(1).mapInArrow(member, "code long, weight double").withColumn("member", F.lit(m)))
+        fits.append(settle(shares.repartition(1).mapInArrow(member, "code long, weight double").withColumn("member", F.lit(m)), "weights"))
     weights = fits[0]
     for more in fits[1:]:
         weights = weights.unionByName(more)
-    weights = settle(weights, "weights")
     words = sample.select(F.explode("words").alias("word")).distinct().withColumn("code", F.xxhash64("word"))
     named = weights.join(words, "code", "left").select("member", F.coalesce("word", F.lit("")).alias("word"), "weight")
     models: dict[int, dict[str, float]] = {}

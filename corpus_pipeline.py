@@ -21,7 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard similarity of 0.8), that with the smallest id."""
+    """One document of each group of near copies (five-word shingles, Jaccard similarity of 0.8), that with the smallest id.
+
+    op3's fingerprints, linked by its trie self-join, propose; MinHash bands propose what differs in more bits; exact sets confirm."""
     return jaccard.one_of_each(docs)
 
 

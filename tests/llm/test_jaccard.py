@@ -80,3 +80,16 @@ def test_later_stages_follow(spark, documents):
     assert slow_groups(slow_sets(texts)) == list(range(len(texts)))
     mixed = {r.doc_id for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()}
     assert mixed and mixed <= {r.doc_id for r in docs.collect()}
+
+
+def test_fingerprints_alone_find_close_copies(spark, monkeypatch):
+    """op3's trie join is a step of this stage: without bands, copies with a word in some 400 changed still go."""
+    draw = random.Random(9)
+    rows = []
+    for _ in range(20):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.randrange(380, 420))]
+        rows += [" ".join(words), " ".join([*words[:-1], "changed"])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "by_bands", lambda nodes: nodes.selectExpr("node as a", "node as b").filter("false"))
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == set(range(0, 40, 2))
