@@ -2,17 +2,21 @@
 
 The fit of an epoch learns from all earlier epochs, aged by its decay. A step computes, in one pass over the rows, the gradient and the curvature
 of every fit that a row belongs to: products are summed inside each task before the shuffle, which carries one row per task and fit. The
-systems are small and solved on that table. Epochs are never looped over, and the number of passes is fixed.
+systems are small and solved on that table. Rows are laid out once as matrices of an epoch, as long as an Arrow batch. Epochs are never looped over, and the number of passes is fixed.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.scalars import first_match
 from ..sources.scratch import settle
@@ -106,20 +110,47 @@ def expanding_glms(rows: DataFrame, xs: Sequence[str], models: Sequence[Glm], ep
             out.append(old - np.linalg.solve(curve / total + np.diag(weight * penalty) + 1e-12 * np.eye(k), slope / total + weight * penalty * old))
         return pd.Series(out)
 
-    z = [F.lit(1.0), *_scaled(xs)]
-    line = F.least(_line(z[1:]), F.lit(30.0))
-    expected = _by_model(models, lambda m: {"gaussian": _line(z[1:]), "poisson": F.exp(line), "logistic": 1 / (1 + F.exp(-line))}[m.family])
-    curvature = _by_model(models, lambda m: {"gaussian": F.lit(1.0), "poisson": F.col("_e"), "logistic": F.col("_e") * (1 - F.col("_e"))}[m.family])
-    aged_load = _by_model(models, lambda m: F.pow(F.lit(m.decay), F.col("_target") - F.col("epoch") - 1) * loads[m.name])
-    label = _by_model(models, lambda m: F.col(m.y).cast("double"))
+    labels = [F.col(m.y).cast("double").alias(f"_y_{m.name}") for m in models]
+    plain = used.select(*cells, *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)], *labels, *[loads[m.name].alias(f"_w_{m.name}") for m in models])
+    numbers = plain.columns[len(cells):]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for own in table.select(cells).group_by(cells).aggregate([]).to_pylist():
+                keep = functools.reduce(pc.and_, [pc.is_null(table[c]) if v is None else pc.equal(table[c], v) for c, v in own.items()])
+                part = table.filter(keep)
+                flat = np.stack([part[c].to_numpy() for c in numbers]).astype(np.float64)  # a null is nan
+                fields = [batch.schema.field(c) for c in cells] + [pa.field("_flat", pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([own[c]], batch.schema.field(c).type) for c in cells] + [pa.array([flat.ravel()], pa.list_(pa.float64()))], schema=pa.schema(fields))
+
+    shape = StructType([*plain.select(*cells).schema.fields, StructField("_flat", ArrayType(DoubleType()))])
+    blocks = settle(plain.sortWithinPartitions(*cells).mapInArrow(pack, shape), "newton-rows")  # as many rows as an Arrow batch
+    order = {m.name: i for i, m in enumerate(models)}
+    families, decays = [m.family for m in models], [m.decay for m in models]
+    upper = np.triu_indices(k)
+
+    @F.pandas_udf("array<double>")
+    def products(flat: pd.Series, gap: pd.Series, model: pd.Series, mean: pd.Series, scale: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for values, past, name, m, s, weights in zip(flat, gap, model, mean, scale, b, strict=True):
+            i, table = order[name], np.asarray(values).reshape(len(numbers), -1)
+            y, load = table[k - 1 + i], table[k - 1 + len(order) + i]
+            use = ~np.isnan(y) & ~np.isnan(load)
+            z = np.vstack([np.ones(use.sum()), (table[: k - 1, use] - m[:, None]) / s[:, None]])
+            line = weights @ z
+            e = line if families[i] == "gaussian" else np.exp(np.minimum(line, 30)) if families[i] == "poisson" else 1 / (1 + np.exp(-np.minimum(line, 30)))
+            c = np.ones_like(e) if families[i] == "gaussian" else e if families[i] == "poisson" else e * (1 - e)
+            load = load[use] * decays[i] ** past
+            out.append(np.append(((z * (load * c)) @ z.T)[upper], z @ (load * (e - y[use]))))
+        return pd.Series(out)
+
+    width = k * (k + 1) // 2 + k
     for step in range(1, steps + 1):
-        met = _with_later(used, state, scope)
-        met = met.select(*scope, "_target", "_model", expected.alias("_e"), label.alias("_label"), aged_load.alias("_load_"), *[v.alias(f"_z{i}") for i, v in enumerate(z)]).where(F.col("_label").isNotNull())
-        met = met.withColumn("_c", F.col("_load_") * curvature).withColumn("_g", F.col("_load_") * (F.col("_e") - F.col("_label")))
-        found = met.groupBy(*scope, "_target", "_model").agg(
-            *[F.sum(F.col("_c") * F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"_h{i}_{j}") for i in range(k) for j in range(i, k)], *[F.sum(F.col("_g") * F.col(f"_z{i}")).alias(f"_g{i}") for i in range(k)])
-        packed = F.array(*[F.col(f"_h{i}_{j}") for i in range(k) for j in range(i, k)], *[F.col(f"_g{i}") for i in range(k)]).alias("_sums")
-        state = state.join(found.select(*scope, "_target", "_model", packed), [*scope, "_target", "_model"])
+        met = _with_later(blocks, state, scope).select(
+            *scope, "_target", "_model", products("_flat", F.col("_target") - F.col("epoch") - 1, "_model", "_mean", "_scale", "_b").alias("_p"))
+        found = met.groupBy(*scope, "_target", "_model").agg(F.array(*[F.sum(F.get("_p", i)) for i in range(width)]).alias("_sums"))
+        state = state.join(found, [*scope, "_target", "_model"])
         state = settle(state.withColumn("_b", stepped("_model", "_total", "_b", "_sums")).drop("_sums"), f"newton-{step}")
     return state.drop("_total").withColumnRenamed("_target", "epoch")
 

@@ -110,3 +110,15 @@ def test_gaps_across_stretches(spark):
     for rows in (250_000, 25):
         found = {r.side: r.minimum_gap for r in congestion(df, "h", "a", "at", rows_per_slice=rows).collect()}
         assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-9 for k in expected)
+
+
+def test_newton_passes_meet_blocks_not_rows(spark, monkeypatch):
+    """A pass multiplies matrices of one epoch: it reads a row per block, not one per row and later fit."""
+    from causal_panel.operators import newton
+
+    seen, settle = {}, newton.settle
+    monkeypatch.setattr(newton, "settle", lambda df, name: seen.setdefault(name, settle(df, name)))
+    df = spark.range(6_000).repartition(2).selectExpr("cast(id % 3 as int) as epoch", "(id * 37 % 101) / 50.0 as x", "id % 7 * 1.0 as y")
+    expanding_glms(df, ["x"], [Glm("g", "y", "gaussian", 1.0)], df, steps=1)
+    blocks = seen["newton-rows"].collect()
+    assert len(blocks) <= 12 and sum(len(r["_flat"]) for r in blocks) == 6_000 * 3
